@@ -1,6 +1,6 @@
 """The pN queries of the text problems, each over its whole tables.
 
-None has SQL: NFKC, tokenizers and suffix arrays are beyond it. Tests hold them against brute force.
+None has SQL: NFKC, tokenizers, suffix arrays and markup are beyond it. Tests hold them against brute force.
 """
 
 from __future__ import annotations
@@ -9,13 +9,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import bpe, leakage, repetition
+from lodegraph.llm import bpe, leakage, markup, repetition
 from lodegraph.runtime import table
 
 #: Where the public tokenizers' files lie on every machine.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_sections(table(spark, d, "node")).where("n_constructs > 0").select("node_id", "field")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_sections(table(spark, d, "node"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -42,6 +50,6 @@ def p9_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p7_ids, p8_found, p8_report, p9_found, p9_shares, p9_divergence)
+    f.__name__: f for f in (p5_found, p5_clean, p7_ids, p8_found, p8_report, p9_found, p9_shares, p9_divergence)
 }
 SQL: dict[str, str] = {}
