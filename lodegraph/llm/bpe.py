@@ -7,14 +7,15 @@ loses its arc ``b``, ``a`` leads to the clone from then on, and ``c`` gets an ar
 has one labelled ``a``, to where ``b`` led. All arcs of one label lead to one state, so a state is
 named by a label and the number of merges worked in, and a clone is stored as the one arc it lost.
 
-A word is encoded by table-driven transitions: for each of its prefixes there is exactly one last
-token that an accepted path ends with. Decoding emits the labels of the arcs that ids take.
+A word is encoded by table-driven transitions, along the one path over it that the automaton
+accepts. Decoding emits the labels of the arcs that ids take.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,7 +60,17 @@ class MergeAutomaton:
             self.label[self.text[x]] = x
         for time, (a, b, c) in enumerate(merges, 1):
             self._gadget(a, b, c, time)
-        self.longest = max(map(len, self.label))
+        #: labels by their bytes: (node, byte) to node, and the label that ends at a node
+        self.step: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for text, x in self.label.items():
+            node = 0
+            for byte in text:
+                new = self.step.setdefault(node << 8 | byte, len(self.ends))
+                if new == len(self.ends):
+                    self.ends.append(-1)
+                node = new
+            self.ends[node] = x
 
     def _gadget(self, a: int, b: int, c: int, time: int) -> None:
         if self.text[a] is None or self.text[b] is None or not self._arc(a, b):
@@ -99,23 +110,54 @@ class MergeAutomaton:
         return got
 
     def encode(self, word: bytes) -> list[int]:
-        """The one accepted path over ``word``."""
+        """The one accepted path over ``word``.
+
+        Takes the longest label from each place that its predecessor has an arc for. A prefix has one
+        path at most, so a place without a way on is never entered twice.
+        """
         whole = self.label.get(word)
         if whole is not None:
             return [whole]
-        n, label, arc = len(word), self.label, self.arc
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                x = label.get(word[start:end])
-                if x is not None and (not start or arc(last[start], x)):
-                    last[end] = x
-                    break
-        ids = []
-        while n:
-            ids.append(last[n])
-            n -= len(self.text[last[n]])
-        return ids[::-1]
+        n, step, ends, known = len(word), self.step, self.ends, self.known
+        dead: set[int] = set()
+        ids: list[int] = []
+        places: list[int] = []
+        choices: list[list[tuple[int, int]]] = []
+        at, last = 0, -1
+        while at < n:
+            if len(choices) == len(ids):  # a place that is entered: all labels from here
+                node, k, found = 0, at, []
+                while k < n:
+                    node = step.get(node << 8 | word[k])
+                    if node is None:
+                        break
+                    k += 1
+                    x = ends[node]
+                    if x >= 0:
+                        found.append((x, k))
+                choices.append(found)
+                places.append(at)
+            found = choices[-1]
+            while found:
+                x, k = found.pop()
+                if k in dead:
+                    continue
+                if last >= 0:
+                    ok = known.get((last, x))
+                    if ok is None:
+                        ok = self.arc(last, x)
+                    if not ok:
+                        continue
+                ids.append(x)
+                at, last = k, x
+                break
+            else:
+                dead.add(at)
+                choices.pop()
+                places.pop()
+                ids.pop()
+                at, last = places[-1], ids[-1] if ids else -1
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         """The labels of the arcs that ``ids`` take, whatever words they came from."""
@@ -156,7 +198,7 @@ class Encoder:
             def __missing__(self, word: str) -> bytes:
                 if len(self) > MEMORY:
                     self.clear()
-                got = self[word] = np.array(encode(word.encode("utf-8", "replace")), np.int32).tobytes()
+                got = self[word] = array("i", encode(word.encode("utf-8", "replace"))).tobytes()
                 return got
 
         known = Words()
