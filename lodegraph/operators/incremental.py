@@ -38,10 +38,8 @@ def changed_records(current: DataFrame, saved: DataFrame, depth: int) -> DataFra
     ``current``, an empty ``current`` nothing.
     """
     now, old = cut(with_digests(current, depth)), cut(with_digests(saved, depth))
-    differ = merkle.differing_leaves(
-        merkle.tree(cut(merkle.leaves(now)), depth), merkle.tree(cut(merkle.leaves(old)), depth), depth
-    )
-    differ = cut(differ)
+    trees = [cut(merkle.tree(merkle.leaves(df), depth)) for df in (now, old)]
+    differ = cut(merkle.differing_leaves(*trees, depth))
     now, old = (df.join(differ, "leaf", "left_semi") for df in (now, old))
     old = old.select("key", F.col("value").alias("before"), F.lit(True).alias("known"))
     both = now.select("key", "value").join(old, "key", "left")

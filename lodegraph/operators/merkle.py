@@ -2,7 +2,7 @@
 
 A key falls into one of ``2 ** (bits * depth)`` leaves by the leading bits of its 64-bit hash, so a
 leaf is a range of hashes. A leaf's digest combines the digests of its rows, an inner node's digest
-is a hash over the ordered digests of its at most ``2 ** bits`` children. Two trees of the same shape
+combines hashes of the leaves under it. Two trees of the same shape
 are compared from the root down, and only children of differing nodes are looked at.
 
 Row digests are 128 bits wide (two 64-bit hashes); rows of one leaf are combined by exclusive or
@@ -12,7 +12,6 @@ and a count, which is order-free and aggregates before the shuffle. A tree holds
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,26 +47,17 @@ def leaves(rows: DataFrame, scope: list[str] | None = None) -> DataFrame:
 
 
 def tree(leaf: DataFrame, depth: int, scope: list[str] | None = None, bits: int = BITS) -> DataFrame:
-    """All levels over leaf digests: ``(scope..., level, node, n, d1, d2)``; level ``depth`` is the leaves."""
+    """All levels over leaf digests: ``(scope..., level, node, n, d1, d2)``; level ``depth`` is the leaves.
+
+    A leaf's number and digests are hashed, and a node's digest combines these hashes of all leaves
+    under it, so all levels come from one aggregation that starts before its shuffle.
+    """
     scope = scope or []
-    level = leaf.select(*scope, F.col("leaf").alias("node"), "n", "d1", "d2")
-    out = [level.withColumn("level", F.lit(depth))]
-    for d in range(depth - 1, -1, -1):
-        # at most 2 ** bits children each: the list is bounded
-        kids = F.array_sort(F.collect_list(F.struct("node", "n", "d1", "d2")))
-        level = (
-            level.groupBy(*scope, F.shiftright("node", bits).alias("parent"))
-            .agg(F.sum("n").alias("n"), kids.alias("kids"))
-            .select(
-                *scope,
-                F.col("parent").alias("node"),
-                "n",
-                F.xxhash64(F.lit(1), "kids").alias("d1"),
-                F.xxhash64(F.lit(2), "kids").alias("d2"),
-            )
-        )
-        out.append(level.withColumn("level", F.lit(d)))
-    return reduce(DataFrame.unionByName, out)
+    level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
+    hashed = [F.xxhash64(F.lit(k), "leaf", "n", "d1", "d2").alias(f"d{k}") for k in (1, 2)]
+    up = leaf.select(*scope, "leaf", "n", *hashed, level)
+    node = F.expr(f"shiftright(leaf, {bits} * ({depth} - level))").alias("node")
+    return up.groupBy(*scope, "level", node).agg(F.sum("n").alias("n"), F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"))
 
 
 def differing_leaves(current: DataFrame, saved: DataFrame, depth: int, scope: list[str] | None = None, bits: int = BITS) -> DataFrame:
