@@ -53,8 +53,10 @@ class Searcher:
                 need.append(m)
         self.ids = np.array([i for i, _ in texts], np.int64)
         self.item, self.at, self.need = (np.array(x, np.int64) for x in (item, at, need))
-        self.lower, self.upper = (self._keys(np.array(x, self.unit).reshape(-1, self.depth)) for x in (keys, upper))
         self.least = int(self.need.min()) if need else 0
+        if not need:
+            return
+        self.lower, self.upper = (self._keys(np.array(x, self.unit).reshape(-1, self.depth)) for x in (keys, upper))
 
     def _keys(self, rows: np.ndarray) -> np.ndarray:
         """Rows of codes as byte strings of one length; a last byte keeps zeros at the end."""

@@ -68,7 +68,6 @@ class Construct:
     start: int
     end: int
     write: Callable[[], str]
-    words: int = 0
 
 
 @dataclass
@@ -78,6 +77,9 @@ class _Rules:
 
 
 _WORD = re.compile(r"[\u4E00-\u9FFF]|[^\W_]+")
+#: What scores as a word: a word, or a run of other marks such as punctuation.
+_SCORED = re.compile(r"[\u4E00-\u9FFF]|[^\W_]+|[^\w\s]+|_+")
+_STRUCTURE_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "dt", "dd"}
 _R = _Rules()
 _ATTR = r"""(?:\s+[A-Za-z_:@][\w:.@-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+))?)*\s*"""
 
@@ -123,13 +125,25 @@ def _pre(m, text):
     return lambda: _fence(html.unescape(code))
 
 
-@_rule("<", "tag", r"<(script|style|nowiki|math)\b" + _ATTR + r">(.*?)</\1\s*>", re.S | re.I)
+@_rule("<", "comment", r"<(script|style)\b" + _ATTR + r">.*?</\1\s*>", re.S | re.I)
+def _script(m, text):
+    return lambda: ""
+
+
+@_rule("<", "span", r"<(nowiki|math)\b" + _ATTR + r">(.*?)</\1\s*>", re.S | re.I)
 def _raw(m, text):
-    name = m[1].lower()
-    return lambda: "" if name in ("script", "style") else f"${m[2].strip()}$" if name == "math" else m[2]
+    return lambda: f"${m[2].strip()}$" if m[1].lower() == "math" else m[2]
+
+
+_TAG = r"<(/?)([A-Za-z][A-Za-z0-9]*)(" + _ATTR + r")(/?)>"
+
+
+@_rule("<", "structure", _TAG)
+def _structure_tag(m, text):
+    return _tag(m, text) if m[2].lower() in _STRUCTURE_TAGS else None
 
 
-@_rule("<", "tag", r"<(/?)([A-Za-z][A-Za-z0-9]*)(" + _ATTR + r")(/?)>")
+@_rule("<", "tag", _TAG)
 def _tag(m, text):
     name, bare = m[2].lower(), not m[3].strip()
     if name not in _TAGS:
@@ -440,8 +454,10 @@ def _indent(m, text):
 
 _STARTS = re.compile(r"(?m)^(?=[ \t]*[-#=`~|{>+*_\[:;\d])|[<&`*_~\[!{$\\']")
 _CLOSER = re.compile(r"[ \t]#{2,6}[ \t]*\Z")
-#: Constructs that are structure, not residue around the content.
-_CONTENT = {"heading", "list", "table", "code", "formula", "span", "emphasis", "link", "quote", "environment"}
+#: Constructs that are structure, not residue around the content: their words score, they cost nothing.
+_CONTENT = {"heading", "list", "table", "code", "formula", "span", "emphasis", "link", "quote", "environment", "structure"}
+#: Constructs that cost something, but whose words score.
+_HOLDING = {"command"}
 
 
 def lex(text: str, inline: bool = False, heading: bool = False) -> list[Construct]:
@@ -497,16 +513,17 @@ def content_region(text: str, constructs: list[Construct], weights: dict[str, fl
 
     for c in constructs:
         if c.start > at:
-            add(word * len(_WORD.findall(text, at, c.start)), at, c.start)
-        inside = len(_WORD.findall(text, c.start, c.end)) if c.kind in _CONTENT else 0
+            add(word * len(_SCORED.findall(text, at, c.start)), at, c.start)
+        inside = len(_SCORED.findall(text, c.start, c.end)) if c.kind != "structure" and (c.kind in _CONTENT or c.kind in _HOLDING) else 0
         add(word * inside + (0.0 if c.kind in _CONTENT else w.get(c.kind, w["other"])), c.start, c.end)
         at = c.end
     if at < len(text):
-        add(word * len(_WORD.findall(text, at)), at, len(text))
+        add(word * len(_SCORED.findall(text, at)), at, len(text))
     return best_span
 
 
 _MANY_LINES = re.compile(r"\n[ \t]*\n(?:[ \t]*\n)+")
+_LOOSE = re.compile(r"(?m)^([ \t]*(?:- |\d+\. |\|).*)\n[ \t]*\n(?=[ \t]*(?:- |\d+\. |\| ))")
 _LINE_ENDS = re.compile(r"[ \t]+(?=\n|\Z)")
 
 
@@ -534,7 +551,7 @@ def clean(text: str, heading: bool = False, weights: dict[str, float] | None = N
         return text, []
     start, end = content_region(text, constructs, weights)
     out = _written(text, constructs, start, end)
-    out = _MANY_LINES.sub("\n\n", _LINE_ENDS.sub("", out)).strip()
+    out = _LOOSE.sub(r"\1\n", _MANY_LINES.sub("\n\n", _LINE_ENDS.sub("", out))).strip()
     if heading:
         out = re.sub(r"\s+", " ", re.sub(r"^#{1,6} +", "", out))
     return out, [c.kind for c in constructs]
@@ -603,9 +620,9 @@ def fit_weights(pages: DataFrame, text: str = "text", content: str = "content",
                     continue
                 found, at = lex(t), 0
                 for x in [*found, Construct("", len(t), len(t), str)]:
-                    inside = len(_WORD.findall(t, max(at, a), min(x.start, a + len(c)))) if x.start > a and at < a + len(c) else 0
+                    inside = len(_SCORED.findall(t, max(at, a), min(x.start, a + len(c)))) if x.start > a and at < a + len(c) else 0
                     n["word", True] += inside
-                    n["word", False] += len(_WORD.findall(t, at, x.start)) - inside
+                    n["word", False] += len(_SCORED.findall(t, at, x.start)) - inside
                     if x.kind:
                         n[x.kind, a <= x.start and x.end <= a + len(c)] += 1
                     at = x.end
