@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.operators.graph import closure, first_by, simple_paths
+from lodegraph.operators.graph import all_pairs, closure, first_by, simple_paths
 from lodegraph.operators.hierarchy import clean_path
 from lodegraph.runtime import cut
 
@@ -73,9 +73,7 @@ def callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def override_closure(edges: DataFrame) -> DataFrame:
     """``(base, derived, depth)``: all direct and indirect overrides of every overridden function."""
     arcs = of(edges, "overrides").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    arcs = cut(arcs.distinct())
-    seeds = arcs.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
-    return closure(seeds, arcs, include_seeds=False).select(F.col("seed").alias("base"), F.col("node").alias("derived"), "depth")
+    return all_pairs(arcs).select(F.col("seed").alias("base"), F.col("node").alias("derived"), "depth")
 
 
 def expanded_calls(edges: DataFrame) -> DataFrame:
@@ -99,7 +97,10 @@ def inheritance(edges: DataFrame, direction: str = "ancestors", depth: int = 0)
     """``(seed, node, depth)``: ancestors or descendants of every class; depth 0 is unlimited."""
     pairs = inherits(edges)
     up = pairs.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    arcs = cut((up if direction == "ancestors" else up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    arcs = up if direction == "ancestors" else up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if not depth:
+        return all_pairs(arcs)
+    arcs = cut(arcs.distinct())
     seeds = arcs.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
     return closure(seeds, arcs, depth, include_seeds=False)
 

@@ -59,6 +59,26 @@ def closure(seeds: DataFrame, arcs: DataFrame, max_depth: int = 0, include_seeds
     return seen if include_seeds else seen.where("depth > 0")
 
 
+def all_pairs(arcs: DataFrame) -> DataFrame:
+    """``(seed, node, depth)``: nodes reached from every node but itself, with the fewest steps.
+
+    Pairs up to 2d steps apart come from those up to d by one join through the nodes at exactly d
+    steps, so it takes as many joins as the logarithm of the longest distance.
+    """
+    pairs = cut(
+        arcs.select(F.col("src").alias("seed"), F.col("dst").alias("node")).where("seed <> node").distinct().withColumn("depth", F.lit(1))
+    )
+    reach = 1
+    while True:
+        far = pairs.where(F.col("depth") == reach).select("seed", F.col("node").alias("middle"))
+        if far.isEmpty():
+            return pairs
+        step = pairs.select(F.col("seed").alias("middle"), "node", F.col("depth").alias("more"))
+        new = far.join(step, "middle").where("seed <> node").groupBy("seed", "node").agg((F.min("more") + reach).alias("depth"))
+        pairs = cut(pairs.unionByName(new.join(pairs, ["seed", "node"], "left_anti")))
+        reach *= 2
+
+
 def simple_paths(seeds: DataFrame, arcs: DataFrame, max_depth: int) -> DataFrame:
     """``(seed, node, path, depth)``: every path without a repeated node, up to ``max_depth`` steps."""
     arcs = cut(arcs.select("src", "dst").distinct())
