@@ -226,7 +226,7 @@ def repair_links(edges: DataFrame, known: DataFrame) -> DataFrame:
     document is no repair.
     """
     good = edges.join(known.select(F.col("key").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    end = lambda c: F.element_at(F.split(c, "-"), -1)
+    end = lambda c: F.element_at(F.split(F.regexp_replace(c, "^doc:", ""), "-"), -1)
     bad = edges.join(known.select(F.col("key").alias("dst")).distinct(), "dst", "left_anti").withColumn("end", end("dst"))
     ends = known.groupBy(end("key").alias("end")).agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
     fixed = bad.join(ends, "end").where(F.col("key").endswith(F.regexp_replace("dst", "^doc:", ""))).select("src", F.col("key").alias("dst"))

@@ -25,15 +25,16 @@ def bm25(texts: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     texts per term are one small aggregate each.
     """
     spark = texts.sparkSession
-    sized = texts.select("key", t.terms("text").alias("terms")).withColumn("size", F.size("terms"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     wanted = [r[0] for r in spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(t.terms("q")))).collect()]
-    if not wanted or not stats["n"]:
+    if not wanted:
         return texts.select("key", F.lit(0.0).alias("score")).limit(0)
-    hits = sized.select("key", "size", F.explode(F.filter("terms", lambda x: x.isin(wanted))).alias("term")).groupBy("key", "size", "term").agg(F.count("*").alias("tf"))
+    # texts are taken apart once: what is kept of each is its size and its terms of the query
+    sized = cut(texts.select("key", t.terms("text").alias("terms")).select("key", F.size("terms").alias("size"), F.filter("terms", lambda x: x.isin(wanted)).alias("terms")))
+    stats = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    hits = sized.select("key", "size", F.explode("terms").alias("term")).groupBy("key", "size", "term").agg(F.count("*").alias("tf"))
     hits = cut(hits)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
-    n, mean = float(stats["n"]), float(stats["mean"]) or 1.0
+    n, mean = float(stats["n"]), float(stats["mean"] or 1.0) or 1.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
     out = hits.join(F.broadcast(df), "term").groupBy("key").agg(F.sum(part).alias("score"))

@@ -23,7 +23,7 @@ def test_name_functions(spark):
     assert values(spark, lambda c: t.in_scope(c, ["src"]), "a/src/b", "x", None) == [True, False, False]
     df = spark.createDataFrame([("a::B", "B", "f"), ("a", "B", "f"), ("", "", "f"), (None, "B", "f")], "n string, k string, f string")
     assert [r[0] for r in df.select(t.qualified_name("n", "k", "f")).collect()] == ["a::B::f", "a::B::f", "f", "B::f"]
-    key = lambda kind, p, c: spark.range(1).select(t.node_key(F.lit(kind), F.lit("n"), F.lit("f"), F.lit(None).cast("string"), F.array(*map(F.lit, p)).cast("array<string>"), F.lit(c))).first()[0]
+    key = lambda kind, p, c: spark.range(1).select(t.node_key(F.lit(kind), F.lit("n"), F.lit("f"), F.lit(None).cast("string"), F.array(*map(F.lit, p)).cast("array<string>"), F.lit(c).cast("boolean"))).first()[0]
     assert (key("function", ["int", "T"], True), key("function", [], False), key("class", [], None)) == ("function|n|f||int,T|c", "function|n|f||", "class|n|f|")
 
 
