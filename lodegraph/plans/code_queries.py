@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.operators import code, graph
+from lodegraph.operators import code, graph, questions
 from lodegraph.plans.views import CALLS, INHERITS, NE, E, N, edges, nodes, sql_in
 from lodegraph.runtime import cut, table
 
@@ -429,3 +429,27 @@ def enclosing_functions(spark, d):
     e = edges(spark, d, relations=CALLS).where("line > 0")
     sites = e.join(n.select(F.col("id").alias("src"), "file_path"), "src").where("file_path IS NOT NULL").select("file_path", "line").distinct()
     return code.enclosing_function(n, sites)
+
+
+# --- names -------------------------------------------------------------------------------------------
+
+
+@query(rf"""WITH {N} SELECT name, type, id FROM n WHERE type IN ('class', 'struct', 'function') AND name IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY name, type ORDER BY coalesce(regexp_matches(file_path, '\.(cpp|cc|cxx|c)$'), false) DESC, file_path NULLS LAST, start_line NULLS LAST, id) = 1""")
+def definition_first(spark, d):
+    """One node per name and type, definitions before declarations (W-08)."""
+    n = nodes(spark, d, "type", "name", "file_path", "start_line").where("type IN ('class', 'struct', 'function') AND name IS NOT NULL")
+    return questions.definition_first(n, ["name", "type"]).select("name", "type", "id")
+
+
+@query(f"""WITH {N}, ns AS (SELECT DISTINCT split_part(namespace, '::', 1) AS name FROM n WHERE namespace <> ''),
+dirs AS (SELECT DISTINCT split_part(file_path, '/', 2) AS f FROM n WHERE contains(file_path, '/')),
+a AS (SELECT name, unnest(list_transform(range(1, length(replace(name, '_', '')) - 2), lambda i: lower(substr(replace(name, '_', ''), i, 4)))) AS g FROM ns),
+b AS (SELECT DISTINCT unnest(list_transform(range(1, length(replace(f, '_', '')) - 2), lambda i: lower(substr(replace(f, '_', ''), i, 4)))) AS g FROM dirs)
+SELECT DISTINCT name FROM a JOIN b USING (g)""")
+def project_namespaces(spark, d):
+    """Outer namespaces that share four letters in a row with a folder (P-21, J-13)."""
+    n = nodes(spark, d, "namespace", "file_path")
+    names = n.where("namespace <> ''").select(F.split("namespace", "::")[0].alias("name")).distinct()
+    folders = n.where("file_path LIKE '%/%'").select(F.split("file_path", "/")[1].alias("folder")).distinct()
+    return questions.shared_grams(names, folders)

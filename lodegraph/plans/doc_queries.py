@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import text as t
 from lodegraph.operators import documents as docs
-from lodegraph.operators import findings, retrieval, stats
+from lodegraph.operators import findings, questions, retrieval, stats
 from lodegraph.plans.views import NE, E, N, edges, nodes
 from lodegraph.runtime import cut, table
 
@@ -129,6 +129,26 @@ def code_coverage(spark, d):
     return code.join(per, "id", "left").select("id", "name", "type", F.coalesce("n", zero).alias("n_docs"), F.coalesce("s", zero).alias("n_sure"))
 
 
+@query(rf"""{_DOCS}, rest AS (SELECT id, name FROM n WHERE type IN ('class', 'struct') AND id NOT IN (SELECT code_id FROM about)),
+w AS (SELECT id AS doc_id, unnest(regexp_extract_all(content_preview, '[\p{{L}}\p{{N}}_]+')) AS name FROM n WHERE type = 'doc_section'),
+c AS (SELECT doc_id, name, count(*) AS k FROM w WHERE length(name) >= 4 AND regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$') GROUP BY ALL),
+hit AS (SELECT rest.id AS code_id, doc_id FROM rest JOIN c USING (name) QUALIFY row_number() OVER (PARTITION BY rest.id ORDER BY k DESC, doc_id) <= 3)
+SELECT code_id, doc_id, confidence, 'link' AS source FROM about WHERE code_id IN (SELECT id FROM n WHERE type IN ('class', 'struct'))
+UNION ALL SELECT code_id, doc_id, 0.6, 'word' FROM hit""")
+def class_docs(spark, d):
+    """Sections of every class: linked ones, else those that have its name (R-11)."""
+    about = docs.docs_for_code(edges(spark, d, "confidence", relations=_DOC_REL), sections(spark, d))
+    classes = nodes(spark, d, "type", "name").where("type IN ('class', 'struct')").select("id", "name")
+    return questions.code_with_documents(classes, about, sections(spark, d, "content_preview").select("id", F.col("content_preview").alias("text")))
+
+
+@query("SELECT doc_id, title, updated_at FROM documents WHERE doc_type = 'review' AND contains(lower(title), 'reader') ORDER BY updated_at DESC NULLS LAST, doc_id LIMIT 50")
+def list_documents(spark, d):
+    """The latest reviews with a word in their title (P-18)."""
+    rows = table(spark, d, "documents").select("doc_id", "title", "path", F.col("doc_type").alias("type"), F.col("updated_at").alias("date")).where("title IS NOT NULL")
+    return questions.list_documents(rows.withColumn("path", F.lit("")), "review", "reader").select("doc_id", "title", F.col("date").alias("updated_at"))
+
+
 @query(f"""WITH {E} SELECT a.src, a.dst, a.relation_type FROM (SELECT DISTINCT src, dst, relation_type FROM e) a
 WHERE relation_type IN ('code_refers_to_doc', 'doc_describes_code') AND NOT EXISTS (FROM e b WHERE b.src = a.dst AND b.dst = a.src AND b.relation_type <> a.relation_type
   AND b.relation_type IN ('code_refers_to_doc', 'doc_describes_code'))""")

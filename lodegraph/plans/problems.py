@@ -33,6 +33,13 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.full_hierarchy(cut(links.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent"))))
 
 
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "edge").where("relation_type = 'belongs_to' AND to_id > 0")
+    links = cut(links.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")))
+    pairs = hierarchy.ancestor_pairs(links, cut(hierarchy.resolve_forest(links)))
+    return pairs.where("distance > 0").select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "distance")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys.heavy_targets(table(spark, d, "edge")).select("relation_type", "to_id")
 
@@ -46,7 +53,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_paths, p4_found, p4_counts, p6_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_paths, p3_descendants, p4_found, p4_counts, p6_found)
 }
 
 _HASH = r"regexp_replace(regexp_replace(lower(regexp_replace(file_hash, '^\s+|\s+$', '', 'g')), '^md5:', ''), '^\s+|\s+$', '', 'g')"
@@ -126,6 +133,9 @@ below AS (SELECT top AS id, count(*) AS n FROM up WHERE up.depth > 0 AND up.id I
 SELECT id AS node, root, depth, path, coalesce(n, 0) AS n_descendants
 FROM (FROM rooted UNION ALL FROM looped) LEFT JOIN path USING (id) LEFT JOIN below USING (id)"""
 
+P3_DESCENDANTS = f"""WITH RECURSIVE {_OWNER}
+SELECT top AS node, id AS descendant, depth AS distance FROM up WHERE depth > 0 AND id IN (SELECT id FROM rooted)"""
+
 _COUNTS = """
 once AS (SELECT DISTINCT from_id, to_id, relation_type, coalesce(call_line, 0) AS line FROM edge WHERE to_id > 0),
 counts AS (SELECT relation_type, to_id, count(*) AS n_edges FROM once GROUP BY ALL)"""
@@ -163,6 +173,7 @@ SQL: dict[str, str] = {
     "p2_report": P2_REPORT,
     "p3_found": P3,
     "p3_paths": P3_PATHS,
+    "p3_descendants": P3_DESCENDANTS,
     "p4_found": P4,
     "p4_counts": P4_COUNTS,
     "p6_found": P6,
