@@ -37,6 +37,11 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(leakage.leaked_items(table(spark, d, "documents"), heldout), heldout)
 
 
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return leakage.clean_documents(documents, leakage.leaked_items(documents, table(spark, d, "heldout_item"))).select("doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeating_documents(table(spark, d, "documents")).select("doc_id")
 
@@ -50,6 +55,6 @@ def p9_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_clean, p7_ids, p8_found, p8_report, p9_found, p9_shares, p9_divergence)
+    f.__name__: f for f in (p5_found, p5_clean, p7_ids, p8_found, p8_report, p8_clean, p9_found, p9_shares, p9_divergence)
 }
 SQL: dict[str, str] = {}
