@@ -211,7 +211,7 @@ def document_reach(spark, d):
 # --- vectors -----------------------------------------------------------------------------------------
 
 
-@query("""SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.embedding, b.embedding), 3) AS similarity
+@query("""SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 3) AS similarity
 FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
 def similar_vectors(spark, d):
     """All vectors close to each vector whose id is divisible by 50, exactly (J-17, R-08, F-41)."""

@@ -24,8 +24,10 @@ def edges(spark: SparkSession, d: str, *columns: str, relations: list[str] | Non
     rows = table(spark, d, "edge").where("to_id > 0 AND from_id IS NOT NULL")
     if relations:
         rows = rows.where(F.col("relation_type").isin(relations))
-    first = F.min(F.struct("id", *columns)).alias("m")
     keyed = rows.groupBy(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "relation_type", F.coalesce("call_line", F.lit(0)).alias("line"))
+    if not columns:
+        return keyed.agg(F.min("id").alias("edge_id"))
+    first = F.min(F.struct("id", *columns)).alias("m")
     return keyed.agg(first).select("src", "dst", "relation_type", "line", F.col("m.id").alias("edge_id"), *(F.col(f"m.{c}").alias(c) for c in columns))
 
 
