@@ -28,6 +28,21 @@ def head(c: Column | str, sep: str = "::") -> Column:
     return F.regexp_replace(_c(c), f"{sep}(?!.*{sep}).*$", "")
 
 
+def last_segment(c: Column | str) -> Column:
+    """The last part of a namespace that is not empty, also where there is only one; null without any (P-28)."""
+    return F.get(F.reverse(F.filter(F.split(_c(c), "::"), lambda x: x != "")), F.lit(0))
+
+
+def project_name(path: Column | str) -> Column:
+    """The folder under ``app`` or ``src`` in a path, or empty (F-48)."""
+    return F.regexp_extract(F.coalesce(_c(path), F.lit("")), "/(?:app|src)/([^/_][^/]*)/", 1)
+
+
+def bare_references(c: Column | str) -> Column:
+    """Mentions of task documents in plain text that should be links (D-08)."""
+    return F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(r"(?<![\[(])task/\S+\.md"), F.lit(0))
+
+
 def basename(c: Column | str) -> Column:
     """The last part of a path (F-15)."""
     return tail(c, "/")

@@ -35,7 +35,7 @@ def name_tail(c: str) -> Column:
 
 
 def owners(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(member, owner_name)``: the first owning class of each member."""
+    """``(member, owner_name)``: the first owning class of each member (J-10)."""
     e = of(edges, "belongs_to").join(nodes.select(F.col("id").alias("dst"), F.col("name").alias("owner_name")), "dst")
     return e.groupBy(F.col("src").alias("member")).agg(F.min(F.struct("edge_id", "owner_name")).alias("m")).select("member", "m.owner_name")
 
@@ -53,7 +53,7 @@ def call_sites(edges: DataFrame, nodes: DataFrame, call_types: list[str] | None
 
 
 def callers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of every function its callers, once per (callee, caller name, file, line), with the caller's class."""
+    """Of every function its callers, once per (callee, caller name, file, line), with the caller's class (J-08, W-06)."""
     calls = call_sites(edges, nodes)
     one = first_by(calls, ["callee_id", "caller_name", "caller_file", "call_line"], F.col("caller_id"), F.col("call_type"))
     own = owners(edges, nodes).select(F.col("member").alias("caller_id"), F.col("owner_name").alias("caller_class"))
@@ -61,7 +61,7 @@ def callers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of every function its callees, once per (caller, callee name, line), with the callee's class or the tail of its namespace."""
+    """Of every function its callees, once per (caller, callee name, line), with the callee's class or the tail of its namespace (J-09)."""
     calls = call_sites(edges, nodes)
     one = first_by(calls, ["caller_id", "callee_name", "call_line"], F.col("callee_id"), F.col("call_type"))
     own = owners(edges, nodes).select(F.col("member").alias("callee_id"), "owner_name")
@@ -71,7 +71,7 @@ def callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def override_closure(edges: DataFrame) -> DataFrame:
-    """``(base, derived, depth)``: all direct and indirect overrides of every overridden function."""
+    """``(base, derived, depth)``: all direct (depth 1) and indirect overrides of every overridden function (G-07, G-08)."""
     arcs = of(edges, "overrides").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return all_pairs(arcs).select(F.col("seed").alias("base"), F.col("node").alias("derived"), "depth")
 
@@ -128,7 +128,7 @@ def diamonds(edges: DataFrame, max_depth: int = 10) -> DataFrame:
 
 
 def virtual_functions(edges: DataFrame, nodes: DataFrame, inherited: bool = True) -> DataFrame:
-    """``(class_id, function_id, name, from_class, pure)``: virtual functions of every class and its ancestors."""
+    """``(class_id, function_id, name, from_class, pure)``: virtual functions of every class and its ancestors (G-09)."""
     classes = nodes.where("type IN ('class', 'struct')").select(F.col("id").alias("class_id"))
     own = classes.select("class_id", F.col("class_id").alias("owner"))
     if inherited:
@@ -224,7 +224,7 @@ def include_tree(includes: DataFrame, files: DataFrame, max_depth: int = 5, skip
 
 
 def include_counts(includes: DataFrame) -> DataFrame:
-    """``(source_file, n_includes, n_system)`` per file."""
+    """``(source_file, n_includes, n_system)`` per file (A-10)."""
     return includes.groupBy("source_file").agg(F.count("*").alias("n_includes"), F.count_if("is_system").alias("n_system"))
 
 
@@ -232,14 +232,14 @@ def include_counts(includes: DataFrame) -> DataFrame:
 
 
 def aliases(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(target_id, target_name, alias_id, alias_name)`` for every aliased type."""
+    """``(target_id, target_name, alias_id, alias_name)`` for every aliased type (G-24)."""
     e = of(edges, "type_alias")
     target = nodes.select(F.col("id").alias("dst"), F.col("name").alias("target_name"))
     return e.join(target, "dst").select(F.col("dst").alias("target_id"), "target_name", F.col("src").alias("alias_id"), "alias_name").distinct()
 
 
 def alias_terminals(edges: DataFrame, max_depth: int = 5) -> DataFrame:
-    """``(alias, terminal, depth)``: where a chain of aliases ends, within ``max_depth`` steps; cycles end where they began.
+    """``(alias, terminal, depth)``: where a chain of aliases ends, within ``max_depth`` steps; cycles end where they began (G-25).
 
     Of several targets of one alias the smallest counts.
     """
@@ -258,7 +258,7 @@ def alias_terminals(edges: DataFrame, max_depth: int = 5) -> DataFrame:
 
 
 def using_declarations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(class_id, function_id, function_name)``: functions that classes take over by using declarations."""
+    """``(class_id, function_id, function_name)``: functions that classes take over by using declarations (G-26)."""
     fn = nodes.select(F.col("id").alias("dst"), F.col("name").alias("function_name"))
     return of(edges, "using_decl").join(fn, "dst").select(F.col("src").alias("class_id"), F.col("dst").alias("function_id"), "function_name").distinct()
 
@@ -302,7 +302,7 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: in
 
 
 def file_layers(impact: DataFrame) -> DataFrame:
-    """``(seed, file_path, level, n_nodes)`` of a blast radius."""
+    """``(seed, file_path, level, n_nodes)`` of a blast radius (A-06)."""
     return impact.groupBy("seed", "file_path").agg(F.min("depth").alias("level"), F.count("*").alias("n_nodes"))
 
 

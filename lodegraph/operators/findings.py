@@ -123,6 +123,20 @@ def with_freshness(store: DataFrame, nodes: DataFrame, at) -> DataFrame:
     return store.join(change, "id", "left").withColumn("updated_at", F.when(F.col("after").isNotNull(), at).otherwise(F.col("updated_at"))).withColumn("status", F.coalesce("after", "status")).drop("after").select(store.columns)
 
 
+def export(store: DataFrame, path: str) -> None:
+    """Writes the store where a rebuild of the rest leaves it alone (S-30)."""
+    store.write.mode("overwrite").parquet(path)
+
+
+def import_(spark, path: str, store: DataFrame | None = None) -> DataFrame:
+    """An exported store, taken into another one if given: of one title, the row that changed last (S-30)."""
+    old = spark.read.parquet(path)
+    if store is None:
+        return old
+    both = store.unionByName(old)
+    return both.groupBy("title").agg(F.max(F.struct("updated_at", *[c for c in store.columns if c not in ("title", "updated_at")])).alias("m")).select(*(F.col("title") if c == "title" else F.col(f"m.{c}") for c in store.columns))
+
+
 def without_vector(store: DataFrame) -> DataFrame:
     """Findings whose vector is still to be made (U-16)."""
     return store.where("embedding IS NULL").select("id", F.concat_ws("。", "title", F.nullif("detail", F.lit(""))).alias("text"))

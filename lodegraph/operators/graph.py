@@ -29,7 +29,7 @@ def orient(edges: DataFrame, direction: str = "outgoing", relations: list[str] |
     """
     if direction not in ("outgoing", "incoming", "both"):
         raise ValueError(f"direction: {direction}")
-    arcs = edges.where(F.col("relation_type").isin(relations)) if relations else edges
+    arcs = edges.where(F.col("relation_type").isin(relations)) if relations else edges  # P-13
     turn = F.col("relation_type").isin(*FLIPPED) if logical else F.lit(False)
     a, b = F.when(turn, F.col("dst")).otherwise(F.col("src")), F.when(turn, F.col("src")).otherwise(F.col("dst"))
     out = arcs.select(a.alias("src"), b.alias("dst"), "relation_type")

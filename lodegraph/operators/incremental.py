@@ -138,7 +138,8 @@ class IncrementalStore:
         runs = self.runs()
         if not runs:
             return self.spark.createDataFrame([], self.STATE)
-        parts = [self.spark.read.schema(self.STATE).parquet(f"{self.path}/state/{r['run']}").withColumn("run", F.lit(r["run"])) for r in runs]
+        first = max((i for i, r in enumerate(runs) if r.get("compacted")), default=0)
+        parts = [self.spark.read.schema(self.STATE).parquet(f"{self.path}/state/{r['run']}").withColumn("run", F.lit(r["run"])) for r in runs[first:]]
         holds = self.saved_tree().select("leaf", "run")
         if leaves is not None:
             holds = holds.join(leaves, "leaf", "left_semi")
@@ -146,9 +147,17 @@ class IncrementalStore:
 
     def outputs(self) -> DataFrame | None:
         """The outputs of all published runs."""
-        runs = self.runs()
+        runs = [r for r in self.runs() if not r.get("compacted")]
         return self.spark.read.parquet(*(f"{self.path}/output/{r['run']}" for r in runs)) if runs else None
 
+    def compact(self) -> str:
+        """Gathers the rows of all runs in one folder, published as a run without output; then a reader opens one folder only."""
+        number, run = len(self.runs()) + 1, uuid.uuid4().hex
+        self.saved_state().write.mode("overwrite").parquet(f"{self.path}/state/{run}")
+        self.saved_tree().withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{self.path}/tree/{run}")
+        self._publish(number, {"run": run, "number": number, "depth": self.depth, "compacted": True})
+        return run
+
     def run(self, current: DataFrame, process: Callable[[DataFrame], DataFrame]) -> str:
         """Process the records of ``current(key, value)`` that are new or changed since the last published run.
 

@@ -125,6 +125,18 @@ def bridge_symbols(symbols: DataFrame, nodes: DataFrame, per_tier: int = 5) -> D
     return both.withColumn("place", F.row_number().over(W.partitionBy("symbol", "tier").orderBy("node_id"))).where(F.col("place") <= per_tier).drop("place")
 
 
+def bridge_calls(bridge: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(symbol, node_id, tier, callers, callees)``: names of what calls, and is called by, the code of symbols (J-19)."""
+    calls = edges.where("relation_type LIKE 'calls%'")
+    named = nodes.select("id", "name")
+    ids = bridge.select("node_id").distinct()
+    up = calls.join(ids, calls["dst"] == ids["node_id"]).join(named, F.col("src") == F.col("id")).groupBy("node_id").agg(F.array_sort(F.collect_set("name")).alias("callers"))
+    down = calls.join(ids, calls["src"] == ids["node_id"]).join(named, F.col("dst") == F.col("id")).groupBy("node_id").agg(F.array_sort(F.collect_set("name")).alias("callees"))
+    none = F.array().cast("array<string>")
+    out = bridge.join(up, "node_id", "left").join(down, "node_id", "left")
+    return out.select("symbol", "node_id", "tier", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
+
+
 def similar_pairs(a: DataFrame, b: DataFrame, least: float, bits: int = 12, tables: int = 24) -> DataFrame:
     """``(a_id, b_id, similarity)``: pairs of vectors with cosine ``least`` or more, by random hyperplanes (J-17, R-14).
 

@@ -34,6 +34,11 @@ def tool_usage(telemetry: DataFrame) -> DataFrame:
     return per.join(p95, "tool", "left").select("tool", "n", "n_empty", F.round(F.col("n_empty") / F.col("n"), 4).alias("empty_share"), F.round("mean_ms", 4).alias("mean_ms"), F.round("p95_ms", 4).alias("p95_ms"))
 
 
+def time_range(df: DataFrame, column: str) -> DataFrame:
+    """One row ``(first, last)`` (A-05)."""
+    return df.agg(F.min(column).alias("first"), F.max(column).alias("last"))
+
+
 def top_counts(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k most frequent keys, ties by key (A-04, A-15, A-17, T-09)."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(k)

@@ -84,6 +84,7 @@ def test_store_publishes_output_and_tree_together(spark, tmp_path):
     assert done[-1] == 2 and rows(again.outputs().where("value = '2'"), "key") == [("k7",), ("none",)]
     again.run(changed, process)
     assert done[-1] == 0
+    again.compact()
     again.run(now, process)
     assert done[-1] == 3  # the record that had gone is new
     assert rows(again.saved_state(), "key", "value") == rows(now, "key", "value")

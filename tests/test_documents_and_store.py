@@ -27,6 +27,13 @@ def test_name_functions(spark):
     assert (key("function", ["int", "T"], True), key("function", [], False), key("class", [], None)) == ("function|n|f||int,T|c", "function|n|f||", "class|n|f|")
 
 
+def test_more_name_functions(spark):
+    assert values(spark, t.last_segment, "a::b", "a", "a::", "", None) == ["b", "a", "a", None, None]
+    assert values(spark, t.project_name, "/x/src/proj/db", "/x/src/_p/db", None) == ["proj", "", ""]
+    assert values(spark, t.bare_references, "see task/a.md and [task/b.md](task/b.md)", None) == [["task/a.md"], []]
+    assert rows(stats.time_range(spark.range(5), "id")) == [(0, 4)]
+
+
 def test_word_functions(spark):
     assert values(spark, t.word_count, "中文 foo_bar 3", None, "") == [3, 0, 0]
     assert values(spark, t.terms, "kAppErrorMap 分区切换 x_1", None) == [["k", "app", "error", "map", "分", "区", "切", "换", "x", "1"], []]
@@ -133,6 +140,16 @@ def test_search_routes(spark):
     assert rows(retrieval.reach_documents(start, e, 2), "node", "hop") == [("S", 2), ("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_bridge(spark):
+    n = spark.createDataFrame([(1, "f", "C", "C"), (2, "f", None, "q"), (3, "g", None, "ns::Part"), (4, "caller", None, None)], "id long, name string, parent_class string, namespace string")
+    s = spark.createDataFrame([("C::f",), ("f",), ("Part",), ("zzz",), (None,)], "symbol string")
+    got = retrieval.bridge_symbols(s, n)
+    assert rows(got) == [("C::f", 1, 1), ("C::f", 2, 2), ("Part", 3, 3), ("f", 1, 1), ("f", 2, 1)]
+    e = spark.createDataFrame([(4, 1, "calls_direct"), (1, 3, "calls_virtual"), (2, 1, "overrides")], "src long, dst long, relation_type string")
+    calls = retrieval.bridge_calls(got.where("symbol = 'C::f'"), e, n)
+    assert rows(calls, "node_id", "callers", "callees") == [(1, ["caller"], ["g"]), (2, [], [])]
+
+
 def test_vectors(spark):
     import numpy as np
 
@@ -155,7 +172,7 @@ def finding(title, at, symbols=(), **x):
 FIND = "title string, detail string, ftype string, symbols array<string>, source string, confidence string, tags array<string>, updated_at timestamp, embedding array<float>"
 
 
-def test_findings(spark):
+def test_findings(spark, tmp_path):
     cols = [c.split()[0] for c in FIND.split(", ")]
     make = lambda *fs: spark.createDataFrame([tuple(f[c] for c in cols) for f in fs], FIND)
     first = make(finding("A", T(2024, 1, 1), ["X::f", "svc.service", ""], detail="lock order"), finding(" A ", T(2024, 1, 2), ["X::f"], detail="deadlock"), finding("B", T(2024, 1, 3), ["Gone"], detail="queue", vec=[1.0, 0.0]), finding("", T(2024, 1, 1)), finding(None, T(2024, 1, 1), ftype="bad"))
@@ -180,6 +197,9 @@ def test_findings(spark):
     assert findings.search(s, "nothing").count() == 0 and findings.search(s, "").count() == 2
     assert findings.search(s, "queue", vector=[1.0, 0.0]).first().routes == "vector+words"
     assert rows(findings.without_vector(s), "id") == [(ids["A"],)]
+    findings.export(s, str(tmp_path / "f"))
+    assert rows(findings.import_(spark, str(tmp_path / "f"), again), "title", "detail") == [("A", "new"), ("B", "queue")]
+    assert rows(findings.import_(spark, str(tmp_path / "f")), "title") == [("A",), ("B",)]
 
 
 def test_store_operators(spark):

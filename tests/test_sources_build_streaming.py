@@ -111,6 +111,26 @@ def test_graph_refresher_stream(spark, tmp_path):
     assert job.last_batch() == before
 
 
+def test_front_end(spark):
+    from lodegraph.sources import front_end
+
+    def make_parser():
+        done = []
+
+        def parse(file, arguments):
+            if "bad" in file:
+                raise OSError("no such file")
+            done.append(file)
+            return {**ONE, "source_path": file, "status": "partial" if "-x" in arguments else "success"}
+
+        return parse
+
+    entries = spark.createDataFrame([("a.cpp", ["-x"]), ("bad.cpp", []), ("c.cpp", None)], "file string, arguments array<string>")
+    got = front_end.parse_units(entries, make_parser, 2)
+    assert rows(got, "source_path", "status", "error_message") == [("a.cpp", "partial", None), ("bad.cpp", "failed", "OSError: no such file"), ("c.cpp", "success", None)]
+    assert parse_results.nodes(got).count() == 5 and front_end.parse_units(entries.limit(0), make_parser).count() == 0
+
+
 def test_snapshot_table(spark, tmp_path):
     table = SnapshotTable(spark, str(tmp_path / "t"))
     assert table.version() == 0
