@@ -3,8 +3,9 @@
 ``resolve_forest`` handles links in which a child has one parent. Links are range-partitioned by
 child; each partition contracts the parent chains it holds to fragment exits (the first node up the
 chain whose link it does not hold). The exits and their own fragments form a smaller quotient
-forest, which is solved the same way, until it fits a bounded task or no longer shrinks, in which
-case distributed pointer doubling solves it. Then fragments are expanded.
+forest, which is solved the same way, over fewer partitions, until it fits one. A quotient that no
+longer shrinks is solved by one task up to a bound, else by distributed pointer doubling. Then
+fragments are expanded.
 
 ``cyclic_groups`` handles graphs in which a child has many parents (includes): strongly connected
 components, by trimming nodes that cannot lie on a cycle and, once few enough links are left, one
@@ -27,7 +28,7 @@ from lodegraph.runtime import cut, lookup_join
 #: Links that one task solves at most.
 SOLVE_ROWS = 1_000_000
 #: Links of a partition that contracts chains.
-PART_ROWS = 500_000
+PART_ROWS = 50_000
 
 FRAGMENT = "node long, exit long, steps long, low long, cyclic boolean"
 
@@ -106,9 +107,10 @@ def _solve(links: DataFrame, solve_rows: int, part_rows: int, before: int | None
     """Each node's root, steps and whether its way up ends in a cycle (then the root is its smallest node)."""
     links = cut(links)
     rows = links.count()
-    if rows <= solve_rows:
+    stuck = before is not None and rows > 0.9 * before
+    if rows <= part_rows or stuck and rows <= solve_rows:
         return _fragments(links, rows, max(rows, 1))
-    if before is not None and rows > 0.9 * before:
+    if stuck:
         return _double(links, rows)
     local = cut(_fragments(links, rows, part_rows))
     open_ = local.where("NOT cyclic")
