@@ -76,10 +76,13 @@ def override_closure(edges: DataFrame) -> DataFrame:
     return all_pairs(arcs).select(F.col("seed").alias("base"), F.col("node").alias("derived"), "depth")
 
 
-def expanded_calls(edges: DataFrame) -> DataFrame:
-    """``(src, dst, via)``: calls, and of virtual calls also those of every override of the callee."""
+def expanded_calls(edges: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """``(src, dst, via)``: calls, and of virtual calls also those of every override of the callee.
+
+    ``overrides`` is their ``override_closure`` where it is at hand.
+    """
     calls = of(edges, *CALLS).select("src", "dst", F.col("relation_type").alias("via"))
-    over = override_closure(edges).select(F.col("base").alias("dst"), "derived")
+    over = (override_closure(edges) if overrides is None else overrides).select(F.col("base").alias("dst"), "derived")
     more = calls.where("via = 'calls_virtual'").join(over, "dst").select("src", F.col("derived").alias("dst"), F.lit("calls_virtual_expanded").alias("via"))
     return calls.unionByName(more).distinct()
 
@@ -266,8 +269,8 @@ def using_declarations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 # --- impact -----------------------------------------------------------------------------------------
 
 
-def impact_seeds(edges: DataFrame, seeds: DataFrame, overrides: bool = True, subclasses: bool = True) -> DataFrame:
-    """``(seed, node, depth)``: changed nodes, their members and subclasses with members, and overrides of all these."""
+def impact_seeds(edges: DataFrame, seeds: DataFrame, overrides: DataFrame | None, subclasses: bool = True) -> DataFrame:
+    """``(seed, node, depth)``: changed nodes, their members and subclasses with members, and overrides of all these if given."""
     base = seeds.select("seed", "node", F.lit(0).alias("depth"))
     member = of(edges, "belongs_to").select(F.col("dst").alias("node"), F.col("src").alias("member"))
     out = base.unionByName(base.join(member, "node").select("seed", F.col("member").alias("node"), F.lit(0).alias("depth")))
@@ -275,9 +278,10 @@ def impact_seeds(edges: DataFrame, seeds: DataFrame, overrides: bool = True, sub
         child = inherits(edges).select(F.col("parent").alias("node"), "child")
         sub = base.join(child, "node").select("seed", F.col("child").alias("node"), F.lit(1).alias("depth"))
         out = out.unionByName(sub).unionByName(sub.join(member, "node").select("seed", F.col("member").alias("node"), F.lit(1).alias("depth")))
-    out = cut(out.groupBy("seed", "node").agg(F.min("depth").alias("depth")))
-    if overrides:
-        over = override_closure(edges).select(F.col("base").alias("node"), "derived")
+    out = out.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
+    if overrides is not None:
+        out = cut(out)
+        over = overrides.select(F.col("base").alias("node"), "derived")
         out = out.unionByName(out.join(over, "node").select("seed", F.col("derived").alias("node"), F.lit(1).alias("depth")))
     return out.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
@@ -290,9 +294,9 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: in
     smallest depth of its nodes. The changed nodes themselves are left out.
     """
     depth = min(max(depth, 1), 5)
-    start = cut(impact_seeds(edges, seeds, overrides, subclasses))
-    calls = cut(expanded_calls(edges).select("src", "dst"))
-    chain = call_chain(start.select("seed", "node"), calls, direction, depth).select("seed", "node", "depth")
+    over = override_closure(edges)
+    start = cut(impact_seeds(edges, seeds, over if overrides else None, subclasses))
+    chain = call_chain(start.select("seed", "node"), expanded_calls(edges, over), direction, depth).select("seed", "node", "depth")
     found = start.where("depth > 0").unionByName(chain).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
     found = found.join(seeds.select("seed", "node"), ["seed", "node"], "left_anti")
     out = found.join(nodes.select(F.col("id").alias("node"), "name", "file_path"), "node")
