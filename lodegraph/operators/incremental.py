@@ -19,27 +19,27 @@ from lodegraph.operators import merkle
 from lodegraph.runtime import cut, strip
 
 
-def with_digests(state: DataFrame, depth: int) -> DataFrame:
+def with_digests(state: DataFrame, depth: int, bits: int = merkle.BITS) -> DataFrame:
     """``state(key, value)`` with its leaf and its row digests."""
     return state.select(
         "key",
         "value",
-        merkle.leaf_of(F.col("key"), depth).alias("leaf"),
+        merkle.leaf_of(F.col("key"), depth, bits).alias("leaf"),
         merkle.row_digest(F.col("key"), F.col("value"), salt=1).alias("d1"),
         merkle.row_digest(F.col("key"), F.col("value"), salt=2).alias("d2"),
     )
 
 
-def changed_records(current: DataFrame, saved: DataFrame, depth: int) -> DataFrame:
+def changed_records(current: DataFrame, saved: DataFrame, depth: int, bits: int = merkle.BITS) -> DataFrame:
     """Rows of ``current(key, value)`` that ``saved(key, value)`` lacks or holds with another value.
 
     Both have one row per key. Leaves with equal digests are never compared row by row. A null value
     equals null only; keys only ``saved`` has give no row; an empty ``saved`` gives all of
     ``current``, an empty ``current`` nothing.
     """
-    now, old = cut(with_digests(current, depth)), cut(with_digests(saved, depth))
-    trees = [cut(merkle.tree(merkle.leaves(df), depth)) for df in (now, old)]
-    differ = cut(merkle.differing_leaves(*trees, depth))
+    now, old = cut(with_digests(current, depth, bits)), cut(with_digests(saved, depth, bits))
+    trees = [cut(merkle.tree(merkle.leaves(df), depth, bits=bits)) for df in (now, old)]
+    differ = cut(merkle.differing_leaves(*trees, depth, bits=bits))
     now, old = (df.join(differ, "leaf", "left_semi") for df in (now, old))
     old = old.select("key", F.col("value").alias("before"), F.lit(True).alias("known"))
     both = now.select("key", "value").join(old, "key", "left")
@@ -78,8 +78,8 @@ def taken_versions(processed_file: DataFrame, update_run: DataFrame) -> DataFram
 
 def files_to_update(parse_status: DataFrame, processed_file: DataFrame, update_run: DataFrame) -> DataFrame:
     """``(source_file, file_hash)``: files whose ready version no successful run has taken over, once each."""
-    depth = merkle.plan_depth(max(parse_status.count(), processed_file.count()))
-    out = changed_records(ready_versions(parse_status), taken_versions(processed_file, update_run), depth)
+    shape = merkle.plan_shape(max(parse_status.count(), processed_file.count()))
+    out = changed_records(ready_versions(parse_status), taken_versions(processed_file, update_run), *shape)
     return out.select(F.col("key").alias("source_file"), F.col("value").alias("file_hash"))
 
 

@@ -20,10 +20,11 @@ BITS = 4
 LEAF_ROWS = 64
 
 
-def plan_depth(rows: int, leaf_rows: int = LEAF_ROWS, bits: int = BITS) -> int:
-    """Levels under the root that give leaves of about ``leaf_rows`` rows."""
-    leaves = max(1, rows / leaf_rows)
-    return max(1, min(12, math.ceil(math.log2(leaves) / bits)))
+def plan_shape(rows: int, leaf_rows: int = LEAF_ROWS, most_bits: int = 6) -> tuple[int, int]:
+    """Levels under the root, and bits a level, that give leaves of about ``leaf_rows`` rows."""
+    total = max(1, min(48, math.ceil(math.log2(max(2, rows / leaf_rows)))))
+    depth = math.ceil(total / most_bits)
+    return depth, math.ceil(total / depth)
 
 
 def leaf_of(key: Column, depth: int, bits: int = BITS) -> Column:

@@ -40,9 +40,9 @@ def snapshot_changes(rows: DataFrame, leaf_rows: int = merkle.LEAF_ROWS) -> Data
 
     Returns ``(snapshot_no, entity, record_key, change_kind)``.
     """
-    depth = merkle.plan_depth(rows.count(), leaf_rows)
+    depth, bits = merkle.plan_shape(rows.count(), leaf_rows)
     latest = (
-        rows.withColumn("leaf", merkle.leaf_of(F.col("record_key"), depth))
+        rows.withColumn("leaf", merkle.leaf_of(F.col("record_key"), depth, bits))
         .groupBy("entity", "leaf", "snapshot_no", "record_key")
         .agg(F.max(F.struct("at", "v1", "v2")).alias("m"))
     )
@@ -50,7 +50,7 @@ def snapshot_changes(rows: DataFrame, leaf_rows: int = merkle.LEAF_ROWS) -> Data
     latest = cut(latest.select("entity", "leaf", "snapshot_no", "record_key", *digests))
 
     scope = ["entity", "snapshot_no"]
-    trees = cut(merkle.tree(merkle.leaves(latest, scope), depth, scope))
+    trees = cut(merkle.tree(merkle.leaves(latest, scope), depth, scope, bits))
     # one row per delivery: as many as snapshots, not as rows
     by = W.partitionBy("entity").orderBy("snapshot_no")
     order = trees.where("level = 0").select(*scope, F.lead("snapshot_no").over(by).alias("later"), F.row_number().over(by).alias("place"))
@@ -60,7 +60,7 @@ def snapshot_changes(rows: DataFrame, leaf_rows: int = merkle.LEAF_ROWS) -> Data
     def moved(df: DataFrame) -> DataFrame:
         return df.join(follows, scope).drop("snapshot_no").withColumnRenamed("later", "snapshot_no")
 
-    differ = cut(merkle.differing_leaves(trees.join(first, scope, "left_anti"), moved(trees), depth, scope))
+    differ = cut(merkle.differing_leaves(trees.join(first, scope, "left_anti"), moved(trees), depth, scope, bits))
     now = latest.join(first, scope, "left_anti").join(differ, [*scope, "leaf"], "left_semi").withColumn("side", F.lit(1))
     old = moved(latest).join(differ, [*scope, "leaf"], "left_semi").withColumn("side", F.lit(2))
     both = now.unionByName(old).groupBy(*scope, "record_key").agg(
