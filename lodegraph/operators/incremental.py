@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators import merkle
-from lodegraph.runtime import cut, strip
+from lodegraph.runtime import cut, small, strip
 
 
 def with_digests(state: DataFrame, depth: int, bits: int = merkle.BITS) -> DataFrame:
@@ -39,7 +39,7 @@ def changed_records(current: DataFrame, saved: DataFrame, depth: int, bits: int
     """
     now, old = cut(with_digests(current, depth, bits)), cut(with_digests(saved, depth, bits))
     trees = [cut(merkle.tree(merkle.leaves(df), depth, bits=bits)) for df in (now, old)]
-    differ = cut(merkle.differing_leaves(*trees, depth, bits=bits))
+    differ = small(merkle.differing_leaves(*trees, depth, bits=bits))
     now, old = (df.join(differ, "leaf", "left_semi") for df in (now, old))
     old = old.select("key", F.col("value").alias("before"), F.lit(True).alias("known"))
     both = now.select("key", "value").join(old, "key", "left")

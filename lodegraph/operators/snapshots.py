@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegraph.operators import merkle
-from lodegraph.runtime import cut
+from lodegraph.runtime import cut, small
 
 
 def deliveries(rows: DataFrame, entity: str, snapshot: str, key: Column, values: list[Column], loaded: str) -> DataFrame:
@@ -55,12 +55,12 @@ def snapshot_changes(rows: DataFrame, leaf_rows: int = merkle.LEAF_ROWS) -> Data
     by = W.partitionBy("entity").orderBy("snapshot_no")
     order = trees.where("level = 0").select(*scope, F.lead("snapshot_no").over(by).alias("later"), F.row_number().over(by).alias("place"))
     order = cut(order)
-    follows, first = order.where("later IS NOT NULL").select(*scope, "later"), order.where("place = 1").select(*scope)
+    follows, first = small(order.where("later IS NOT NULL").select(*scope, "later")), small(order.where("place = 1").select(*scope))
 
     def moved(df: DataFrame) -> DataFrame:
         return df.join(follows, scope).drop("snapshot_no").withColumnRenamed("later", "snapshot_no")
 
-    differ = cut(merkle.differing_leaves(trees.join(first, scope, "left_anti"), moved(trees), depth, scope, bits))
+    differ = small(merkle.differing_leaves(trees.join(first, scope, "left_anti"), moved(trees), depth, scope, bits))
     now = latest.join(first, scope, "left_anti").join(differ, [*scope, "leaf"], "left_semi").withColumn("side", F.lit(1))
     old = moved(latest).join(differ, [*scope, "leaf"], "left_semi").withColumn("side", F.lit(2))
     both = now.unionByName(old).groupBy(*scope, "record_key").agg(

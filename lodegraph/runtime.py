@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, materialised; marked for broadcast if it has at most ``most`` rows, else to be shuffled like any other."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 10_000) -> list:
     """The values of ``key`` that hold at least ``share`` of the rows (and ``least`` rows).
 
