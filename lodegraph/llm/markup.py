@@ -81,6 +81,11 @@ _WORD = re.compile(r"[\u4E00-\u9FFF]|[^\W_]+")
 _SCORED = re.compile(r"[\u4E00-\u9FFF]|[^\W_]+|[^\w\s]+|_+")
 _STRUCTURE_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "dt", "dd"}
 _R = _Rules()
+#: The longest text that emphasis holds, and that lies between the ends of a formula or a raw element.
+#: A mark whose partner is farther away is none; so the time a text takes is in proportion to its length.
+_SPAN, _FAR = 2_000, 5_000
+#: Constructs within constructs that are written, at most; deeper ones stay as they are.
+_NESTED = 20
 _ATTR = r"""(?:\s+[A-Za-z_:@][\w:.@-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+))?)*\s*"""
 
 
@@ -112,7 +117,7 @@ def _fence(code: str) -> str:
     return "\n```\n" + code.strip("\n") + "\n```\n"
 
 
-@_rule("<", "comment", r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<!\[CDATA\[.*?\]\]>|<\?(?:xml|php)\b.*?\?>", re.S | re.I)
+@_rule("<", "comment", r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^<>]*>|<!\[CDATA\[.{0,%d}?\]\]>|<\?(?:xml|php)\b.{0,%d}?\?>" % (_FAR, _FAR), re.S | re.I)
 def _comment(m, text):
     return lambda: ""
 
@@ -125,12 +130,12 @@ def _pre(m, text):
     return lambda: _fence(html.unescape(code))
 
 
-@_rule("<", "comment", r"<(script|style)\b" + _ATTR + r">.*?</\1\s*>", re.S | re.I)
+@_rule("<", "comment", r"<(script|style)\b" + _ATTR + r">.{0,%d}?</\1\s*>" % _FAR, re.S | re.I)
 def _script(m, text):
     return lambda: ""
 
 
-@_rule("<", "span", r"<(nowiki|math)\b" + _ATTR + r">(.*?)</\1\s*>", re.S | re.I)
+@_rule("<", "span", r"<(nowiki|math)\b" + _ATTR + r">(.{0,%d}?)</\1\s*>" % _FAR, re.S | re.I)
 def _raw(m, text):
     return lambda: f"${m[2].strip()}$" if m[1].lower() == "math" else m[2]
 
@@ -149,10 +154,10 @@ def _tag(m, text):
     if name not in _TAGS:
         return None
     if not m[1] and not m[4] and bare and name not in _VOID:
-        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
-        closes = re.search(rf"</{name}\s*>", text[m.end() :], re.I)
-        if not closes and (_after_name(text, m.start()) or re.search(r"#\s*include\s*$|\w<[^<>]*$", line)):
-            return None  # template arguments, or a header's name
+        line = text[max(0, m.start() - 200) : m.start()].rpartition("\n")[2]
+        if _after_name(text, m.start()) or re.search(r"#\s*include\s*$|\w<[^<>]*$", line):
+            if f"</{name}" not in text[m.end() : m.end() + _FAR].lower():
+                return None  # template arguments, or a header's name
 
     def write() -> str:
         if name[0] == "h" and name[1:].isdigit():
@@ -190,7 +195,7 @@ def _latex_quote(m, text):
     return lambda: f"\u201c{m[1]}\u201d"
 
 
-@_rule("`", "span", r"(`+)(?!`)((?:(?!\n\s*\n).)+?)(?<!`)\1(?!`)", re.S)
+@_rule("`", "span", r"(`+)(?!`)((?:(?!\n\s*\n).){1,%d}?)(?<!`)\1(?!`)" % _SPAN, re.S)
 def _code_span(m, text):
     return lambda: m[2].strip()
 
@@ -199,7 +204,7 @@ def _inner(m, text, k: int = 1):
     return lambda: render(m[k], inline=True)
 
 
-@_rule("*", "emphasis", r"(\*{2,3})(?=[^\s*])((?:(?!\n\s*\n).)+?)(?<=[^\s])\1(?!\*)", re.S)
+@_rule("*", "emphasis", r"(\*{2,3})(?=[^\s*])((?:(?!\n\s*\n).){1,%d}?)(?<=[^\s])\1(?!\*)" % _SPAN, re.S)
 def _strong(m, text):
     return None if not _WORD.search(m[2]) else _inner(m, text, 2)
 
@@ -210,7 +215,7 @@ def _star(m, text):
     return None if s.count("(") != s.count(")") or not _WORD.search(s) or re.search(r"[;=]|->", s) else _inner(m, text)
 
 
-@_rule("_", "emphasis", r"(?<!\w)__(?=[^\s_])((?:(?!\n\s*\n).)+?)(?<=[^\s_])__(?!\w)", re.S)
+@_rule("_", "emphasis", r"(?<!\w)__(?=[^\s_])((?:(?!\n\s*\n).){1,%d}?)(?<=[^\s_])__(?!\w)" % _SPAN, re.S)
 def _under2(m, text):
     return None if _DUNDERS.fullmatch(m[1]) or not _WORD.search(m[1]) else _inner(m, text)
 
@@ -220,7 +225,7 @@ def _under(m, text):
     return None if not _WORD.search(m[1]) or re.search(r"[;=()]|->", m[1]) else _inner(m, text)
 
 
-@_rule("~", "emphasis", r"~~(?=[^\s~])((?:(?!\n\s*\n).)+?)(?<=[^\s~])~~(?!~)", re.S)
+@_rule("~", "emphasis", r"~~(?=[^\s~])((?:(?!\n\s*\n).){1,%d}?)(?<=[^\s~])~~(?!~)" % _SPAN, re.S)
 def _strike(m, text):
     return _inner(m, text)
 
@@ -295,7 +300,7 @@ def _dollars(body: str) -> Callable[[], str]:
     return lambda: f"${' '.join(body.split())}$"
 
 
-@_rule("$", "formula", r"\$\$(.+?)\$\$", re.S)
+@_rule("$", "formula", r"\$\$(.{1,%d}?)\$\$" % _FAR, re.S)
 def _display(m, text):
     return _dollars(m[1])
 
@@ -310,7 +315,7 @@ def _math(m, text):
     return _dollars(body)
 
 
-@_rule("\\", "formula", r"\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
+@_rule("\\", "formula", r"\\\[(.{1,%d}?)\\\]|\\\((.{1,%d}?)\\\)" % (_SPAN, _SPAN), re.S)
 def _bracket_math(m, text):
     return None if text[m.start() - 1 : m.start()] == "\\" else _dollars(m[1] or m[2])
 
@@ -359,7 +364,7 @@ def _bare_command(m, text):
     return (lambda: "\n- ") if m[1] == "item" else (lambda: "...") if m[1] in ("ldots", "dots") else (lambda: " ")
 
 
-@_rule("'", "emphasis", r"('{5}|'{3}|'{2})(?=[^\s'])([^\n]+?)(?<=[^\s'])\1(?!')")
+@_rule("'", "emphasis", r"('{5}|'{3}|'{2})(?=[^\s'])([^\n]{1,%d}?)(?<=[^\s'])\1(?!')" % _SPAN)
 def _wiki_emphasis(m, text):
     return None if text[m.start() - 1 : m.start()] == "'" and m.start() or not _WORD.search(m[2]) else _inner(m, text, 2)
 
@@ -369,12 +374,12 @@ def _frontmatter(m, text):
     return lambda: ""
 
 
-@_line_rule("code", r"^ {0,3}(`{3,}|~{3,})[ \t]*([\w+#.-]*)[^\n`]*\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.S)
+@_line_rule("code", r"^ {0,3}(`{3,}+|~{3,}+)[ \t]*([\w+#.-]*)[^\n`]*\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.S)
 def _code_block(m, text):
     return lambda: _fence(m[3])
 
 
-@_line_rule("code", r"^ {0,3}(?:`{3,}|~{3,})[ \t]*[\w+#.-]*[ \t]*$")
+@_line_rule("code", r"^ {0,3}(?:`{3,}+|~{3,}+)[ \t]*[\w+#.-]*[ \t]*$")
 def _stray_fence(m, text):
     return lambda: ""
 
@@ -407,14 +412,18 @@ def _delimiter_row(m, text):
     return lambda: ""
 
 
-@_line_rule("table", r"^[ \t]*\|(?!\|)([^\n]*[^|\s\n][^\n]*)\|[ \t]*$")
+@_line_rule("table", r"^[ \t]*\|(?!\|)([^\n]+)\|[ \t]*$")
 def _table_row(m, text):
-    return lambda: "| " + " | ".join(render(c, inline=True).strip() for c in m[1].split("|")) + " |"
+    return None if not m[1].strip("| \t") else lambda: "| " + " | ".join(render(c, inline=True).strip() for c in m[1].split("|")) + " |"
 
 
-@_line_rule("heading", r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*?)(?:[ \t]+#+)?[ \t]*$")
+@_line_rule("heading", r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*)$")
 def _atx(m, text):
-    return lambda: m[1] + " " + render(m[2], inline=True)
+    body = m[2].rstrip()
+    bare = body.rstrip("#")
+    if bare != body and bare[-1:] in ("", " ", "\t"):
+        body = bare.rstrip()
+    return lambda: m[1] + " " + render(body, inline=True)
 
 
 @_line_rule("heading", r"^[ \t]*(={2,6})[ \t]*([^=\s][^\n]*?)[ \t]*\1[ \t]*$")
@@ -522,9 +531,8 @@ def content_region(text: str, constructs: list[Construct], weights: dict[str, fl
     return best_span
 
 
-_MANY_LINES = re.compile(r"\n[ \t]*\n(?:[ \t]*\n)+")
-_LOOSE = re.compile(r"(?m)^([ \t]*(?:- |\d+\. |\|).*)\n[ \t]*\n(?=[ \t]*(?:- |\d+\. |\| ))")
-_LINE_ENDS = re.compile(r"[ \t]+(?=\n|\Z)")
+_MANY_LINES = re.compile(r"\n{3,}")
+_LOOSE = re.compile(r"(?m)^([ \t]*(?:- |\d+\. |\|).*)\n\n(?=[ \t]*(?:- |\d+\. |\| ))")
 
 
 def _written(text: str, constructs: list[Construct], start: int, end: int) -> str:
@@ -536,9 +544,19 @@ def _written(text: str, constructs: list[Construct], start: int, end: int) -> st
     return "".join([*parts, text[at:end]])
 
 
+_depth = 0
+
+
 def render(text: str, inline: bool = False) -> str:
     """A whole text without markup."""
-    return _written(text, lex(text, inline), 0, len(text))
+    global _depth
+    if _depth >= _NESTED:
+        return text
+    _depth += 1
+    try:
+        return _written(text, lex(text, inline), 0, len(text))
+    finally:
+        _depth -= 1
 
 
 def clean(text: str, heading: bool = False, weights: dict[str, float] | None = None) -> tuple[str, list[str]]:
@@ -551,7 +569,7 @@ def clean(text: str, heading: bool = False, weights: dict[str, float] | None = N
         return text, []
     start, end = content_region(text, constructs, weights)
     out = _written(text, constructs, start, end)
-    out = _LOOSE.sub(r"\1\n", _MANY_LINES.sub("\n\n", _LINE_ENDS.sub("", out))).strip()
+    out = _LOOSE.sub(r"\1\n", _MANY_LINES.sub("\n\n", "\n".join(x.rstrip(" \t") for x in out.split("\n")))).strip()
     if heading:
         out = re.sub(r"\s+", " ", re.sub(r"^#{1,6} +", "", out))
     return out, [c.kind for c in constructs]

@@ -107,3 +107,22 @@ def test_sections(spark):
     assert rows(out.where("n_constructs > 0"), "node_id", "field") == [(1, "content_preview"), (4, "heading"), (5, "content_preview")]
     assert rows(out.where("node_id IN (1, 3, 4)"), "node_id", "field", "clean_text") == [(1, "content_preview", "x"), (1, "heading", "A"), (3, "content_preview", ""), (4, "heading", "c")]
     assert m.clean_sections(node.limit(0)).count() == 0
+
+
+LONG = [
+    "**a ", "__a b", "~~a ", "`a", "''a ", "<p>", "v<a> ", "<math>", "\\[x ", "\\(x ", "$$a", "[a", "[[a", "{{a|", "\\cmd{", "| a ", "# a  ", "*a", "_a", "&a", "<!--", "(", "'''", "> ", "- [", "<a x=", "a\n\n", "<",
+    "{", "\\begin{a}", "<pre>", "$a", "~~~", "== a ",
+]
+
+
+@pytest.mark.parametrize("piece", LONG)
+def test_time_is_in_proportion_to_length(piece):
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        start = time.process_time()
+        m.clean(piece * n)
+        m.clean(piece + " " * n + "x")
+        took.append(time.process_time() - start)
+    assert took[1] < max(10 * took[0], 3.0)
