@@ -214,6 +214,16 @@ def diamonds(spark, d):
     return code.diamonds(edges(spark, d, relations=INHERITS), 6)
 
 
+@query(f"""WITH RECURSIVE {E}, inh AS (SELECT DISTINCT src AS child, dst AS parent FROM e WHERE relation_type IN {_INH}),
+path(seed, node, p, depth) AS (SELECT DISTINCT child, child, [child], 0 FROM inh WHERE child IN (SELECT child FROM inh GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT seed, parent, list_append(p, parent), depth + 1 FROM path JOIN inh ON child = node WHERE NOT list_contains(p, parent) AND depth < 10)
+SELECT seed AS derived, node AS base, count(*) AS n_paths,
+  array_to_string(list_sort(list_distinct(flatten(list(p[2:-2])))), ',') AS between FROM path WHERE depth > 0 GROUP BY ALL HAVING count(*) > 1""")
+def diamonds_full(spark, d):
+    """Diamond inheritance within the operator's ten levels, as the reference has it (G-03, A-09)."""
+    return code.diamonds(edges(spark, d, relations=INHERITS))
+
+
 _VIRT = """own AS (SELECT id AS class_id, id AS owner FROM n WHERE type IN ('class', 'struct')
   UNION SELECT seed, node FROM anc WHERE seed IN (SELECT id FROM n WHERE type IN ('class', 'struct')))"""
 

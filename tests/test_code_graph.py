@@ -61,6 +61,32 @@ def test_inheritance_and_diamonds(spark):
     assert rows(code.virtual_table(e, n)) == [(1, 5, 1, "B::v"), (2, 6, 0, "")]
 
 
+def test_diamonds_to_ten_levels(spark, tmp_path):
+    import __spark_entry__
+
+    # two ways of 5 and of 8 steps, one of 10 (kept) and one of 11 (beyond the ten levels), and a cycle
+    links = []
+    for start, steps in ((100, (5, 5)), (200, (8, 8)), (300, (2, 10)), (400, (2, 11))):
+        for k, n in enumerate(steps):
+            way = [start, *(start + 20 * (k + 1) + i for i in range(1, n)), start + 99]
+            links += list(zip(way, way[1:], strict=False))
+    links += [(500, 501), (501, 502), (502, 500), (500, 502)]
+    spark.createDataFrame([(i, a, b, "inherits_public", None) for i, (a, b) in enumerate(links)], "id long, from_id long, to_id long, relation_type string, call_line int").write.parquet(f"{tmp_path}/edge.parquet")
+    up = {}
+    for a, b in links:
+        up.setdefault(a, []).append(b)
+    want = {}
+    for s in up:
+        front = [(s,)]
+        for _ in range(10):
+            front = [(*p, b) for p in front for b in up.get(p[-1], ()) if b not in p]
+            for p in front:
+                want.setdefault((s, p[-1]), []).append(p)
+    want = sorted((s, t, len(ps), ",".join(map(str, sorted({x for p in ps for x in p[1:-1]})))) for (s, t), ps in want.items() if len(ps) > 1)
+    assert {(200, 299), (300, 399)} < {w[:2] for w in want} and (400, 499) not in {w[:2] for w in want}
+    assert rows(__spark_entry__.queries()["diamonds_full"](spark, str(tmp_path)), "derived", "base", "n_paths", "between") == want
+
+
 def test_directions(spark):
     e = edges_of(spark, (2, 1, "inherits_public"), (5, 1, "belongs_to"), (5, 6, "calls_direct"))
     assert rows(graph.orient(e), "src", "dst") == [(1, 2), (1, 5), (5, 6)]
