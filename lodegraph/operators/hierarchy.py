@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.graph import all_pairs
 from lodegraph.runtime import cut, lookup_join
 
 #: Links that one task solves at most.
@@ -187,6 +188,31 @@ def full_hierarchy(links: DataFrame) -> DataFrame:
     return out.select("node", "root", "depth", "path", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
 
+def every_pair(links: DataFrame) -> DataFrame:
+    """``(node, ancestor, distance)``: each id with every other id above it, on and below cycles as well.
+
+    Links are taken as by ``resolve_forest``. On a cycle the other ids of it are ancestors, an id itself is none, and
+    the first way round counts.
+    """
+    one = links.where("child IS NOT NULL AND parent IS NOT NULL").groupBy(F.col("child").cast("long").alias("src")).agg(F.min(F.col("parent").cast("long")).alias("dst"))
+    return all_pairs(one).select(F.col("seed").alias("node"), F.col("node").alias("ancestor"), F.col("depth").cast("long").alias("distance"))
+
+
+def whole_hierarchy(links: DataFrame) -> DataFrame:
+    """``(node, root, depth, path, n_descendants)`` as ``full_hierarchy``, with all descendants of all nodes.
+
+    Nodes on or under a cycle have depth -1 and no path; they count as descendants and have them.
+    """
+    forest = cut(resolve_forest(links))
+    pairs = cut(every_pair(links))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False), lambda x: x["ancestor"].cast("string"))
+    above = pairs.join(forest.where("depth > 0").select("node"), "node", "left_semi").groupBy("node").agg(ids.alias("above"))
+    below = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    out = forest.join(above, "node", "left").join(below, "node", "left")
+    path = F.when(F.col("depth") >= 0, F.concat_ws("/", "above", F.col("node").cast("string")))
+    return out.select("node", "root", "depth", path.alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+
+
 # --- graphs with many parents per child ---------------------------------------------------------
 
 

@@ -40,6 +40,17 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where("distance > 0").select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "distance")
 
 
+def p3_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "edge").where("relation_type = 'belongs_to' AND to_id > 0")
+    return hierarchy.whole_hierarchy(cut(links.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent"))))
+
+
+def p3_descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "edge").where("relation_type = 'belongs_to' AND to_id > 0")
+    pairs = hierarchy.every_pair(links.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")))
+    return pairs.select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "distance")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys.heavy_targets(table(spark, d, "edge")).select("relation_type", "to_id")
 
@@ -53,7 +64,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_paths, p3_descendants, p4_found, p4_counts, p6_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_paths, p3_descendants, p3_paths_all, p3_descendants_all, p4_found, p4_counts, p6_found)
 }
 
 _HASH = r"regexp_replace(regexp_replace(lower(regexp_replace(file_hash, '^\s+|\s+$', '', 'g')), '^md5:', ''), '^\s+|\s+$', '', 'g')"
@@ -136,6 +147,15 @@ FROM (FROM rooted UNION ALL FROM looped) LEFT JOIN path USING (id) LEFT JOIN bel
 P3_DESCENDANTS = f"""WITH RECURSIVE {_OWNER}
 SELECT top AS node, id AS descendant, depth AS distance FROM up WHERE depth > 0 AND id IN (SELECT id FROM rooted)"""
 
+P3_PATHS_ALL = f"""WITH RECURSIVE {_OWNER},
+path AS (SELECT up.id, string_agg(top::VARCHAR, '/' ORDER BY up.depth DESC) AS path FROM up JOIN rooted USING (id) GROUP BY 1),
+below AS (SELECT top AS id, count(DISTINCT up.id) AS n FROM up WHERE top <> up.id GROUP BY 1)
+SELECT id AS node, root, depth, path, coalesce(n, 0) AS n_descendants
+FROM (FROM rooted UNION ALL FROM looped) LEFT JOIN path USING (id) LEFT JOIN below USING (id)"""
+
+P3_DESCENDANTS_ALL = f"""WITH RECURSIVE {_OWNER}
+SELECT top AS node, id AS descendant, min(depth) AS distance FROM up WHERE top <> id GROUP BY ALL"""
+
 _COUNTS = """
 once AS (SELECT DISTINCT from_id, to_id, relation_type, coalesce(call_line, 0) AS line FROM edge WHERE to_id > 0),
 counts AS (SELECT relation_type, to_id, count(*) AS n_edges FROM once GROUP BY ALL)"""
@@ -174,6 +194,8 @@ SQL: dict[str, str] = {
     "p3_found": P3,
     "p3_paths": P3_PATHS,
     "p3_descendants": P3_DESCENDANTS,
+    "p3_paths_all": P3_PATHS_ALL,
+    "p3_descendants_all": P3_DESCENDANTS_ALL,
     "p4_found": P4,
     "p4_counts": P4_COUNTS,
     "p6_found": P6,

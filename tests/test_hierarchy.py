@@ -85,6 +85,19 @@ def test_full_hierarchy(spark):
     ]
 
 
+def test_descendants_on_and_below_cycles(spark):
+    # 7, 8 and 11 go round; 9 hangs below, and 10 below it
+    links = [(2, 1), (3, 2), (7, 8), (8, 11), (11, 7), (9, 7), (10, 9), (12, 12), (13, 12)]
+    df = spark.createDataFrame(links, "child long, parent long")
+    assert rows(hierarchy.whole_hierarchy(df)) == sorted([
+        (1, 1, 0, "1", 2), (2, 1, 1, "1/2", 1), (3, 1, 2, "1/2/3", 0), (7, 7, -1, None, 4), (8, 7, -1, None, 4), (11, 7, -1, None, 4),
+        (9, 7, -1, None, 1), (10, 7, -1, None, 0), (12, 12, -1, None, 1), (13, 12, -1, None, 0),
+    ], key=repr)
+    assert rows(hierarchy.every_pair(df).where("node IN (10, 8, 13)")) == sorted(
+        [(10, 9, 1), (10, 7, 2), (10, 8, 3), (10, 11, 4), (8, 11, 1), (8, 7, 2), (13, 12, 1)], key=repr
+    )
+
+
 @pytest.mark.parametrize("solve", [1_000_000, 0])
 def test_cyclic_groups(spark, solve):
     cases = [
