@@ -352,3 +352,158 @@ def code_hierarchies(edge: DataFrame, include_dep: DataFrame) -> DataFrame:
         F.lit("include").alias("hierarchy"), F.col("node").alias("node_key"), F.col("root").alias("root_key"), F.lit(-1).cast("long").alias("depth")
     )
     return owner.unionByName(cycles)
+
+
+# --- including and included files ---------------------------------------------------------------
+
+#: Seeds that walk together, as bits of eight words.
+BLOCK = 512
+
+
+def include_links(include_dep: DataFrame) -> DataFrame:
+    """``(child, parent)``: each file with each file it includes, once, without system includes."""
+    pair = include_dep.where("NOT is_system").select(clean_path(F.col("source_file")).alias("child"), clean_path(F.col("included_file")).alias("parent"))
+    return pair.where("child IS NOT NULL AND parent IS NOT NULL").distinct()
+
+
+def _numbered(links: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The names in order of code points, and the places of children and parents among them."""
+    names, codes = np.unique(np.concatenate([links["child"].to_numpy(object), links["parent"].to_numpy(object)]), return_inverse=True)
+    return names, codes[: len(links)], codes[len(links) :]
+
+
+def _below_task(parts: int, count: bool):
+    """Files below each file of some of ``parts`` shares of the files, or their number, by levels of bits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        every = pd.concat(held)
+        for part, links in every.groupby("part"):
+            names, child, parent = _numbered(links)
+            order = np.argsort(child, kind="stable")
+            ends, starts = np.unique(child[order], return_index=True)
+            parent = parent[order]
+            mine = np.arange(part, len(names), parts)
+            for at in range(0, len(mine), BLOCK):
+                seeds = mine[at : at + BLOCK]
+                place = np.arange(len(seeds))
+                front = np.zeros((len(names), BLOCK // 64), np.uint64)
+                front[seeds, place // 64] = np.left_shift(np.uint64(1), (place % 64).astype(np.uint64))
+                seen, total, distance = front.copy(), np.zeros(len(seeds), np.int64), 0
+                while True:
+                    distance += 1
+                    new = np.zeros_like(front)
+                    new[ends] = np.bitwise_or.reduceat(front[parent], starts, axis=0) & ~seen[ends]
+                    row, word = np.nonzero(new)
+                    if not len(row):
+                        break
+                    seen |= new
+                    front = new
+                    bits = np.unpackbits(new[row, word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    i, bit = np.nonzero(bits)
+                    top = word[i] * 64 + bit
+                    if count:
+                        total += np.bincount(top, minlength=len(seeds))
+                    else:
+                        yield pd.DataFrame({"node": names[seeds[top]], "descendant": names[row[i]], "distance": np.full(len(i), distance, np.int64)})
+                if count:
+                    yield pd.DataFrame({"node": names[seeds], "n_descendants": total})
+
+    return run
+
+
+def _shares(links: DataFrame, parts: int) -> DataFrame:
+    """All links for each of ``parts`` tasks."""
+    return links.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, "part")
+
+
+def include_descendants(links: DataFrame, solve_rows: int = SOLVE_ROWS, parts: int = 12, count: bool = False) -> DataFrame:
+    """``(node, descendant, distance)`` of ``links(child, parent)`` with many parents: every other file that leads up to a file, fewest steps.
+
+    Up to ``solve_rows`` links, each of ``parts`` tasks holds all of them and walks down from its share
+    of the files; above, pairs are doubled over the cluster. With ``count``: ``(node, n_descendants)``.
+    """
+    links = cut(links)
+    if links.count() <= solve_rows:
+        schema = "node string, n_descendants long" if count else "node string, descendant string, distance long"
+        return _shares(links, parts).mapInPandas(_below_task(parts, count), schema)
+    pairs = all_pairs(links.select(F.col("parent").alias("src"), F.col("child").alias("dst")))
+    if count:
+        return pairs.groupBy(F.col("seed").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    return pairs.select(F.col("seed").alias("node"), F.col("node").alias("descendant"), F.col("depth").cast("long").alias("distance"))
+
+
+def _shortest_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    links = pd.concat(held)
+    names, child, parent = _numbered(links)
+    below: list[list[int]] = [[] for _ in names]
+    for c, p in zip(child.tolist(), parent.tolist(), strict=True):
+        below[p].append(c)
+    has = np.zeros(len(names), bool)
+    has[child] = True
+    # a level is walked in the order of its paths, so the first to reach a file has the smallest
+    level = np.flatnonzero(~has).tolist()
+    paths = {x: [names[x]] for x in level}
+    while level:
+        after = []
+        for x in level:
+            for y in sorted(below[x]):
+                if y not in paths:
+                    paths[y] = [*paths[x], names[y]]
+                    after.append(y)
+        level = after
+    least = np.full(len(names), len(names))
+    loops = np.searchsorted(names, _components(links.rename(columns={"child": "a", "parent": "b"}))["node"].to_numpy(object))
+    least[loops] = loops
+    while True:
+        before = least.copy()
+        np.minimum.at(least, child, before[parent])
+        if (least == before).all():
+            break
+    for at in range(0, len(names), 10_000):
+        some = range(at, min(at + 10_000, len(names)))
+        yield pd.DataFrame({
+            "node": names[at : at + 10_000],
+            "root": [paths[x][0] if x in paths else names[least[x]] for x in some],
+            "depth": [len(paths[x]) - 1 if x in paths else -1 for x in some],
+            "path": [paths.get(x) for x in some],
+        })
+
+
+def _shortest(links: DataFrame) -> DataFrame:
+    """The same over the cluster, one join a level."""
+    up = links.select(F.col("child").alias("node")).distinct()
+    front = links.select(F.col("parent").alias("node")).distinct().join(up, "node", "left_anti")
+    front = cut(front.select("node", F.array("node").alias("path")))
+    seen = front
+    while not front.isEmpty():
+        step = front.select(F.col("node").alias("parent"), "path").join(links, "parent").groupBy(F.col("child").alias("node")).agg(F.min("path").alias("path"))
+        front = cut(step.join(seen, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")))
+        seen = cut(seen.unionByName(front))
+    rest = up.join(seen, "node", "left_anti")
+    loops = cyclic_groups(links.select(F.col("child").alias("a"), F.col("parent").alias("b"))).select("node", F.col("node").alias("mark"))
+    label = cut(rest.join(loops, "node", "left").select("node", F.coalesce("mark", F.lit("\U0010ffff")).alias("mark")))
+    label = _spread(links, label, "parent", "child")
+    found = seen.select("node", F.col("path")[0].alias("root"), (F.size("path") - 1).cast("long").alias("depth"), "path")
+    return found.unionByName(label.select("node", F.col("mark").alias("root"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")))
+
+
+def include_paths(links: DataFrame, solve_rows: int = SOLVE_ROWS, parts: int = 12) -> DataFrame:
+    """``(node, root, depth, path, n_descendants)`` of each file of ``links(child, parent)``, which may have many parents.
+
+    ``path`` leads from a file that includes none down to ``node``: the shortest one, and of several the
+    smallest by its names in turn; ``root`` is its first file and ``depth`` its steps. A file above which are
+    cycles only has no path, depth -1 and as root the smallest file on a cycle that it reaches.
+    """
+    links = cut(links)
+    if links.count() <= solve_rows:
+        found = links.coalesce(1).mapInPandas(_shortest_task, "node string, root string, depth long, path array<string>")
+    else:
+        found = _shortest(links)
+    below = include_descendants(links, solve_rows, parts, count=True)
+    return found.join(below, "node", "left").select("node", "root", "depth", "path", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))

@@ -51,6 +51,14 @@ def p3_descendants_all(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "distance")
 
 
+def p3_include_paths(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.include_paths(hierarchy.include_links(table(spark, d, "include_dep")))
+
+
+def p3_include_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.include_descendants(hierarchy.include_links(table(spark, d, "include_dep")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys.heavy_targets(table(spark, d, "edge")).select("relation_type", "to_id")
 
@@ -64,7 +72,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_paths, p3_descendants, p3_paths_all, p3_descendants_all, p4_found, p4_counts, p6_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_paths, p3_descendants, p3_paths_all, p3_descendants_all, p3_include_paths, p3_include_descendants, p4_found, p4_counts, p6_found)
 }
 
 _HASH = r"regexp_replace(regexp_replace(lower(regexp_replace(file_hash, '^\s+|\s+$', '', 'g')), '^md5:', ''), '^\s+|\s+$', '', 'g')"

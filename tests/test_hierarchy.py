@@ -98,6 +98,43 @@ def test_descendants_on_and_below_cycles(spark):
     )
 
 
+def brute_includes(links):
+    up = {}
+    for c, p in links:
+        up.setdefault(c, set()).add(p)
+    nodes = {x for link in links for x in link}
+    dist = {}
+    for x in nodes:
+        front, seen = {x}, {x: 0}
+        while front:
+            front = {p for y in front for p in up.get(y, ()) if p not in seen}
+            seen.update(dict.fromkeys(front, max(seen.values()) + 1))
+        dist[x] = seen
+    cyclic = {x for x in nodes if any(x in dist[p] for p in up.get(x, ()))}
+
+    def paths(x, n):
+        return [[x]] if n == 0 and x not in up else [[*q, x] for p in up.get(x, ()) for q in paths(p, n - 1)] if n > 0 else []
+
+    out = []
+    for x in nodes:
+        depths = [k for y, k in dist[x].items() if y not in up]
+        n = sum(x in dist[y] for y in nodes) - 1
+        path = min(paths(x, min(depths))) if depths else None
+        out.append((x, path[0] if path else min(cyclic & set(dist[x])), len(path) - 1 if path else -1, path, n))
+    return sorted(out, key=repr), sorted(((p, x, k) for x in nodes for p, k in dist[x].items() if p != x), key=repr)
+
+
+@pytest.mark.parametrize("solve", [1_000_000, 0])
+def test_include_hierarchy(spark, solve):
+    r = random.Random(5)
+    fixed = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("x", "y"), ("y", "x"), ("w", "x"), ("y", "d"), ("p", "q"), ("q", "p"), ("o", "q"), ("s", "s"), ("t", "s")]
+    for links in (fixed, sorted({(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(50)})):
+        df = spark.createDataFrame(links, "child string, parent string")
+        every, pairs = brute_includes(links)
+        assert rows(hierarchy.include_paths(df, solve, 3)) == every
+        assert rows(hierarchy.include_descendants(df, solve, 3)) == pairs
+
+
 @pytest.mark.parametrize("solve", [1_000_000, 0])
 def test_cyclic_groups(spark, solve):
     cases = [
