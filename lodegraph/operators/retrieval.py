@@ -137,23 +137,44 @@ def bridge_calls(bridge: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
     return out.select("symbol", "node_id", "tier", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, least: float, bits: int = 12, tables: int = 24) -> DataFrame:
-    """``(a_id, b_id, similarity)``: pairs of vectors with cosine ``least`` or more, by random hyperplanes (J-17, R-14).
+def similar_pairs(a: DataFrame, b: DataFrame, least: float, block: int = 4096) -> DataFrame:
+    """``(a_id, b_id, similarity)``: all pairs of vectors with cosine ``least`` or more, exactly (J-17, R-14).
 
-    Vectors with the same signs to ``bits`` planes of one of ``tables`` sets of planes are compared. Planes are fixed by
-    a hash, so results repeat. Pairs with a cosine near ``least`` can be missed; ``block_pairs`` is exact.
+    Both sides are laid in blocks of about ``block`` vectors by a hash of the id; a task multiplies one
+    block of either as matrices, in strips. All pairs are compared: at a threshold such as 0.45 signs
+    of hyperplanes rule out too few to keep the recall. Nothing goes through the driver.
     ``a(id, vec)`` and ``b(id, vec)``; a null or zero vector has no pairs.
     """
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        v = df.where("vec IS NOT NULL AND exists(vec, x -> x <> 0)").select(F.col("id").alias(f"{name}_id"), t.unit("vec").alias(f"{name}_vec"))
-        side = lambda plane: F.aggregate(
-            F.zip_with(f"{name}_vec", F.sequence(F.lit(0), F.size(f"{name}_vec") - 1), lambda x, i: x * (F.pmod(F.xxhash64(plane, i), F.lit(2001)) - 1000)), F.lit(0.0), lambda s, x: s + x
-        )
-        code = lambda table: F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda s, k: s * 2 + F.when(side(table * 1000 + k) > 0, 1).otherwise(0))
-        return v.withColumn("band", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda x: F.struct(x.alias("t"), code(x).alias("c")))))
-
-    pairs = keyed(a, "a").join(keyed(b, "b"), "band").where("a_id <> b_id").dropDuplicates(["a_id", "b_id"])
-    return pairs.select("a_id", "b_id", t.dot("a_vec", "b_vec").alias("similarity")).where(F.col("similarity") >= least)
+    import numpy as np
+    import pandas as pd
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        rows = df.where("vec IS NOT NULL AND exists(vec, x -> x <> 0)")
+        return cut(rows.select(F.col("id").cast("long").alias(f"{name}_id"), F.col("vec").cast("array<double>").alias(f"{name}_vec")))
+
+    kept = [named(a, "a"), named(b, "b")]
+    na, nb = (max(1, -(-df.count() // block)) for df in kept)
+
+    def laid(df: DataFrame, name: str, own: str, n: int, other: str, times: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(f"{name}_id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1)).cast("array<long>")))
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        v = np.array(rows.tolist(), float)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a_id": np.array([], np.int64), "b_id": np.array([], np.int64), "similarity": np.array([], float)})]
+        if len(x) and len(y):
+            ux, uy, ix, iy = unit(x["a_vec"]), unit(y["b_vec"]), x["a_id"].to_numpy(), y["b_id"].to_numpy()
+            for at in range(0, len(ix), 512):
+                s = ux[at : at + 512] @ uy.T
+                i, j = np.nonzero(s >= least)
+                keep = ix[at + i] != iy[j]
+                out.append(pd.DataFrame({"a_id": ix[at + i][keep], "b_id": iy[j][keep], "similarity": s[i, j][keep]}))
+        return pd.concat(out[1:] or out)
+
+    left, right = laid(kept[0], "a", "ai", na, "aj", nb), laid(kept[1], "b", "bj", nb, "bi", na)
+    return left.groupBy("ai", "aj").cogroup(right.groupBy("bi", "bj")).applyInPandas(product, "a_id long, b_id long, similarity double")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:

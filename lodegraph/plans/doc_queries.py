@@ -219,6 +219,14 @@ def similar_vectors(spark, d):
     return retrieval.nearest(v.where("id % 50 = 0"), v, 0.3).select("a_id", "b_id", F.round("similarity", 3).alias("similarity"))
 
 
+@query("""SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 3) AS similarity
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45""")
+def similar_pairs(spark, d):
+    """All pairs of vectors with the reference's threshold of similarity, exactly (J-17, R-14)."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return retrieval.similar_pairs(v, v, 0.45).select("a_id", "b_id", F.round("similarity", 3).alias("similarity"))
+
+
 # --- telemetry ---------------------------------------------------------------------------------------
 
 

@@ -165,6 +165,19 @@ def test_vectors(spark):
     assert found <= want and len(found) >= 0.9 * len(want)
 
 
+def test_all_similar_pairs_at_the_threshold_of_the_reference(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = r.normal(size=(250, 16))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.45), strict=True) if i != j}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, [0.0] * 16), (901, None)], "id long, vec array<double>")
+    for block in (4096, 60):
+        found = [(x.a_id, x.b_id) for x in retrieval.similar_pairs(df, df, 0.45, block).collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def finding(title, at, symbols=(), **x):
     return {"title": title, "detail": x.get("detail"), "ftype": x.get("ftype", "fact"), "symbols": list(symbols), "source": "s", "confidence": "confirmed", "tags": ["t"], "updated_at": at, "embedding": x.get("vec")}
 
