@@ -17,7 +17,7 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.clean_sections(table(spark, d, "node")).where("n_constructs > 0").select("node_id", "field")
+    return markup.clean_sections(table(spark, d, "node")).where("n_kept + n_rejected > 0").select("node_id", "field")
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:

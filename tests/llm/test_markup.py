@@ -28,7 +28,7 @@ MARKED = [
 @pytest.mark.parametrize("text", PLAIN)
 def test_plain_text_stays(text):
     for heading in (False, True):
-        assert m.clean(text, heading) == (text, [])
+        assert m.clean(text, heading) == (text, [], 0)
 
 
 @pytest.mark.parametrize("text", MARKED)
@@ -109,6 +109,42 @@ def test_sections(spark):
     assert m.clean_sections(node.limit(0)).count() == 0
 
 
+CODE = "if (a < b) { call(a, *b); }\n"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("A text. <script>" + CODE * 40_000 + "</script> More of it.", "A text.  More of it."),
+        ("A text. `" + "f(x) " * 200_000 + "` More of it.", "A text. " + ("f(x) " * 200_000).strip() + " More of it."),
+        ("A text. $$" + "x_1 + " * 170_000 + "y$$ More of it.", "A text. $" + "x_1 + " * 170_000 + "y$ More of it."),
+        ("**" + "word " * 200_000 + "end** x", "word " * 200_000 + "end x"),
+        ("{{infobox|name={{lang|en|Reader}}|x=1}}\nThe reader takes all of it.", "The reader takes all of it."),
+        ("{{a|" * 3_000 + "x" + "}}" * 3_000 + " The text goes on.", "The text goes on."),
+        ("\\textbf{" * 3_000 + "the text" + "}" * 3_000, "the text"),
+        ("[[" + "a|" * 3_000 + "the text]]", "the text"),
+        ("~~**" * 2_000 + "the text" + "**~~" * 2_000, None),
+        ("1234567. the text", "1234567. the text"),
+        ("******** deep item", "- deep item"),
+        ("vector<a> and " + "word " * 3_000 + '<a href="x.html">y</a>', "vector<a> and " + "word " * 3_000 + "y"),
+    ],
+)
+def test_no_distance_or_depth_is_limited(text, want):
+    import time
+
+    start = time.process_time()
+    got = m.clean(text)
+    assert time.process_time() - start < 20
+    assert got.kinds or want == text
+    assert want is None or got.text == want
+
+
+def test_marks_far_apart_in_a_table_and_in_the_tables(spark):
+    long_ones = ["`" + "f(x) " * 200_000 + "`", "$$" + "x " * 500_000 + "$$", "<script>" + CODE * 30_000 + "</script>x"]
+    node = spark.createDataFrame([(i, "doc_section", None, t, None) for i, t in enumerate(long_ones)], "id long, type string, heading string, content_preview string, updated_at timestamp")
+    assert rows(m.clean_sections(node).where("n_constructs > 0"), "node_id") == [(0,), (1,), (2,)]
+
+
 LONG = [
     "**a ", "__a b", "~~a ", "`a", "''a ", "<p>", "v<a> ", "<math>", "\\[x ", "\\(x ", "$$a", "[a", "[[a", "{{a|", "\\cmd{", "| a ", "# a  ", "*a", "_a", "&a", "<!--", "(", "'''", "> ", "- [", "<a x=", "a\n\n", "<",
     "{", "\\begin{a}", "<pre>", "$a", "~~~", "== a ",
