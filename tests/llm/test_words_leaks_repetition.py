@@ -68,12 +68,12 @@ def leak_case():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_leaks_equal_brute_force(spark, block):
+@pytest.mark.parametrize("size", [1_000_000, 250])
+def test_leaks_equal_brute_force(spark, size):
     docs, items = leak_case()
     d = spark.createDataFrame([(i, t, "en", None, None) for i, t in docs], DOC)
     h = spark.createDataFrame([(i, "qa", t) for i, t in items], "item_id long, task string, text string")
-    got = leakage.leaked_items(d, h, block_items=block)
+    got = leakage.leaked_items(d, h, shard_words=size, block_words=size)
     assert rows(got, "doc_id", "item_id") == brute_leaks(docs, items)
     assert leakage.leaked_items(d.limit(0), h).count() == 0 == leakage.leaked_items(d, h.limit(0)).count()
     report = leakage.leak_report(got, h)
@@ -89,6 +89,41 @@ def test_longest_match_and_its_place(spark):
     assert rows(leakage.leaked_items(d, h)) == [(1, 9, 30, 18)]
 
 
+def test_suffix_array_is_in_order_of_whole_suffixes():
+    r = random.Random(4)
+    for _ in range(60):
+        runs = [[r.choice("ab") for _ in range(r.randrange(1, 40))] for _ in range(r.randrange(1, 6))]
+        shard = leakage.Shard(runs)
+        codes = shard.codes.tolist()
+        want = sorted((k for k, c in enumerate(codes) if c >= len(runs)), key=lambda k: codes[k:])
+        assert shard.suffixes.tolist() == want
+    assert leakage.Shard([["a"] * 5_000]).suffixes.tolist() == list(range(4_999, -1, -1))
+
+
+def test_many_items_stay_out_of_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    r = random.Random(8)
+    items = [(i, "qa", " ".join(f"w{r.randrange(5_000)}" for _ in range(20))) for i in range(10_000)]
+    docs = [(k, "x " + items[7 * k][2] + " y", None, None, None) for k in range(300)]
+    d, h = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, task string, text string")
+    gathered = []
+    plain = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: gathered.append(self.columns) or plain(self))
+    got = leakage.leaked_items(d, h, block_words=50_000)
+    # a row for each of four lengths, the bitmap, a sum
+    assert [len(c) for c in gathered] == [3, 2, 1] and gathered[1] == ["slice", "held"]
+    assert rows(got) == sorted(((k, 7 * k, 20, 1) for k in range(300)), key=repr)
+
+
+def test_one_passage_in_a_third_of_all_documents(spark):
+    passage = " ".join(f"p{k}" for k in range(15))
+    docs = [(k, f"d{k} {passage} e{k}" if k % 3 == 0 else f"other text {k}", None, None, None) for k in range(3_000)]
+    items = [(k, "qa", f"{passage} i{k}") for k in range(20)]
+    d, h = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, task string, text string")
+    assert leakage.leaked_items(d, h, shard_words=2_000).where("n_words = 15 AND at_word = 1").count() == 20_000
+
+
 def brute_share(text, window=6):
     w = brute_words(text)
     win = [tuple(w[k : k + window]) for k in range(len(w) - window + 1)]
