@@ -5,21 +5,24 @@ child; each partition contracts the parent chains it holds to fragment exits (th
 chain whose link it does not hold). The exits and their own fragments form a smaller quotient
 forest, which is solved the same way, over fewer partitions, until it fits one. A quotient that no
 longer shrinks is solved by one task up to a bound, else by distributed pointer doubling. Then
-fragments are expanded.
+fragments are expanded: roots, depths and paths come down from the exits, numbers of descendants go up
+from the tops of fragments. No pairs of nodes are made.
 
-``cyclic_groups`` handles graphs in which a child has many parents (includes): strongly connected
-components, by trimming nodes that cannot lie on a cycle and, once few enough links are left, one
-linear pass over them, else by distributed colouring.
+``cyclic_groups`` handles graphs in which a child has many parents (includes) the same way: nodes that
+cannot lie on a cycle are trimmed, cycles within partitions are contracted to one node each, and the
+quotient graph is solved again, over fewer partitions, until one partition holds it; one that no longer
+shrinks and is too large for a task is solved by distributed colouring.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +37,26 @@ PART_ROWS = 50_000
 FRAGMENT = "node long, exit long, steps long, low long, cyclic boolean"
 
 
-def _contract(node: np.ndarray, parent: np.ndarray, steps: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+def _at_hand(node: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The place of each parent among the sorted nodes, their number where it is not there."""
+    n = len(node)
+    at = np.searchsorted(node, parent)
+    return np.where((at < n) & (node[np.minimum(at, n - 1)] == parent), at, n)
+
+
+def _contract(node: np.ndarray, parent: np.ndarray, steps: np.ndarray, low: np.ndarray, path: list[str] | None = None) -> tuple:
     """Follow the links that are at hand, by pointer doubling.
 
-    ``low`` is the smallest node a link stands for. Returns for each link its exit, the steps to it,
-    the smallest node before it, and whether it ends in a cycle; then the exit is the cycle's
-    smallest node.
+    ``low`` is the smallest node a link stands for, ``path`` the nodes it stands for from the top down.
+    Returns for each link its exit, the steps to it, the smallest node before it, whether it ends in a
+    cycle (then the exit is the cycle's smallest node), and the path from below the exit if paths are given.
     """
     n = len(node)
     order = np.argsort(node, kind="stable")
     node, parent, steps, low = node[order], parent[order], steps[order], low[order]
-    at = np.searchsorted(node, parent)
-    at = np.where((at < n) & (node[np.minimum(at, n - 1)] == parent), at, n)  # n: not at hand
+    at = _at_hand(node, parent)
     jump, dist, least = np.append(at, n), np.append(steps, 0), np.append(low, np.iinfo(np.int64).max)
+    hops = np.append(np.ones(n, np.int64), 0)
     out = np.append(parent, 0)
     for _ in range(max(1, math.ceil(math.log2(n + 1)) + 1)):
         go = jump[:n] < n
@@ -55,12 +65,22 @@ def _contract(node: np.ndarray, parent: np.ndarray, steps: np.ndarray, low: np.n
         to = jump[:n]
         out[:n] = np.where(go, out[to], out[:n])
         dist[:n] = np.where(go, np.minimum(dist[:n] + dist[to], 1 << 62), dist[:n])
+        hops[:n] = np.where(go, np.minimum(hops[:n] + hops[to], 1 << 62), hops[:n])
         least[:n] = np.minimum(least[:n], least[to])
         jump[:n] = jump[to]
     cyclic = jump[:n] < n
     # the place a cyclic chain has come to lies on the cycle, and all of the cycle is ahead of it
     exit_ = np.where(cyclic, least[np.minimum(jump[:n], n)], out[:n])
-    return node, exit_, dist[:n], least[:n], cyclic
+    if path is None:
+        return node, exit_, dist[:n], least[:n], cyclic
+    held = [path[k] for k in order.tolist()]
+    up = at.tolist()
+    for k in np.argsort(hops[:n], kind="stable").tolist():
+        if cyclic[k]:
+            held[k] = ""
+        elif up[k] < n:
+            held[k] = f"{held[up[k]]}/{held[k]}"
+    return node, exit_, dist[:n], least[:n], cyclic, held
 
 
 def _contract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,23 +88,37 @@ def _contract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     if not held:
         return
     rows = pa.Table.from_batches(held)
-    got = _contract(*(rows.column(c).to_numpy() for c in ("node", "exit", "steps", "low")))
-    table = pa.table(dict(zip(("node", "exit", "steps", "low", "cyclic"), got, strict=True)))
-    yield from table.to_batches(max_chunksize=100_000)
+    columns = [rows.column(c).to_numpy() for c in ("node", "exit", "steps", "low")]
+    paths = "path" in rows.column_names
+    got = _contract(*columns, rows.column("path").to_pylist() if paths else None)
+    names = ("node", "exit", "steps", "low", "cyclic", "path")
+    yield from pa.table(dict(zip(names[: len(got)], got, strict=True))).to_batches(max_chunksize=100_000)
+
+
+def _columns(links: DataFrame) -> list[str]:
+    return [c for c in ("node", "exit", "steps", "low", "path") if c in links.columns]
 
 
 def _fragments(links: DataFrame, rows: int, part_rows: int) -> DataFrame:
-    """Contract the chains within each partition; ``links(node, exit, steps, low)`` has one row per node."""
+    """Contract the chains within each partition; ``links(node, exit, steps, low)`` has one row per node, and may have paths."""
     parts = max(1, math.ceil(rows / part_rows))
     placed = links.coalesce(1) if parts == 1 else links.repartitionByRange(parts, "node")
-    return placed.select("node", "exit", "steps", "low").mapInArrow(_contract_batches, FRAGMENT)
+    columns = _columns(links)
+    return placed.select(*columns).mapInArrow(_contract_batches, FRAGMENT + (", path string" if "path" in columns else ""))
+
+
+def _below(top: str, own: str) -> Column:
+    """A path below another, which may be none."""
+    return F.concat_ws("/", F.nullif(F.col(top), F.lit("")), F.col(own))
 
 
 def _double(links: DataFrame, rows: int) -> DataFrame:
     """Solve links by pointer doubling over the cluster; for quotients that one task cannot hold."""
-    state = links.select("node", "exit", "steps", "low")
+    columns = _columns(links)
+    paths = ["path"] if "path" in columns else []
+    state = links.select(*columns)
     for _ in range(math.ceil(math.log2(rows + 1)) + 1):
-        ahead = state.select(F.col("node").alias("exit"), F.col("exit").alias("next"), F.col("steps").alias("more"), F.col("low").alias("lower"))
+        ahead = state.select(F.col("node").alias("exit"), F.col("exit").alias("next"), F.col("steps").alias("more"), F.col("low").alias("lower"), *(F.col(c).alias("above") for c in paths))
         joined = lookup_join(state, ahead, "exit")
         state = cut(
             joined.select(
@@ -92,21 +126,25 @@ def _double(links: DataFrame, rows: int) -> DataFrame:
                 F.coalesce("next", "exit").alias("exit"),
                 F.least(F.col("steps") + F.coalesce("more", F.lit(0)), F.lit(1 << 61)).alias("steps"),
                 F.least("low", F.coalesce("lower", "low")).alias("low"),
+                # a path that goes round a cycle would double without end; such paths are left out at last
+                *(F.when(F.length("path") < 1 << 24, _below("above", "path")).otherwise(F.col("path")).alias("path") for _ in paths),
                 F.col("next").isNotNull().alias("moved"),
             )
         )
         if state.where("moved").isEmpty():
-            return state.select("node", "exit", "steps", "low", F.lit(False).alias("cyclic"))
+            return state.select(*columns[:4], F.lit(False).alias("cyclic"), *paths)
         state = state.drop("moved")
     ahead = state.select(F.col("node").alias("exit"), F.col("low").alias("cycle_low"))
     joined = lookup_join(state, ahead, "exit")
     cyclic = F.col("cycle_low").isNotNull()
-    return joined.select("node", F.coalesce("cycle_low", "exit").alias("exit"), "steps", "low", cyclic.alias("cyclic"))
+    return joined.select("node", F.coalesce("cycle_low", "exit").alias("exit"), "steps", "low", cyclic.alias("cyclic"), *(F.when(~cyclic, F.col(c)).otherwise("").alias(c) for c in paths))
 
 
 def _solve(links: DataFrame, solve_rows: int, part_rows: int, before: int | None = None) -> DataFrame:
-    """Each node's root, steps and whether its way up ends in a cycle (then the root is its smallest node)."""
+    """Each node's root, steps and whether its way up ends in a cycle (then the root is its smallest node); with the path from below the root if links have paths."""
     links = cut(links)
+    columns = _columns(links)
+    paths = columns[4:]
     rows = links.count()
     stuck = before is not None and rows > 0.9 * before
     if rows <= part_rows or stuck and rows <= solve_rows:
@@ -116,16 +154,16 @@ def _solve(links: DataFrame, solve_rows: int, part_rows: int, before: int | None
     local = cut(_fragments(links, rows, part_rows))
     open_ = local.where("NOT cyclic")
     exits = open_.select(F.col("exit").alias("node")).distinct()
-    quotient = open_.join(exits, "node", "left_semi").select("node", "exit", "steps", "low")
+    quotient = open_.join(exits, "node", "left_semi").select(*columns)
     solved = _solve(quotient, solve_rows, part_rows, rows)
     # exits whose own fragment closes on itself are solved already; others may end there
-    loops = cut(local.where("cyclic").join(exits, "node", "left_semi").select("node", "exit", "steps", "low", "cyclic"))
+    loops = cut(local.where("cyclic").join(exits, "node", "left_semi").select(*columns, "cyclic"))
     ends = lookup_join(solved, loops.select(F.col("node").alias("exit"), F.col("exit").alias("loop")), "exit")
     solved = ends.select(
-        "node", F.coalesce("loop", "exit").alias("exit"), "steps", "low", (F.col("cyclic") | F.col("loop").isNotNull()).alias("cyclic")
+        "node", F.coalesce("loop", "exit").alias("exit"), "steps", "low", (F.col("cyclic") | F.col("loop").isNotNull()).alias("cyclic"), *paths
     )
     solved = cut(solved.unionByName(loops))
-    top = solved.select(F.col("node").alias("exit"), F.col("exit").alias("root"), F.col("steps").alias("more"), F.col("cyclic").alias("loops"))
+    top = solved.select(F.col("node").alias("exit"), F.col("exit").alias("root"), F.col("steps").alias("more"), F.col("cyclic").alias("loops"), *(F.col(c).alias("above") for c in paths))
     joined = lookup_join(open_, top, "exit")
     expanded = joined.select(
         "node",
@@ -133,25 +171,149 @@ def _solve(links: DataFrame, solve_rows: int, part_rows: int, before: int | None
         (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
         "low",
         F.coalesce("loops", F.lit(False)).alias("cyclic"),
+        *(_below("above", "path").alias("path") for _ in paths),
     )
     return expanded.unionByName(local.where("cyclic"))
 
 
-def resolve_forest(links: DataFrame, solve_rows: int = SOLVE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+def one_parent(links: DataFrame) -> DataFrame:
+    """``(node, exit)``: each child of ``links(child, parent)`` with its parent, the smallest of several; links with a null on either side are none."""
+    return links.where("child IS NOT NULL AND parent IS NOT NULL").groupBy(F.col("child").cast("long").alias("node")).agg(F.min(F.col("parent").cast("long")).alias("exit"))
+
+
+def resolve_forest(links: DataFrame, solve_rows: int = SOLVE_ROWS, part_rows: int = PART_ROWS, paths: bool = False) -> DataFrame:
     """``(node, root, depth)`` for each id of ``links(child, parent)``, on either side.
 
     ``root`` is the topmost id above a node and ``depth`` the steps to it, 0 for a root. If the way up
     ends in a cycle, ``root`` is the cycle's smallest id and ``depth`` is -1. Repeated links count
     once; links with a null on either side are no links; of several parents of a child the smallest
-    counts; a child that is its own parent is a cycle; no links give no rows.
+    counts; a child that is its own parent is a cycle; no links give no rows. With ``paths`` also
+    ``path``, the ids from the root down to the node joined by ``/``; null where depth is -1.
     """
-    one = links.where("child IS NOT NULL AND parent IS NOT NULL").groupBy(F.col("child").cast("long").alias("node")).agg(F.min(F.col("parent").cast("long")).alias("exit"))
-    one = cut(one)
-    solved = cut(_solve(one.select("node", "exit", F.lit(1).cast("long").alias("steps"), F.col("node").alias("low")), solve_rows, part_rows))
+    one = cut(one_parent(links))
+    start = one.select("node", "exit", F.lit(1).cast("long").alias("steps"), F.col("node").alias("low"), *([F.col("node").cast("string").alias("path")] if paths else []))
+    solved = cut(_solve(start, solve_rows, part_rows))
     tops = one.select(F.col("exit").alias("node")).distinct().join(one, "node", "left_anti")
     depth = F.when(F.col("cyclic"), F.lit(-1).cast("long")).otherwise(F.col("steps"))
-    found = solved.select("node", F.col("exit").alias("root"), depth.alias("depth"))
-    return found.unionByName(tops.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth")))
+    path = [F.when(~F.col("cyclic"), F.concat_ws("/", F.col("exit").cast("string"), "path")).alias("path")] if paths else []
+    found = solved.select("node", F.col("exit").alias("root"), depth.alias("depth"), *path)
+    own = [F.col("node").cast("string").alias("path")] if paths else []
+    return found.unionByName(tops.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), *own))
+
+
+# --- numbers of descendants ----------------------------------------------------------------------
+
+_SUMS = "node long, exit long, weight long, part long, top long, out long, total long"
+
+
+def _add_up(rows: pa.Table) -> pa.Table:
+    """Of the nodes at hand: the topmost one above each, where that one leads, and the weights of all below it and its own."""
+    node, exit_, weight, part = (rows.column(c).to_numpy() for c in ("node", "exit", "weight", "part"))
+    n = len(node)
+    order = np.argsort(node, kind="stable")
+    node, exit_, weight, part = node[order], exit_[order], weight[order], part[order]
+    at = _at_hand(node, exit_)
+    jump, last, hops = np.append(at, n), np.arange(n + 1), np.append(np.ones(n, np.int64), 0)
+    while (go := jump[:n] < n).any():
+        to = jump[:n]
+        last[:n] = np.where(go, last[to], last[:n])
+        hops[:n] = np.where(go, hops[:n] + hops[to], hops[:n])
+        jump[:n] = jump[to]
+    total, up = weight.tolist(), at.tolist()
+    for k in np.argsort(-hops[:n], kind="stable").tolist():
+        if up[k] < n:
+            total[up[k]] += total[k]
+    top = last[:n]
+    return pa.table({"node": node, "exit": exit_, "weight": weight, "part": part, "top": node[top], "out": exit_[top], "total": pa.array(total, pa.int64())})
+
+
+def _add_up_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        rows = pa.Table.from_batches(held)
+        part = pa.array(np.full(rows.num_rows, TaskContext.get().partitionId()), pa.int64())
+        yield from _add_up(rows.append_column("part", part)).to_batches(max_chunksize=100_000)
+
+
+def _add_up_doubled(links: DataFrame) -> DataFrame:
+    """The same over the cluster: after each round a node holds what lies less than twice as many steps below it."""
+    state = links.select("node", "exit", F.col("weight").alias("total"))
+    while True:
+        sent = state.where("exit IS NOT NULL").groupBy(F.col("exit").alias("node")).agg(F.sum("total").alias("more"))
+        ahead = state.select(F.col("node").alias("exit"), F.col("exit").alias("next"))
+        joined = lookup_join(state.join(sent, "node", "left"), ahead, "exit")
+        state = cut(joined.select("node", F.col("next").alias("exit"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")))
+        if state.where("exit IS NOT NULL").isEmpty():
+            return state.select("node", "total")
+
+
+def _sums(links: DataFrame, solve_rows: int, part_rows: int, before: int | None = None) -> DataFrame:
+    """``(node, total)``: the weights of each node of ``links(node, exit, weight)``, a forest, and of all below it.
+
+    Fragments are added up within partitions. Their tops, each with its fragment's sum and linked to the
+    top above its exit, form the quotient forest; its sums hang below the exits when the fragments are
+    added up again.
+    """
+    links = cut(links.select("node", "exit", "weight"))
+    rows = links.count()
+    stuck = before is not None and rows > 0.9 * before
+    if rows <= part_rows or stuck and rows <= solve_rows:
+        return links.coalesce(1).mapInArrow(_add_up_batches, _SUMS).select("node", "total")
+    if stuck:
+        return _add_up_doubled(links)
+    local = cut(links.repartitionByRange(math.ceil(rows / part_rows), "node").mapInArrow(_add_up_batches, _SUMS))
+    tops = cut(local.where("node = top").select("node", F.col("out").alias("exit"), F.col("total").alias("weight")))
+    home = local.select(F.col("node").alias("exit"), F.col("top").alias("up"))
+    quotient = lookup_join(tops, home, "exit").select("node", F.coalesce("up", "exit").alias("exit"), "weight")
+    solved = _sums(quotient, solve_rows, part_rows, rows)
+    hang = tops.select("node", "exit").join(solved, "node").groupBy(F.col("exit").alias("node")).agg(F.sum("total").alias("more"))
+    again = local.select("node", "exit", "weight", "part").join(hang, "node", "left").select("node", "exit", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"), "part")
+    return again.groupBy("part").applyInArrow(_add_up, _SUMS).select("node", "total")
+
+
+def _on_cycles(links: DataFrame) -> DataFrame:
+    """``(node)`` of ``links(node, exit)`` whose ways up all end in cycles: those on one. After as many steps as there are links each way has come to one."""
+    state = cut(links.select("node", F.col("exit").alias("at")))
+    for _ in range(math.ceil(math.log2(state.count() + 1))):
+        ahead = state.select(F.col("node").alias("at"), F.col("at").alias("next"))
+        state = cut(lookup_join(state, ahead, "at", "inner").select("node", F.col("next").alias("at")))
+    return state.select(F.col("at").alias("node")).distinct()
+
+
+def descendant_counts(links: DataFrame, forest: DataFrame, cycles: bool = True, solve_rows: int = SOLVE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """``(node, n_descendants)`` of each id of ``forest``, which ``resolve_forest`` made of ``links``.
+
+    Descendants on a cycle are all ids whose way up leads there. Without ``cycles`` ids of depth -1 count 0.
+    """
+    one = one_parent(links)
+    tree = cut(forest.where("depth > 0").select("node", "root", "depth").join(one, "node"))
+    total = cut(_sums(tree.select("node", "exit", F.lit(1).cast("long").alias("weight")), solve_rows, part_rows))
+    roots = tree.where("depth = 1").select("node", "root").join(total, "node").groupBy(F.col("root").alias("node")).agg(F.sum("total").alias("n_descendants"))
+    out = roots.unionByName(total.select("node", (F.col("total") - 1).alias("n_descendants")))
+    looped = forest.where("depth < 0").select("node", "root")
+    if not cycles:
+        return out.unionByName(looped.select("node", F.lit(0).cast("long").alias("n_descendants")))
+    ring = cut(looped.join(one, "node"))
+    if ring.isEmpty():
+        return out
+    on = cut(_on_cycles(ring))
+    hanging = ring.join(on, "node", "left_anti").select("node", "exit", F.lit(1).cast("long").alias("weight"))
+    under = _sums(hanging, solve_rows, part_rows).select("node", (F.col("total") - 1).alias("n_descendants"))
+    size = ring.groupBy("root").agg((F.count(F.lit(1)) - 1).alias("n_descendants"))
+    around = lookup_join(ring.join(on, "node", "left_semi").select("node", "root"), size, "root").select("node", "n_descendants")
+    return out.unionByName(under).unionByName(around)
+
+
+def full_hierarchy(links: DataFrame, cycles: bool = False, paths: bool = True, solve_rows: int = SOLVE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """``(node, root, depth, path, n_descendants)``: path from the root down, ids joined by ``/``.
+
+    Nodes on or under a cycle have depth -1 and no path; with ``cycles`` they have descendants. Without
+    ``paths``, whose total length is the square of a chain's, that column is left out.
+    """
+    links = cut(links.select("child", "parent"))
+    forest = cut(resolve_forest(links, solve_rows, part_rows, paths))
+    below = descendant_counts(links, forest, cycles, solve_rows, part_rows)
+    return forest.join(below, "node", "left").select(*forest.columns, F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
 
 def ancestor_pairs(links: DataFrame, forest: DataFrame) -> DataFrame:
@@ -161,7 +323,7 @@ def ancestor_pairs(links: DataFrame, forest: DataFrame) -> DataFrame:
     log2(D) joins. Read by ``ancestor`` this is the list of all descendants.
     """
     tree = forest.where("depth >= 0").select("node")
-    one = links.where("child IS NOT NULL AND parent IS NOT NULL").groupBy(F.col("child").cast("long").alias("node")).agg(F.min(F.col("parent").cast("long")).alias("ancestor"))
+    one = one_parent(links).withColumnRenamed("exit", "ancestor")
     near = cut(one.join(tree, "node", "left_semi").withColumn("distance", F.lit(1).cast("long")))
     pairs, reach = near, 1
     deepest = forest.agg(F.max("depth")).first()[0] or 0
@@ -174,43 +336,13 @@ def ancestor_pairs(links: DataFrame, forest: DataFrame) -> DataFrame:
     return pairs.unionByName(tree.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance")))
 
 
-def full_hierarchy(links: DataFrame) -> DataFrame:
-    """``(node, root, depth, path, n_descendants)``: path from the root down, ids joined by ``/``.
-
-    Nodes on or under a cycle have depth -1 and no path.
-    """
-    forest = cut(resolve_forest(links))
-    pairs = cut(ancestor_pairs(links, forest))
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False), lambda x: x["ancestor"].cast("string"))
-    path = pairs.groupBy("node").agg(F.array_join(ids, "/").alias("path"))
-    below = pairs.where("distance > 0").groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
-    out = forest.join(path, "node", "left").join(below, "node", "left")
-    return out.select("node", "root", "depth", "path", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
-
-
 def every_pair(links: DataFrame) -> DataFrame:
     """``(node, ancestor, distance)``: each id with every other id above it, on and below cycles as well.
 
     Links are taken as by ``resolve_forest``. On a cycle the other ids of it are ancestors, an id itself is none, and
     the first way round counts.
     """
-    one = links.where("child IS NOT NULL AND parent IS NOT NULL").groupBy(F.col("child").cast("long").alias("src")).agg(F.min(F.col("parent").cast("long")).alias("dst"))
-    return all_pairs(one).select(F.col("seed").alias("node"), F.col("node").alias("ancestor"), F.col("depth").cast("long").alias("distance"))
-
-
-def whole_hierarchy(links: DataFrame) -> DataFrame:
-    """``(node, root, depth, path, n_descendants)`` as ``full_hierarchy``, with all descendants of all nodes.
-
-    Nodes on or under a cycle have depth -1 and no path; they count as descendants and have them.
-    """
-    forest = cut(resolve_forest(links))
-    pairs = cut(every_pair(links))
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False), lambda x: x["ancestor"].cast("string"))
-    above = pairs.join(forest.where("depth > 0").select("node"), "node", "left_semi").groupBy("node").agg(ids.alias("above"))
-    below = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
-    out = forest.join(above, "node", "left").join(below, "node", "left")
-    path = F.when(F.col("depth") >= 0, F.concat_ws("/", "above", F.col("node").cast("string")))
-    return out.select("node", "root", "depth", path.alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+    return all_pairs(one_parent(links).toDF("src", "dst")).select(F.col("seed").alias("node"), F.col("node").alias("ancestor"), F.col("depth").cast("long").alias("distance"))
 
 
 # --- graphs with many parents per child ---------------------------------------------------------
@@ -313,27 +445,64 @@ def _colour(edges: DataFrame) -> DataFrame:
     return out
 
 
-def cyclic_groups(edges: DataFrame, solve_rows: int = SOLVE_ROWS) -> DataFrame:
+def _trimmed(edges: DataFrame, rows: int, enough: int) -> tuple[DataFrame, int]:
+    """Links without nodes that have no link in or none out, as long as many go and more than ``enough`` are left."""
+    while rows > enough:
+        into, out = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+        edges = cut(edges.join(into, "a", "left_semi").join(out, "b", "left_semi"))
+        before, rows = rows, edges.count()
+        if rows > 0.9 * before:
+            break
+    return edges, rows
+
+
+def _renamed(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between groups: each node replaced by the one it was contracted to."""
+    for c in "ab":
+        edges = lookup_join(edges, groups.select(F.col("node").alias(c), F.col("root").alias("_to")), c).withColumn(c, F.coalesce("_to", c)).select("a", "b")
+    return edges.where("a <> b").distinct()
+
+
+def cyclic_groups(edges: DataFrame, solve_rows: int = SOLVE_ROWS, part_rows: int = PART_ROWS, near: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """``(node, root)`` for each node of ``edges(a, b)`` that reaches itself.
 
     ``root`` is the smallest node (by code points) among those that reach it and are reached by it.
     Repeated edges count once, edges with a null on either side are none, ``a = b`` is a cycle of one,
-    and no edges give no rows.
+    and no edges give no rows. Nodes for which ``near`` gives the same are laid in the same partition,
+    so cycles among them are contracted first.
     """
     edges = cut(edges.select(F.col("a").cast("string"), F.col("b").cast("string")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
-    rows = edges.count()
-    while rows > solve_rows:
-        # a node on a cycle has a link in and a link out
-        into, out = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
-        edges = cut(edges.join(into, "a", "left_semi").join(out, "b", "left_semi"))
-        left = edges.count()
-        if left > 0.9 * rows:
+    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    live = edges.where("a <> b")
+    found, rows, parts = None, live.count(), None
+    while rows:
+        live, rows = _trimmed(live, rows, part_rows)
+        parts = min(math.ceil(rows / part_rows), parts or rows)
+        if rows > solve_rows * max(parts, 1):
+            groups, last = _colour(live), True
+        elif parts <= 1:
+            groups, last = live.coalesce(1).mapInPandas(_components_task, "node string, root string"), True
+        else:
+            at = [F.pmod(F.xxhash64(near(F.col(c))), F.lit(parts)) for c in "ab"]
+            inside = live.withColumn("part", at[0]).where(F.col("part") == at[1])
+            groups, last = inside.repartition(parts, "part").select("a", "b").mapInPandas(_components_task, "node string, root string"), False
+        if groups is None:
+            break
+        groups = cut(groups)
+        if found is not None:
+            moved = lookup_join(found.withColumnRenamed("root", "_at"), groups.select(F.col("node").alias("_at"), "root"), "_at")
+            moved = moved.select("node", F.coalesce("root", "_at").alias("root"))
+            groups_new = groups.join(found.select("node"), "node", "left_anti")
+            found = cut(moved.unionByName(groups_new))
+        else:
+            found = groups
+        if last:
             break
-        rows = left
-    if rows > solve_rows:
-        found = _colour(edges)
-        return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return edges.coalesce(1).mapInPandas(_components_task, "node string, root string")
+        live = cut(_renamed(live, groups))
+        before, rows = rows, live.count()
+        if rows > 0.9 * before:
+            parts = max(1, parts // 4)
+    return loops if found is None else found.unionByName(loops.join(found, "node", "left_anti"))
 
 
 def clean_path(c: Column | str) -> Column:
@@ -348,7 +517,8 @@ def code_hierarchies(edge: DataFrame, include_dep: DataFrame) -> DataFrame:
         F.lit("belongs_to").alias("hierarchy"), F.col("node").cast("string").alias("node_key"), F.col("root").cast("string").alias("root_key"), "depth"
     )
     include = include_dep.where("NOT is_system").select(clean_path(F.col("source_file")).alias("a"), clean_path(F.col("included_file")).alias("b"))
-    cycles = cyclic_groups(include).select(
+    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    cycles = cyclic_groups(include, near=folder).select(
         F.lit("include").alias("hierarchy"), F.col("node").alias("node_key"), F.col("root").alias("root_key"), F.lit(-1).cast("long").alias("depth")
     )
     return owner.unionByName(cycles)

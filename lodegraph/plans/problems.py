@@ -30,7 +30,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "edge").where("relation_type = 'belongs_to' AND to_id > 0")
-    return hierarchy.full_hierarchy(cut(links.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent"))))
+    return hierarchy.full_hierarchy(links.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")))
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_paths_all(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "edge").where("relation_type = 'belongs_to' AND to_id > 0")
-    return hierarchy.whole_hierarchy(cut(links.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent"))))
+    return hierarchy.full_hierarchy(links.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")), cycles=True)
 
 
 def p3_descendants_all(spark: SparkSession, d: str) -> DataFrame:

@@ -85,11 +85,47 @@ def test_full_hierarchy(spark):
     ]
 
 
+def brute_hierarchy(links):
+    up = {}
+    for c, p in links:
+        up[c] = min(p, up.get(c, p))
+    above = {}
+    for x in {*up, *up.values()}:
+        y, seen = x, []
+        while y in up and up[y] not in seen and up[y] != x:
+            y = up[y]
+            seen.append(y)
+        above[x] = seen
+    depth = {x: (r, d) for x, r, d in brute_forest(links)}
+    return sorted(
+        ((x, *depth[x], "/".join(str(y) for y in [*reversed(above[x]), x]) if depth[x][1] >= 0 else None, sum(x in a for a in above.values())) for x in above), key=repr
+    )
+
+
+@pytest.mark.parametrize(("solve", "part"), [(1_000_000, 30), (0, 8)])
+def test_paths_and_counts_from_fragments(spark, solve, part):
+    r = random.Random(11)
+    near = [(i, max(0, i - r.randrange(1, 4))) for i in range(1, 120)]
+    far = [(i, r.randrange(150)) for i in range(150) if r.random() < 0.9]
+    rings = [(i, (i + 1) % 40) for i in range(40)] + [(100 + i, i) for i in range(40)]
+    for links in (near, far + [(c + 1000, p + 1000) for c, p in rings], []):
+        df = spark.createDataFrame(links, "child long, parent long")
+        assert rows(hierarchy.full_hierarchy(df, True, True, solve, part)) == brute_hierarchy(links)
+
+
+def test_a_chain_of_a_million_needs_no_pairs(spark):
+    df = spark.range(1_000_000).selectExpr("id AS child", "id + 1 AS parent")
+    out = hierarchy.full_hierarchy(df, paths=False)
+    assert out.columns == ["node", "root", "depth", "n_descendants"]
+    got = out.selectExpr("count(*)", "min(root)", "sum(depth)", "sum(n_descendants)", "max(abs(node - n_descendants))").first()
+    assert tuple(got) == (1_000_001, 1_000_000, 500_000_500_000, 500_000_500_000, 0)
+
+
 def test_descendants_on_and_below_cycles(spark):
     # 7, 8 and 11 go round; 9 hangs below, and 10 below it
     links = [(2, 1), (3, 2), (7, 8), (8, 11), (11, 7), (9, 7), (10, 9), (12, 12), (13, 12)]
     df = spark.createDataFrame(links, "child long, parent long")
-    assert rows(hierarchy.whole_hierarchy(df)) == sorted([
+    assert rows(hierarchy.full_hierarchy(df, cycles=True)) == sorted([
         (1, 1, 0, "1", 2), (2, 1, 1, "1/2", 1), (3, 1, 2, "1/2/3", 0), (7, 7, -1, None, 4), (8, 7, -1, None, 4), (11, 7, -1, None, 4),
         (9, 7, -1, None, 1), (10, 7, -1, None, 0), (12, 12, -1, None, 1), (13, 12, -1, None, 0),
     ], key=repr)
@@ -135,8 +171,8 @@ def test_include_hierarchy(spark, solve):
         assert rows(hierarchy.include_descendants(df, solve, 3)) == pairs
 
 
-@pytest.mark.parametrize("solve", [1_000_000, 0])
-def test_cyclic_groups(spark, solve):
+@pytest.mark.parametrize(("solve", "part"), [(1_000_000, 50_000), (1_000_000, 4), (0, 4)])
+def test_cyclic_groups(spark, solve, part):
     cases = [
         [],
         [("a", "b"), ("b", "c"), (None, "a"), ("c", None)],
@@ -145,9 +181,12 @@ def test_cyclic_groups(spark, solve):
     ]
     r = random.Random(1)
     cases.append([(f"n{r.randrange(25)}", f"n{r.randrange(25)}") for _ in range(34)])
+    # rings within folders, tied to each other by one more
+    ring = lambda k: [(f"f{k}/{i}", f"f{k}/{(i + 1) % 4}") for i in range(4)]
+    cases.append([e for k in range(6) for e in ring(k)] + [(f"f{k}/0", f"f{(k + 1) % 4}/1") for k in range(4)] + [("f5/1", "f0/1")])
     for edges in cases:
         df = spark.createDataFrame(edges, "a string, b string")
-        assert rows(hierarchy.cyclic_groups(df, solve)) == brute_cycles(edges)
+        assert rows(hierarchy.cyclic_groups(df, solve, part)) == brute_cycles(edges)
 
 
 def test_clean_path(spark):
