@@ -58,7 +58,7 @@ def answer(spark: SparkSession, a: argparse.Namespace):
 
         job = GraphRefresher(spark, a.tables)
         job.start(a.results).awaitTermination()
-        return job.done.read()
+        return job.pending()
     g = CodeGraph.load(spark, a.tables)
     return {
         "search-class": lambda: g.search_class(a.name),

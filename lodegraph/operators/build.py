@@ -22,11 +22,10 @@ def resolved_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     todo = keyed.where("dst IS NULL AND needs_resolution")
     base = done.select("src", "dst", "relation_type", "line", "edge_id")
     by_hint = lambda h: todo.where(F.col("resolve_hint").eqNullSafe(F.lit(h)))
-    calls = code.resolve_calls(by_hint(None).select("edge_id", F.col("callee_name").alias("name"), F.col("callee_parent_class").alias("parent"), F.col("callee_param_types").alias("params")), nodes)
-    overrides = code.resolve_overrides(by_hint("override").select("edge_id", F.col("function_name").alias("name"), "derived_class"), base, nodes)
+    calls = code.resolve_calls(by_hint(None).select("edge_id", F.col("callee_name").alias("name"), F.col("callee_parent_class").alias("parent"), F.col("callee_param_types").alias("params"), F.col("callee_namespace").alias("namespace")), nodes)
+    overrides = code.resolve_overrides(by_hint("override").select("edge_id", F.col("function_name").alias("name"), "derived_class", "base_namespace", "src"), base, nodes)
     aliases = code.resolve_types(by_hint("type_alias").select("edge_id", F.col("target_simple_name").alias("name")), nodes)
-    fn = nodes.where("type = 'function'").select(F.col("id").alias("target"), "name", F.element_at(F.split("namespace", "::"), -1).alias("base_class"))
-    using = by_hint("using_decl").select("edge_id", F.col("function_name").alias("name"), "base_class").join(fn, ["name", "base_class"]).groupBy("edge_id").agg(F.min("target").alias("target"))
+    using = code.resolve_using(by_hint("using_decl").select("edge_id", F.col("function_name").alias("name"), "base_class"), nodes)
     found = calls.select("edge_id", "target").unionByName(overrides).unionByName(aliases).unionByName(using)
     late = todo.drop("dst").join(found, "edge_id").withColumn("dst", F.col("target")).drop("target")
     return done.unionByName(late).dropDuplicates(["src", "dst", "relation_type", "line"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators.graph import all_pairs, closure, first_by, simple_paths
 from lodegraph.operators.hierarchy import clean_path
-from lodegraph.runtime import cut
+from lodegraph.runtime import cut, lookup_join
 
 CALLS = ["calls_direct", "calls_virtual", "calls_callback"]
 
@@ -313,40 +313,82 @@ def file_layers(impact: DataFrame) -> DataFrame:
 # --- call and override resolution -------------------------------------------------------------------
 
 
+def _by_signature(refs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``refs`` with a column ``sig`` for their ``columns``, and the distinct signatures; each is resolved once, however many edges have it."""
+    signed = cut(refs.where("name IS NOT NULL").withColumn("sig", F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})))
+    return signed, cut(signed.select("sig", *columns).dropDuplicates(["sig"]))
+
+
+def _first(candidates: DataFrame, *keys: str) -> DataFrame:
+    """The first candidate of each key by file, line and id, as ``best``."""
+    return candidates.groupBy(*keys).agg(F.min("place").alias("best"))
+
+
 def resolve_calls(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(edge_id, target, tier)``: the best function for each call known by name only.
+    """``(edge_id, target, tier)``: the best function for each call known by name only (J-07, W-01).
+
+    ``refs(edge_id, name, parent, params, namespace)``; tier 1, for calls whose parameters are known:
+    same name and parameters, and the parent is the tail of the namespace or part of it (or none is
+    given); tier 2, for calls with a parent: same name, and the parent is the tail of the namespace or
+    the call's namespace leads to it; tier 3: same name. Within a tier the first by (file, line, id)
+    counts. Null parameters are unknown, not none; names without a function give no row.
 
-    ``refs(edge_id, name, parent, params)``; tier 1: same name and parameters, and the parent is the
-    tail of the namespace or part of it (or none is given); tier 2: same name and the parent is the
-    tail; tier 3: same name. Within a tier the first by (file, line, id) counts. Names without a
-    function give no row.
+    Functions are reduced to one row per name and what a tier compares, and calls to their signatures,
+    before they meet, so overloads of a common name don't multiply with its calls.
     """
-    fn = nodes.where("type = 'function'").select("id", "name", "namespace", "file_path", "start_line", "param_types")
-    both = refs.join(fn, "name")
-    tail = F.element_at(F.split(F.coalesce("namespace", F.lit("")), "::"), -1)
-    inside = F.coalesce(F.col("parent").isNull() | F.col("namespace").contains(F.col("parent")), F.lit(False))
-    same = F.coalesce(F.col("params"), F.array().cast("array<string>")).eqNullSafe(F.coalesce(F.col("param_types"), F.array().cast("array<string>")))
-    tier = F.when(same & inside, 1).when(F.coalesce(tail == F.col("parent"), F.lit(False)), 2).otherwise(3)
-    best = both.withColumn("tier", tier).groupBy("edge_id").agg(F.min(F.struct("tier", F.coalesce("file_path", F.lit("")).alias("f"), F.coalesce("start_line", F.lit(0)).alias("l"), "id")).alias("m"))
-    return best.select("edge_id", F.col("m.id").alias("target"), "m.tier")
+    signed, sigs = _by_signature(refs, ["name", "parent", "params", "namespace"])
+    sigs = sigs.withColumn("parent", F.nullif("parent", F.lit(""))).withColumn("namespace", F.nullif("namespace", F.lit("")))
+    place = F.struct(F.coalesce("file_path", F.lit("")).alias("f"), F.coalesce("start_line", F.lit(0)).alias("l"), "id").alias("place")
+    space = F.coalesce("namespace", F.lit(""))
+    fn = cut(nodes.where("type = 'function' AND name IS NOT NULL").select("name", space.alias("space"), F.to_json(F.struct("param_types"), {"ignoreNullFields": "true"}).alias("list"), F.col("param_types").isNotNull().alias("listed"), place))
+    want = sigs.where("params IS NOT NULL").select("sig", "name", "parent", F.to_json(F.struct(F.col("params").alias("param_types")), {"ignoreNullFields": "true"}).alias("list"))
+    same = fn.where("listed")
+    alone = want.where("parent IS NULL").join(_first(same, "name", "list"), ["name", "list"]).select("sig", "best")
+    owned = want.where("parent IS NOT NULL").join(_first(same, "name", "list", "space"), ["name", "list"]).where(F.col("space").contains(F.col("parent"))).select("sig", "best")
+    one = alone.unionByName(owned).withColumn("tier", F.lit(1))
+    tail = F.element_at(F.split("space", "::"), -1)
+    by_tail = sigs.where("parent IS NOT NULL").join(_first(fn.withColumn("parent", tail), "name", "parent"), ["name", "parent"]).select("sig", "best")
+    parts = F.split("space", "::")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "::"))
+    led = fn.where(F.size(parts) > 1).withColumn("namespace", F.explode(heads))
+    by_head = sigs.where("parent IS NOT NULL AND namespace IS NOT NULL").join(_first(led, "name", "namespace"), ["name", "namespace"]).select("sig", "best")
+    two = by_tail.unionByName(by_head).withColumn("tier", F.lit(2))
+    three = sigs.join(_first(fn, "name"), "name").select("sig", "best", F.lit(3).alias("tier"))
+    best = one.unionByName(two).unionByName(three).groupBy("sig").agg(F.min(F.struct("tier", "best")).alias("m"))
+    found = best.select("sig", F.col("m.best.id").alias("target"), "m.tier")
+    return lookup_join(signed.select("edge_id", "sig"), found, "sig", "inner").select("edge_id", "target", "tier")
 
 
 def resolve_overrides(refs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(edge_id, target)``: the function a derived class overrides, in one of its direct bases.
-
-    ``refs(edge_id, name, derived_class)``. The derived class is found by name, its direct bases by
-    inheritance, and the base's function by name and owner; a destructor has its base's name there.
-    The base with the smallest id counts, then the function with the smallest.
+    """``(edge_id, target)``: the function that a derived class overrides, in one of its direct bases (J-04, F-20).
+
+    ``refs(edge_id, name, derived_class, base_namespace, src)``. The derived class is found by name, and
+    by a namespace that is, begins or ends with ``base_namespace`` where one is given; its bases by
+    inheritance; their function by name (a destructor's is that of its base) and a namespace whose tail
+    is the base and that ``base_namespace`` leads to. Where no base has one, a virtual member whose
+    namespace's tail is a base counts, other than ``src`` itself. The derived class with the smallest id
+    counts first, then the base with the smallest, then the function with the smallest.
     """
-    cls = nodes.where("type IN ('class', 'struct')").select("id", "name")
-    child = cls.select(F.col("id").alias("child"), F.col("name").alias("derived_class"))
+    signed, sigs = _by_signature(refs, ["name", "derived_class", "base_namespace", "src"])
+    ns = F.nullif("base_namespace", F.lit(""))
+    cls = nodes.where("type IN ('class', 'struct')").select("id", "name", F.coalesce("namespace", F.lit("")).alias("space"))
+    child = cls.select(F.col("id").alias("child"), F.col("name").alias("derived_class"), "space")
     parent = cls.select(F.col("id").alias("parent"), F.col("name").alias("base_name"))
-    bases = refs.join(child, "derived_class").join(inherits(edges).select("child", "parent").distinct(), "child").join(parent, "parent")
+    here = ns.isNull() | (F.col("space") == ns) | F.col("space").startswith(F.concat(ns, F.lit("::"))) | F.col("space").endswith(F.concat(F.lit("::"), ns))
+    bases = sigs.join(child, "derived_class").where(here).drop("space").join(inherits(edges).select("child", "parent").distinct(), "child").join(parent, "parent")
     want = F.when(F.col("name").startswith("~"), F.concat(F.lit("~"), "base_name")).otherwise(F.col("name"))
-    member = of(edges, "belongs_to").select(F.col("src").alias("function_id"), F.col("dst").alias("parent"))
-    fn = nodes.where("type = 'function'").select(F.col("id").alias("function_id"), F.col("name").alias("want"))
-    hit = bases.withColumn("want", want).join(member, "parent").join(fn, ["function_id", "want"])
-    return hit.groupBy("edge_id").agg(F.min(F.struct("parent", "function_id")).alias("m")).select("edge_id", F.col("m.function_id").alias("target"))
+    bases = cut(bases.select("sig", "src", "child", "parent", "base_name", ns.alias("ns"), want.alias("want")))
+    tail = F.element_at(F.split("space", "::"), -1)
+    fn = nodes.where("type = 'function'").select("id", F.col("name").alias("want"), F.coalesce("namespace", F.lit("")).alias("space"), F.coalesce("is_virtual", F.lit(False)).alias("is_virtual")).withColumn("base_name", tail)
+    named = fn.groupBy("want", "base_name", "space").agg(F.min("id").alias("id"))
+    main = bases.join(named, ["want", "base_name"]).where(F.col("ns").isNull() | F.col("space").startswith(F.concat("ns", F.lit("::"))))
+    member = of(edges, "belongs_to").select(F.col("src").alias("id")).distinct()
+    # the first two, as one of them may be the function itself
+    virtual = first_by(fn.where("is_virtual").join(member, "id", "left_semi"), ["want", "base_name"], F.col("id"), most=2).select("want", "base_name", "id")
+    back = bases.join(virtual, ["want", "base_name"]).where(~F.col("id").eqNullSafe(F.col("src")))
+    every = main.select("sig", F.lit(1).alias("tier"), "child", "parent", "id").unionByName(back.select("sig", F.lit(2).alias("tier"), "child", "parent", "id"))
+    best = every.groupBy("sig").agg(F.min(F.struct("tier", "child", "parent", "id")).alias("m")).select("sig", F.col("m.id").alias("target"))
+    return signed.select("edge_id", "sig").join(best, "sig").select("edge_id", "target")
 
 
 def resolve_types(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -356,6 +398,13 @@ def resolve_types(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return refs.join(cls.select("name", F.col("m.id").alias("target")), "name").select("edge_id", "target")
 
 
+def resolve_using(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(edge_id, target)``: the first function of ``refs(edge_id, name, base_class)`` whose namespace's tail is the class (J-06)."""
+    tail = F.element_at(F.split(F.coalesce("namespace", F.lit("")), "::"), -1)
+    fn = nodes.where("type = 'function'").select("name", tail.alias("base_class"), "id").groupBy("name", "base_class").agg(F.min("id").alias("target"))
+    return refs.join(fn, ["name", "base_class"]).select("edge_id", "target")
+
+
 def enclosing_function(nodes: DataFrame, sites: DataFrame) -> DataFrame:
     """``(file_path, line, function_id)``: the smallest function around each ``sites(file_path, line)``.
 

@@ -15,9 +15,9 @@ from lodegraph.runtime import cut
 FLIPPED = ("inherits_public", "inherits_protected", "inherits_private", "belongs_to")
 
 
-def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key under an order (tiers, then a tie-break)."""
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+def first_by(df: DataFrame, keys: list[str], *order: Column, most: int = 1) -> DataFrame:
+    """The first row of each key under an order (tiers, then a tie-break), or the first ``most``."""
+    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")
 
 
 def orient(edges: DataFrame, direction: str = "outgoing", relations: list[str] | None = None, logical: bool = True) -> DataFrame:

@@ -7,7 +7,6 @@ run's output together with them.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -16,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators import merkle
-from lodegraph.runtime import cut, small, strip
+from lodegraph.publish import Publications
+from lodegraph.runtime import cut, shared_folder, small, strip
 
 
 def with_digests(state: DataFrame, depth: int, bits: int = merkle.BITS) -> DataFrame:
@@ -77,85 +77,102 @@ def taken_versions(processed_file: DataFrame, update_run: DataFrame) -> DataFram
 
 
 def files_to_update(parse_status: DataFrame, processed_file: DataFrame, update_run: DataFrame) -> DataFrame:
-    """``(source_file, file_hash)``: files whose ready version no successful run has taken over, once each."""
-    shape = merkle.plan_shape(max(parse_status.count(), processed_file.count()))
-    out = changed_records(ready_versions(parse_status), taken_versions(processed_file, update_run), *shape)
-    return out.select(F.col("key").alias("source_file"), F.col("value").alias("file_hash"))
+    """``(source_file, file_hash)``: files whose ready version no successful run has taken over, once each.
+
+    The versions taken over are published as a run of an ``IncrementalStore`` in the shared folder; the
+    next run compares the ready versions with the tree saved by it, and its output is the result.
+    """
+    store, _ = _taken_over(processed_file, update_run)
+    run = store.run(ready_versions(parse_status), lambda todo: todo)
+    return store.output(run).select(F.col("key").alias("source_file"), F.col("value").alias("file_hash"))
+
+
+def _taken_over(processed_file: DataFrame, update_run: DataFrame) -> tuple[IncrementalStore, str]:
+    spark = processed_file.sparkSession
+    store = IncrementalStore(spark, f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}")
+    return store, store.run(taken_versions(processed_file, update_run), lambda todo: todo)
+
+
+def update_runs(parse_status: DataFrame, processed_file: DataFrame, update_run: DataFrame) -> DataFrame:
+    """``(run_no, n_records, n_processed)``: the run of ``files_to_update`` between that of the versions taken over and one that finds nothing new."""
+    store, first = _taken_over(processed_file, update_run)
+    ready = cut(ready_versions(parse_status))
+    runs = [first, store.run(ready, lambda todo: todo), store.run(ready, lambda todo: todo)]
+    counts = [store.output(r).agg(F.lit(k).alias("run_no"), F.lit(store.entry(r)["n_records"]).cast("long").alias("n_records"), F.count(F.lit(1)).alias("n_processed")) for k, r in enumerate(runs, 1)]
+    return reduce(DataFrame.unionByName, counts)
 
 
 class IncrementalStore:
     """Saved state, its Merkle tree and the outputs of runs, in one folder.
 
-    ``state/<run>`` holds the rows of the leaves a run changed, ``tree/<run>`` the leaf digests with
-    the run that last wrote each leaf, ``output/<run>`` what the run produced. A run counts only once
-    ``runs/<number>.json`` exists, which is written under another name and renamed, so output and
-    tree are published together or not at all: a run that dies before leaves files nobody reads and
-    the next run sees the same changes again; one that dies after has done its work. Two runs at
-    once try for the same number, and the second fails.
+    ``state/<run>`` holds the rows of the leaves a run changed, partitioned by the first bits of their
+    leaves, so of the saved rows only partitions with differing leaves are read; ``tree/<run>`` the leaf
+    digests with the run that last wrote each leaf, ``output/<run>`` what the run produced. A run counts
+    only once its entry is published (``Publications``), so output and tree are published together or
+    not at all: a run that dies before leaves files nobody reads and the next run sees the same changes
+    again; one that dies after has done its work. Of two runs at once the second to publish fails.
+
+    A tree has leaves of about ``leaf_rows`` records. Once the number of records has changed eightfold
+    a run shapes the tree anew and writes all of the state.
     """
 
     TREE = "leaf BIGINT, n BIGINT, d1 BIGINT, d2 BIGINT, run STRING"
-    STATE = "key STRING, value STRING, leaf BIGINT"
+    STATE = "key STRING, value STRING, leaf BIGINT, part INT"
+    #: Bits of a leaf's number by which state is partitioned: 64 folders at most.
+    PART_BITS = 6
 
-    def __init__(self, spark: SparkSession, path: str, depth: int = 3):
-        self.spark, self.path, self.depth = spark, path.rstrip("/"), depth
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, leaf_rows: int = merkle.LEAF_ROWS):
+        self.spark, self.path, self.leaf_rows = spark, path.rstrip("/"), leaf_rows
+        self.published = Publications(spark, f"{self.path}/runs")
 
     def runs(self) -> list[dict]:
-        """The published runs in order."""
-        at = self._path(f"{self.path}/runs")
-        if not self._fs.exists(at):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(at))
-        return [self._json(f"{self.path}/runs/{n}") for n in names if n.endswith(".json")]
-
-    def _json(self, path: str) -> dict:
-        stream = self._fs.open(self._path(path))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, number: int, entry: dict) -> None:
-        temp, final = (self._path(f"{self.path}/runs/{x}") for x in (f".{entry['run']}.tmp", f"{number:09d}.json"))
-        stream = self._fs.create(temp, True)
-        stream.write(bytearray(json.dumps(entry).encode()))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
-            self._fs.delete(temp, False)
-            raise RuntimeError(f"another run has published number {number}")
-
-    def saved_tree(self) -> DataFrame:
-        runs = self.runs()
+        """The entries of the published runs in order."""
+        return self.published.entries()
+
+    def entry(self, run: str) -> dict:
+        return next(e for e in self.runs() if e["run"] == run)
+
+    def saved_tree(self, runs: list[dict] | None = None) -> DataFrame:
+        runs = self.runs() if runs is None else runs
         if not runs:
             return self.spark.createDataFrame([], self.TREE)
         return self.spark.read.schema(self.TREE).parquet(f"{self.path}/tree/{runs[-1]['run']}")
 
-    def saved_state(self, leaves: DataFrame | None = None) -> DataFrame:
-        """The saved rows, of ``leaves(leaf)`` only if given."""
-        runs = self.runs()
+    def saved_state(self, leaves: DataFrame | None = None, runs: list[dict] | None = None) -> DataFrame:
+        """The saved rows ``(key, value, leaf)``, of ``leaves(leaf)`` only if given."""
+        runs = self.runs() if runs is None else runs
         if not runs:
-            return self.spark.createDataFrame([], self.STATE)
-        first = max((i for i, r in enumerate(runs) if r.get("compacted")), default=0)
+            return self.spark.createDataFrame([], "key STRING, value STRING, leaf BIGINT")
+        first = max((i for i, r in enumerate(runs) if r["whole"]), default=0)
         parts = [self.spark.read.schema(self.STATE).parquet(f"{self.path}/state/{r['run']}").withColumn("run", F.lit(r["run"])) for r in runs[first:]]
-        holds = self.saved_tree().select("leaf", "run")
+        holds, every = self.saved_tree(runs).select("leaf", "run"), reduce(DataFrame.unionByName, parts)
         if leaves is not None:
             holds = holds.join(leaves, "leaf", "left_semi")
-        return reduce(DataFrame.unionByName, parts).join(holds, ["leaf", "run"], "left_semi").drop("run")
+            wanted = [r[0] for r in leaves.select(self._part(runs[-1]["depth"] * runs[-1]["bits"])).distinct().collect()]  # 64 at most
+            every = every.where(F.col("part").isin(wanted))
+        return every.drop("part").join(holds, ["leaf", "run"], "left_semi").drop("run")
+
+    def _part(self, bits: int):
+        return F.shiftright("leaf", max(bits - self.PART_BITS, 0)).cast("int").alias("part")
+
+    def output(self, run: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/output/{run}")
 
     def outputs(self) -> DataFrame | None:
         """The outputs of all published runs."""
         runs = [r for r in self.runs() if not r.get("compacted")]
         return self.spark.read.parquet(*(f"{self.path}/output/{r['run']}" for r in runs)) if runs else None
 
+    def _write_state(self, rows: DataFrame, run: str, bits: int) -> None:
+        parted = rows.select("key", "value", "leaf", self._part(bits))
+        parted.repartition("part").write.mode("error").partitionBy("part").parquet(f"{self.path}/state/{run}")
+
     def compact(self) -> str:
         """Gathers the rows of all runs in one folder, published as a run without output; then a reader opens one folder only."""
-        number, run = len(self.runs()) + 1, uuid.uuid4().hex
-        self.saved_state().write.mode("overwrite").parquet(f"{self.path}/state/{run}")
-        self.saved_tree().withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{self.path}/tree/{run}")
-        self._publish(number, {"run": run, "number": number, "depth": self.depth, "compacted": True})
+        runs, run = self.runs(), uuid.uuid4().hex
+        self._write_state(self.saved_state(runs=runs), run, runs[-1]["depth"] * runs[-1]["bits"])
+        self.saved_tree(runs).withColumn("run", F.lit(run)).write.mode("error").parquet(f"{self.path}/tree/{run}")
+        self.published.publish(len(runs) + 1, {**runs[-1], "run": run, "compacted": True, "whole": True})
         return run
 
     def run(self, current: DataFrame, process: Callable[[DataFrame], DataFrame]) -> str:
@@ -164,21 +181,33 @@ class IncrementalStore:
         ``process`` gets ``(key, value)`` and returns what to write. Records gone from ``current``
         leave the state. Returns the run's name.
         """
-        number, run = len(self.runs()) + 1, uuid.uuid4().hex
-        keyed = cut(with_digests(current.select(F.col("key").cast("string"), F.col("value").cast("string")), self.depth))
-        fresh, saved = cut(merkle.leaves(keyed)), self.saved_tree()
-        differ = cut(merkle.differing_leaves(merkle.tree(fresh, self.depth), merkle.tree(saved.drop("run"), self.depth), self.depth))
+        runs, run = self.runs(), uuid.uuid4().hex
+        current = cut(current.select(F.col("key").cast("string"), F.col("value").cast("string")))
+        n_records = current.count()
+        depth, bits = merkle.plan_shape(n_records, self.leaf_rows)
+        kept_shape = bool(runs) and abs(depth * bits - runs[-1]["depth"] * runs[-1]["bits"]) <= 3
+        if kept_shape:
+            depth, bits = runs[-1]["depth"], runs[-1]["bits"]
+        keyed = cut(with_digests(current, depth, bits))
+        fresh = cut(merkle.leaves(keyed))
+        if kept_shape or not runs:
+            saved, old_rows = self.saved_tree(runs), lambda leaves: self.saved_state(leaves, runs)
+        else:
+            state = cut(with_digests(self.saved_state(runs=runs).drop("leaf"), depth, bits))
+            saved, old_rows = merkle.leaves(state), lambda leaves: state.join(leaves, "leaf", "left_semi")
+        trees = [cut(merkle.tree(x.select("leaf", "n", "d1", "d2"), depth, bits=bits)) for x in (fresh, saved)]
+        differ = small(merkle.differing_leaves(*trees, depth, bits=bits))
         now = keyed.join(differ, "leaf", "left_semi")
-        old = self.saved_state(differ).select("key", F.col("value").alias("before"), F.lit(True).alias("known"))
+        old = old_rows(differ).select("key", F.col("value").alias("before"), F.lit(True).alias("known"))
         pairs = now.select("key", "value").join(old, "key", "left")
         todo = pairs.where(F.col("known").isNull() | ~F.col("value").eqNullSafe(F.col("before"))).select("key", "value")
 
-        process(todo).write.mode("overwrite").parquet(f"{self.path}/output/{run}")
-        now.select("key", "value", "leaf").write.mode("overwrite").parquet(f"{self.path}/state/{run}")
-        kept = saved.join(differ, "leaf", "left_anti")
-        wrote = fresh.join(differ, "leaf", "left_semi").withColumn("run", F.lit(run))
-        kept.unionByName(wrote).write.mode("overwrite").parquet(f"{self.path}/tree/{run}")
-        self._publish(number, {"run": run, "number": number, "depth": self.depth})
+        process(todo).write.mode("error").parquet(f"{self.path}/output/{run}")
+        whole = not kept_shape
+        self._write_state(keyed if whole else now, run, depth * bits)
+        wrote = (fresh if whole else fresh.join(differ, "leaf", "left_semi")).withColumn("run", F.lit(run))
+        tree = wrote if whole else saved.join(differ, "leaf", "left_anti").unionByName(wrote)
+        tree.write.mode("error").parquet(f"{self.path}/tree/{run}")
+        facts = {"n_records": n_records, "n_leaves": fresh.count(), "n_differing": differ.count()}
+        self.published.publish(len(runs) + 1, {"run": run, "depth": depth, "bits": bits, "whole": whole, **facts})
         return run
-
-

@@ -1,15 +1,19 @@
 """Writing nodes, edges and includes: upserts, deletes and integrity over snapshots.
 
 Parquet has no MERGE, so a write makes the next state from the last one and what comes in.
-``SnapshotTable`` keeps states as numbered folders and publishes one by renaming a small file.
+``SnapshotStore`` keeps states in folders and publishes one by a small numbered file.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegraph.publish import Publications
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``stored`` with ``incoming`` written over it by key; nulls overwrite too (U-01, U-02, U-20, S-19, S-20).
@@ -99,33 +103,55 @@ def edge_keys(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(src, "from_key").join(dst, "to_key", "left")
 
 
-class SnapshotTable:
-    """States of a table as numbered folders; the last published one is read (U-18, U-19).
+class SnapshotStore:
+    """States of several tables that belong together; the last published one is read (U-18, U-19).
 
-    A state is written to a folder of its own and published by renaming a file, so readers see the old
-    or the new one; a writer that finds its number taken fails and changes nothing.
+    A state is written to a folder of its own, which no other writer knows, and published, all its tables
+    and some facts about it at once, as the number after the one it was made from. A writer whose number
+    is taken raises ``TakenError``; what others published stays as it is. ``sweep`` deletes the folders of
+    writers that never published.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.published = Publications(spark, f"{self.path}/published")
 
     def version(self) -> int:
         """The number of the last published state; 0 before the first."""
-        at = self._path(f"{self.path}/published")
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(at)), default=0) if self._fs.exists(at) else 0
+        return self.published.last()
+
+    def facts(self, version: int | None = None) -> dict:
+        number = version or self.version()
+        return self.published.entry(number)["facts"] if number else {}
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        folder = self.published.entry(version or self.version())["folder"]
+        return self.spark.read.parquet(f"{self.path}/states/{folder}/{name}")
+
+    def publish(self, tables: dict[str, DataFrame], facts: dict | None = None, base: int | None = None, partition_by: dict[str, list[str]] | None = None) -> int:
+        """Publishes ``tables`` as the state after ``base``, the version they were made from (by default the last one now)."""
+        number, folder = (self.version() if base is None else base) + 1, uuid.uuid4().hex
+        for name, df in tables.items():
+            writer = df.write.mode("error")
+            by = (partition_by or {}).get(name)
+            (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/states/{folder}/{name}")
+        self.published.publish(number, {"folder": folder, "facts": facts or {}})
+        return number
+
+    def sweep(self, hours: float = 24) -> list[str]:
+        """Deletes folders without a publication that are older than ``hours``, which no writer should take."""
+        return self.published.sweep(f"{self.path}/states", {e["folder"] for e in self.published.entries()}, hours)
+
+
+class SnapshotTable:
+    """States of one table (U-18, U-19); see ``SnapshotStore``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = SnapshotStore(spark, path)
+        self.version, self.sweep = self.store.version, self.store.sweep
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{version or self.version()}")
-
-    def publish(self, state: DataFrame, partition_by: list[str] | None = None) -> int:
-        number = self.version() + 1
-        writer = state.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v{number}")
-        flag, temp = self._path(f"{self.path}/published/{number}"), self._path(f"{self.path}/v{number}.ready")
-        self._fs.mkdirs(flag.getParent())
-        self._fs.create(temp, True).close()
-        if self._fs.exists(flag) or not self._fs.rename(temp, flag):
-            raise RuntimeError(f"version {number} of {self.path} is taken")
-        return number
+        return self.store.read("table", version)
+
+    def publish(self, state: DataFrame, partition_by: list[str] | None = None, base: int | None = None) -> int:
+        return self.store.publish({"table": state}, base=base, partition_by={"table": partition_by} if partition_by else None)

@@ -397,29 +397,38 @@ def _unresolved(spark: SparkSession, d: str, hint: str | None, *columns) -> Data
     return rows.where(F.col("resolve_hint").eqNullSafe(F.lit(hint))).select(F.col("id").alias("edge_id"), *columns).distinct()
 
 
-@query(f"""WITH {N}, refs AS (SELECT DISTINCT id AS edge_id, callee_name AS name, callee_parent_class AS parent, callee_param_types AS params FROM edge WHERE {_REFS} AND resolve_hint IS NULL),
-hit AS (SELECT edge_id, n.id, file_path, start_line, CASE
-    WHEN coalesce(params, []) IS NOT DISTINCT FROM coalesce(param_types, []) AND coalesce(parent IS NULL OR contains(namespace, parent), false) THEN 1
-    WHEN coalesce(split_part(coalesce(namespace, ''), '::', -1) = parent, false) THEN 2 ELSE 3 END AS tier
-  FROM refs JOIN n USING (name) WHERE type = 'function')
+@query(f"""WITH {N}, refs AS (
+  SELECT DISTINCT id AS edge_id, callee_name AS name, nullif(callee_parent_class, '') AS parent, callee_param_types AS params, nullif(callee_namespace, '') AS ns
+  FROM edge WHERE {_REFS} AND resolve_hint IS NULL),
+fn AS (SELECT id, name, coalesce(namespace, '') AS space, split_part(coalesce(namespace, ''), '::', -1) AS tail, param_types, file_path, start_line FROM n WHERE type = 'function'),
+hit AS (SELECT edge_id, id, file_path, start_line, CASE
+    WHEN params IS NOT NULL AND param_types IS NOT NULL AND params = param_types AND (parent IS NULL OR tail = parent OR contains(space, parent)) THEN 1
+    WHEN parent IS NOT NULL AND (tail = parent OR ns IS NOT NULL AND starts_with(space, ns || '::')) THEN 2 ELSE 3 END AS tier
+  FROM refs JOIN fn USING (name))
 SELECT edge_id, id AS target, tier FROM hit QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY tier, coalesce(file_path, ''), coalesce(start_line, 0), id) = 1""")
 def resolve_calls(spark, d):
     """Targets of calls known by name, by tiers (J-07, W-01)."""
-    refs = _unresolved(spark, d, None, F.col("callee_name").alias("name"), F.col("callee_parent_class").alias("parent"), F.col("callee_param_types").alias("params"))
+    refs = _unresolved(
+        spark, d, None, F.col("callee_name").alias("name"), F.col("callee_parent_class").alias("parent"), F.col("callee_param_types").alias("params"), F.col("callee_namespace").alias("namespace")
+    )
     return code.resolve_calls(refs, nodes(spark, d, "type", "name", "namespace", "file_path", "start_line", "param_types"))
 
 
-@query(f"""WITH {NE}, refs AS (SELECT DISTINCT id AS edge_id, function_name AS name, derived_class FROM edge WHERE {_REFS} AND resolve_hint = 'override'),
-cls AS (SELECT id, name FROM n WHERE type IN ('class', 'struct')),
-hit AS (SELECT edge_id, p.id AS parent, f.id AS target FROM refs JOIN cls c ON c.name = derived_class
-  JOIN e i ON i.relation_type IN {_INH} AND i.src = c.id JOIN cls p ON p.id = i.dst
-  JOIN e m ON m.relation_type = 'belongs_to' AND m.dst = p.id JOIN n f ON f.id = m.src AND f.type = 'function'
-    AND f.name = CASE WHEN starts_with(refs.name, '~') THEN '~' || p.name ELSE refs.name END)
-SELECT edge_id, target FROM hit QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY parent, target) = 1""")
+@query(f"""WITH {NE}, refs AS (
+  SELECT DISTINCT id AS edge_id, function_name AS name, derived_class, nullif(base_namespace, '') AS ns, from_id FROM edge WHERE {_REFS} AND resolve_hint = 'override'),
+cls AS (SELECT id, name, coalesce(namespace, '') AS space FROM n WHERE type IN ('class', 'struct')),
+base AS (SELECT refs.*, c.id AS child, p.id AS parent, p.name AS base_name, CASE WHEN starts_with(refs.name, '~') THEN '~' || p.name ELSE refs.name END AS want
+  FROM refs JOIN cls c ON c.name = derived_class AND (ns IS NULL OR c.space = ns OR starts_with(c.space, ns || '::') OR ends_with(c.space, '::' || ns))
+  JOIN e i ON i.relation_type IN {_INH} AND i.src = c.id JOIN cls p ON p.id = i.dst),
+fn AS (SELECT id, name, coalesce(namespace, '') AS space, split_part(coalesce(namespace, ''), '::', -1) AS tail, is_virtual FROM n WHERE type = 'function'),
+hit AS (SELECT edge_id, 1 AS tier, child, parent, fn.id FROM base JOIN fn ON fn.name = want AND tail = base_name AND (ns IS NULL OR starts_with(fn.space, ns || '::'))
+  UNION ALL SELECT edge_id, 2, child, parent, fn.id FROM base JOIN fn ON fn.name = want AND tail = base_name AND is_virtual AND fn.id IS DISTINCT FROM from_id
+  WHERE fn.id IN (SELECT src FROM e WHERE relation_type = 'belongs_to'))
+SELECT edge_id, id AS target FROM hit QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY tier, child, parent, id) = 1""")
 def resolve_overrides(spark, d):
     """Targets of overrides known by name, in direct bases (J-04, F-20)."""
-    refs = _unresolved(spark, d, "override", F.col("function_name").alias("name"), "derived_class")
-    return code.resolve_overrides(refs, edges(spark, d, relations=[*INHERITS, "belongs_to"]), nodes(spark, d, "type", "name"))
+    refs = _unresolved(spark, d, "override", F.col("function_name").alias("name"), "derived_class", "base_namespace", F.col("from_id").alias("src"))
+    return code.resolve_overrides(refs, edges(spark, d, relations=[*INHERITS, "belongs_to"]), nodes(spark, d, "type", "name", "namespace", "is_virtual"))
 
 
 @query(f"""WITH {N}, refs AS (SELECT DISTINCT id AS edge_id, target_simple_name AS name FROM edge WHERE {_REFS} AND resolve_hint = 'type_alias'),

@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.files_to_update(*(table(spark, d, t) for t in ("parse_status", "processed_file", "update_run"))).select("source_file")
 
 
+def p1_runs(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.update_runs(*(table(spark, d, t) for t in ("parse_status", "processed_file", "update_run")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_edges(table(spark, d, "edge"), table(spark, d, "node"))
 
@@ -72,12 +76,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_paths, p3_descendants, p3_paths_all, p3_descendants_all, p3_include_paths, p3_include_descendants, p4_found, p4_counts, p6_found)
+    f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_report, p3_found, p3_paths, p3_descendants, p3_paths_all, p3_descendants_all, p3_include_paths, p3_include_descendants, p4_found, p4_counts, p6_found)
 }
 
 _HASH = r"regexp_replace(regexp_replace(lower(regexp_replace(file_hash, '^\s+|\s+$', '', 'g')), '^md5:', ''), '^\s+|\s+$', '', 'g')"
 _STATE = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
-P1 = f"""
+_VERSIONS = f"""
 WITH ready AS (
   SELECT source_file, {_HASH} AS h FROM parse_status
   WHERE source_file IS NOT NULL AND {_STATE.format('status')} IN ('success', 'partial') AND {_HASH} <> ''
@@ -86,8 +90,13 @@ taken AS (
   SELECT source_file, {_HASH} AS h FROM processed_file p JOIN update_run r USING (run_id)
   WHERE source_file IS NOT NULL AND {_STATE.format('r.state')} = 'success'
   QUALIFY row_number() OVER (PARTITION BY source_file
-    ORDER BY r.finished_at DESC NULLS LAST, run_id DESC, processed_at DESC NULLS LAST, {_HASH} DESC NULLS LAST) = 1)
-SELECT source_file FROM ready LEFT JOIN taken USING (source_file) WHERE ready.h IS DISTINCT FROM taken.h"""
+    ORDER BY r.finished_at DESC NULLS LAST, run_id DESC, processed_at DESC NULLS LAST, {_HASH} DESC NULLS LAST) = 1),
+found AS (SELECT source_file FROM ready LEFT JOIN taken USING (source_file) WHERE taken.source_file IS NULL OR ready.h IS DISTINCT FROM taken.h)"""
+P1 = f"{_VERSIONS} SELECT source_file FROM found"
+P1_RUNS = f"""{_VERSIONS}
+SELECT 1 AS run_no, count(*) AS n_records, count(*) AS n_processed FROM taken
+UNION ALL SELECT 2, (SELECT count(*) FROM ready), count(*) FROM found
+UNION ALL SELECT 3, count(*), 0 FROM ready"""
 
 
 def _name(c: str) -> str:
@@ -197,6 +206,7 @@ next_edges AS (SELECT no, lead(no) OVER (ORDER BY no) AS later FROM (SELECT DIST
 
 SQL: dict[str, str] = {
     "p1_found": P1,
+    "p1_runs": P1_RUNS,
     "p2_found": P2,
     "p2_report": P2_REPORT,
     "p3_found": P3,

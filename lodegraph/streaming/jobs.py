@@ -12,43 +12,66 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodegraph.functions import text as t
 from lodegraph.operators import build
-from lodegraph.operators.store import SnapshotTable
+from lodegraph.operators.store import SnapshotStore
+from lodegraph.runtime import cut
 from lodegraph.sources import parse_results
 
 
 class GraphRefresher:
-    """Takes parse results that arrive in a folder over into snapshot tables of nodes and edges (U-12, C-01..C-05).
-
-    Each micro-batch makes the next state and publishes it last, with the number of the batch; a batch
-    that is run again after a failure finds its number and is not taken over twice.
+    """Takes parse results that arrive in a folder over into a store of nodes, edges, includes, statuses and pending files (U-12, C-01..C-06).
+
+    Each micro-batch makes the next state of all tables and publishes it with the number of the batch, at
+    once; a batch that is run again after a failure finds its number and is not taken over twice, and a
+    writer that was overtaken publishes nothing. Besides results, documents of status ``deleted`` or
+    ``modified`` bring changes of files: deleted ones leave all tables, and the sources that include a
+    changed or deleted header become ``pending``, as do units whose parse failed, until a result for
+    them arrives.
     """
 
+    TABLES = ("nodes", "edges", "includes", "statuses", "pending")
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.nodes, self.edges, self.done = (SnapshotTable(spark, f"{self.path}/{x}") for x in ("nodes", "edges", "batches"))
+        self.store = SnapshotStore(spark, self.path)
 
-    def last_batch(self) -> tuple[int, int, int]:
-        """The last batch taken over and the versions of nodes and edges that belong to it."""
-        if not self.done.version():
-            return -1, 0, 0
-        r = self.done.read().first()
-        return r["batch"], r["nodes"], r["edges"]
+    def last_batch(self) -> int:
+        """The number of the last batch taken over, -1 before the first."""
+        return self.store.facts().get("batch", -1)
 
     def state(self) -> tuple[DataFrame, DataFrame] | None:
-        _, n, e = self.last_batch()
-        return (self.nodes.read(n), self.edges.read(e)) if n else None
+        """Nodes and edges."""
+        version = self.store.version()
+        return (self.store.read("nodes", version), self.store.read("edges", version)) if version else None
+
+    def pending(self) -> DataFrame:
+        """``(file, reason)`` of what to parse again: ``failed`` units, and sources that ``include`` a changed file."""
+        return self.store.read("pending") if self.store.version() else self.spark.createDataFrame([], "file string, reason string")
 
     def take(self, rows: DataFrame, batch: int) -> None:
-        if batch <= self.last_batch()[0]:
+        version = self.store.version()
+        if version and batch <= self.store.facts(version)["batch"]:
             return
-        results = parse_results_of(rows)
-        now = self.state()
-        if now is None:
-            nodes, edges, _, _ = build.build(results)
-        else:
-            nodes, edges = build.refresh(*now, results, self.spark.createDataFrame([], "status string, file string"))
-        versions = self.nodes.publish(nodes), self.edges.publish(edges)
-        self.done.publish(self.spark.createDataFrame([(batch, *versions)], "batch long, nodes long, edges long"))
+        every = cut(parse_results_of(rows))
+        notice = F.col("status").isin("deleted", "modified")
+        results = every.where(~notice)
+        changes = every.where(notice).select(F.when(F.col("status") == "deleted", "D").otherwise("M").alias("status"), F.col("source_path").alias("file"))
+        nodes, edges, includes, statuses = build.build(results)
+        waiting = self.spark.createDataFrame([], "file string, reason string")
+        if version:
+            old = {name: self.store.read(name, version) for name in self.TABLES}
+            nodes, edges = build.refresh(old["nodes"], old["edges"], results, changes)
+            gone = changes.where("status = 'D'").select(F.col("file").alias("source_file")).distinct()
+            good = statuses.where("status <> 'failed'").select("source_file")
+            left = old["includes"].join(gone.union(good), "source_file", "left_anti")
+            includes = left.unionByName(includes).dropDuplicates(["source_file", "included_file"])
+            statuses = old["statuses"].join(gone.union(statuses.select("source_file")), "source_file", "left_anti").unionByName(statuses)
+            waiting = old["pending"].join(gone.union(good).withColumnRenamed("source_file", "file"), "file", "left_anti")
+        statuses = cut(statuses)
+        failed = parse_results.statuses(results).where("status = 'failed'").select(F.col("source_file").alias("file"), F.lit("failed").alias("reason"))
+        hit = build.affected(includes, changes).join(changes.where("status = 'D'").select("file"), "file", "left_anti").select("file", F.lit("include").alias("reason"))
+        parsed = parse_results.statuses(results).where("status <> 'failed'").select(F.col("source_file").alias("file"))
+        waiting = waiting.unionByName(failed).unionByName(hit.join(parsed, "file", "left_anti")).groupBy("file").agg(F.min("reason").alias("reason"))
+        self.store.publish(dict(zip(self.TABLES, (nodes, edges, includes, statuses, waiting), strict=True)), {"batch": batch}, version)
 
     def start(self, folder: str, files_per_batch: int = 1000) -> StreamingQuery:
         """Takes over all files that have arrived, at most ``files_per_batch`` at once, and ends."""

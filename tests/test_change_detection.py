@@ -58,7 +58,7 @@ def test_merkle_descent_finds_exactly_the_differing_leaves(spark):
 
 
 def test_store_publishes_output_and_tree_together(spark, tmp_path):
-    store = incremental.IncrementalStore(spark, str(tmp_path), depth=2)
+    store = incremental.IncrementalStore(spark, str(tmp_path), leaf_rows=2)
     now = spark.createDataFrame([(f"k{i}", "1") for i in range(50)] + [("none", None)], "key string, value string")
     done = []
 
@@ -72,14 +72,14 @@ def test_store_publishes_output_and_tree_together(spark, tmp_path):
     changed = now.where("key <> 'k3'").withColumn("value", F.when(F.col("key").isin("k7", "none"), "2").otherwise(F.col("value")))
     with pytest.raises(RuntimeError, match="dies"):
         store.run(changed, lambda df: (_ for _ in ()).throw(RuntimeError("dies")))
-    publish = store._publish
-    store._publish = lambda *a: (_ for _ in ()).throw(RuntimeError("dies late"))
+    publish = store.published.publish
+    store.published.publish = lambda *a: (_ for _ in ()).throw(RuntimeError("dies late"))
     with pytest.raises(RuntimeError, match="dies late"):
         store.run(changed, process)
-    store._publish = publish
+    store.published.publish = publish
     assert store.outputs().count() == 51 and len(store.runs()) == 1
 
-    again = incremental.IncrementalStore(spark, str(tmp_path), depth=2)
+    again = incremental.IncrementalStore(spark, str(tmp_path), leaf_rows=2)
     again.run(changed, process)
     assert done[-1] == 2 and rows(again.outputs().where("value = '2'"), "key") == [("k7",), ("none",)]
     again.run(changed, process)
@@ -90,6 +90,38 @@ def test_store_publishes_output_and_tree_together(spark, tmp_path):
     assert rows(again.saved_state(), "key", "value") == rows(now, "key", "value")
 
 
+def test_only_differing_leaves_are_read(spark, tmp_path):
+    store = incremental.IncrementalStore(spark, str(tmp_path), leaf_rows=8)
+    now = spark.range(4000).selectExpr("CAST(id AS STRING) AS key", "'1' AS value")
+    store.run(now, lambda df: df)
+    run = store.run(now.withColumn("value", F.when(F.col("key") == "77", "2").otherwise(F.col("value"))), lambda df: df)
+    entry = store.entry(run)
+    assert (entry["n_leaves"], entry["n_differing"], entry["whole"]) == (1000, 1, False) and rows(store.output(run)) == [("77", "2")]
+    # what the run wrote anew is one leaf's rows; what it read of the saved state is one of 64 folders
+    leaves = spark.read.parquet(f"{tmp_path}/state/{run}")
+    assert leaves.select("part").distinct().count() == 1 and leaves.count() < 30
+    plan = store.saved_state(leaves.select("leaf").distinct())._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "part#" in plan.split("PartitionFilters", 1)[1][:80]
+    # eight times the records: another shape, the same result
+    more = spark.range(60_000).selectExpr("CAST(id AS STRING) AS key", "IF(id = 77, '2', '1') AS value")
+    run = store.run(more, lambda df: df)
+    assert store.output(run).count() == 56_000 and store.entry(run)["whole"] and store.entry(run)["n_leaves"] > 4000
+    run = store.run(more, lambda df: df)
+    assert store.output(run).count() == 0 and store.saved_state().count() == 60_000
+
+
+def test_of_two_runs_at_once_one_is_published(spark, tmp_path):
+    from lodegraph.publish import TakenError
+
+    a, b = (incremental.IncrementalStore(spark, str(tmp_path)) for _ in range(2))
+    one, two = (spark.createDataFrame([(x, "1")], "key string, value string") for x in ("a", "b"))
+    with pytest.raises(TakenError):
+        a.run(one, lambda df: b.run(two, lambda x: x) and df)
+    assert rows(a.outputs()) == [("b", "1")] and len(a.runs()) == 1
+    a.run(one, lambda df: df)
+    assert rows(a.saved_state(), "key") == [("a",)]
+
+
 def changes(df):
     return rows(snapshots.snapshot_changes(snapshots.deliveries(df, "e", "no", F.col("k"), [F.col("v"), F.col("w")], "at"), leaf_rows=2), "snapshot_no", "record_key", "change_kind")
 

@@ -138,10 +138,33 @@ def test_resolution(spark):
         (5, "function", "f", {"namespace": "q", "file_path": "a"}), (6, "function", "~B", {"namespace": "B"}), (7, "struct", "D"),
     )
     e = edges_of(spark, (2, 1, "inherits_public"), (3, 1, "belongs_to"), (6, 1, "belongs_to"))
-    refs = spark.createDataFrame([(1, "f", "B", ["int"]), (2, "f", "B", ["x"]), (3, "f", "Z", ["x"]), (4, "f", None, None), (5, "g", None, None), (6, None, None, None)], "edge_id long, name string, parent string, params array<string>")
-    assert rows(code.resolve_calls(refs, n)) == [(1, 3, 1), (2, 3, 2), (3, 5, 3), (4, 5, 1)]
-    over = spark.createDataFrame([(1, "f", "D"), (2, "~D", "D"), (3, "f", "B"), (4, None, "D")], "edge_id long, name string, derived_class string")
+    refs = [(1, "f", "B", ["int"]), (2, "f", "B", ["x"]), (3, "f", "Z", ["x"]), (4, "f", None, None), (5, "g", None, None), (6, None, None, None), (7, "f", "B", None), (8, "f", None, [])]
+    calls = lambda items: spark.createDataFrame([(*x, None)[:5] for x in items], "edge_id long, name string, parent string, params array<string>, namespace string")
+    assert rows(code.resolve_calls(calls(refs), n)) == [(1, 3, 1), (2, 3, 2), (3, 5, 3), (4, 5, 3), (7, 3, 2), (8, 4, 1)]
+    over = spark.createDataFrame([(1, "f", "D", None, 9), (2, "~D", "D", "", 9), (3, "f", "B", None, 9), (4, None, "D", None, 9)], "edge_id long, name string, derived_class string, base_namespace string, src long")
     assert rows(code.resolve_overrides(over, e, n)) == [(1, 3), (2, 6)]
+    # null parameters are unknown: the tail of the namespace decides, not an empty list elsewhere
+    m = nodes_of(
+        spark, (1, "function", "run", {"namespace": "x::Base", "param_types": ["int"]}), (2, "function", "run", {"namespace": "BaseImpl", "param_types": [], "file_path": "a"}),
+        (3, "function", "go", {"namespace": "y", "file_path": "a"}), (4, "function", "go", {"namespace": "x::in::Other"}), (5, "function", "go", {"namespace": "x::inner"}),
+    )
+    assert rows(code.resolve_calls(calls([(1, "run", "Base", None), (2, "run", "Base", []), (3, "go", "Z", None, "x::in"), (4, "go", "Z", None, "x::i"), (5, "go", "", None, "x::in")]), m)) == [
+        (1, 1, 2), (2, 2, 1), (3, 4, 2), (4, 3, 3), (5, 3, 3),
+    ]
+    # overrides: the namespace of the derived class, that of the function, and the virtual member that counts where none fits
+    m = nodes_of(
+        spark, (1, "class", "D", {"namespace": "a"}), (2, "class", "D", {"namespace": "b"}), (3, "class", "P", {}), (4, "class", "Q", {}), (5, "function", "f", {"namespace": "a::P"}),
+        (6, "function", "f", {"namespace": "b::Q", "is_virtual": True}), (7, "function", "g", {"namespace": "c::P", "is_virtual": True}), (8, "function", "g", {"namespace": "c::P", "is_virtual": True}),
+        (9, "function", "g", {"namespace": "c::P"}),
+    )
+    e = edges_of(spark, (1, 3, "inherits_public"), (2, 4, "inherits_public"), (6, 4, "belongs_to"), (7, 3, "belongs_to"), (8, 3, "belongs_to"))
+    over = spark.createDataFrame(
+        [(1, "f", "D", "a", 0), (2, "f", "D", "b", 0), (3, "f", "D", None, 0), (4, "g", "D", "a", 7), (5, "g", "D", "a", 0), (6, "g", "D", None, 7), (7, "f", "D", "z", 0)],
+        "edge_id long, name string, derived_class string, base_namespace string, src long",
+    )
+    assert rows(code.resolve_overrides(over, e, m)) == [(1, 5), (2, 6), (3, 5), (4, 8), (5, 7), (6, 7)]
+    using = spark.createDataFrame([(1, "g", "P"), (2, "f", "R"), (3, None, "P")], "edge_id long, name string, base_class string")
+    assert rows(code.resolve_using(using, m)) == [(1, 7)]
     assert rows(code.resolve_types(spark.createDataFrame([(1, "D"), (2, "Q")], "edge_id long, name string"), n)) == [(1, 2)]
     fn = nodes_of(spark, (1, "function", "outer", {"start_line": 1, "end_line": 50}), (2, "function", "inner", {"start_line": 10, "end_line": 20}), (3, "function", "bad", {"start_line": 9, "end_line": 2}))
     sites = spark.createDataFrame([("f.cpp", 15), ("f.cpp", 30), ("f.cpp", 99), ("g.cpp", 15)], "file_path string, line int")

@@ -106,11 +106,38 @@ def test_graph_refresher_stream(spark, tmp_path):
     nodes, edges = job.state()
     assert names(edges, nodes) == WANT
     before = job.last_batch()
-    job.take(spark.createDataFrame([], parse_results.schema()), before[0])  # a batch that comes again
+    job.take(spark.createDataFrame([], parse_results.schema()), before)  # a batch that comes again
     job.start(str(tmp_path / "in")).awaitTermination()  # nothing new
     assert job.last_batch() == before
 
 
+def test_stream_takes_deletions_failures_and_changed_headers_over(spark, tmp_path):
+    def unit(name, status="success", includes=(), nodes=()):
+        return {
+            "source_path": name, "status": status, "edges": [], "includes": [{"source_file": name, "included_file": i, "is_system": False} for i in includes],
+            "nodes": [{"type": "function", "name": n, "namespace": "", "file_path": name, "start_line": 1, "end_line": 2, "unique_key": f"function|{n}"} for n in nodes],
+        }
+
+    job = jobs.GraphRefresher(spark, str(tmp_path / "graph"))
+    folder = tmp_path / "in"
+
+    def arrive(**docs):
+        write(folder, **docs)
+        job.start(str(folder)).awaitTermination()
+
+    arrive(a=unit("src/a.cpp", includes=["src/x.h"], nodes=["fa"]), b=unit("src/b.cpp", includes=["src/y.h"], nodes=["fb"]), c=unit("src/c.cpp", "failed"), y=unit("src/y.h", includes=["src/x.h"]))
+    assert rows(job.pending()) == [("src/c.cpp", "failed")]
+    arrive(d=unit("src/x.h", "modified"))
+    assert rows(job.pending()) == [("src/a.cpp", "include"), ("src/b.cpp", "include"), ("src/c.cpp", "failed")]
+    arrive(e=unit("src/a.cpp", includes=["src/x.h"], nodes=["fa", "fa2"]), f=unit("src/b.cpp", "deleted"), g=unit("src/c.cpp", nodes=["fc"]))
+    assert rows(job.pending()) == []
+    nodes, _ = job.state()
+    assert rows(nodes, "name") == [("fa",), ("fa2",), ("fc",)]
+    assert rows(job.store.read("statuses"), "source_file") == [("src/a.cpp",), ("src/c.cpp",), ("src/y.h",)]
+    assert rows(job.store.read("includes"), "source_file") == [("src/a.cpp",), ("src/y.h",)]
+    assert job.store.version() == 3
+
+
 def test_front_end(spark):
     from lodegraph.sources import front_end
 
@@ -138,6 +165,29 @@ def test_snapshot_table(spark, tmp_path):
     assert table.read().count() == 5 and table.read(1).count() == 3
 
 
+def test_a_writer_that_is_overtaken_changes_nothing(spark, tmp_path):
+    from lodegraph.publish import TakenError
+
+    table, other = SnapshotTable(spark, str(tmp_path / "t")), SnapshotTable(spark, str(tmp_path / "t"))
+    base = table.version()
+    assert other.publish(spark.range(3), base=base) == 1
+    with pytest.raises(TakenError):
+        table.publish(spark.range(99), base=base)
+    assert table.read(1).count() == 3 and table.version() == 1
+    assert len(table.sweep(hours=0)) == 1 and table.read().count() == 3 and table.publish(spark.range(4)) == 2
+    from concurrent.futures import ThreadPoolExecutor
+
+    def race(k):
+        try:
+            return table.store.published.publish(9, {"k": k}) or k
+        except TakenError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [k for k in pool.map(race, range(8)) if k is not None]
+    assert len(won) == 1 and table.store.published.entry(9) == {"k": won[0]}
+
+
 def test_compile_commands(spark, tmp_path):
     data = [
         {"file": "src/a.cpp", "directory": "/p", "command": 'g++ -O2 -Wall -isystem /usr/inc -D"X=1" -o a.o -c src/a.cpp -std=c++17'},
