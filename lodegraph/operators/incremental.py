@@ -7,6 +7,7 @@ run's output together with them.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -118,11 +119,11 @@ class IncrementalStore:
 
     TREE = "leaf BIGINT, n BIGINT, d1 BIGINT, d2 BIGINT, run STRING"
     STATE = "key STRING, value STRING, leaf BIGINT, part INT"
-    #: Bits of a leaf's number by which state is partitioned: 64 folders at most.
-    PART_BITS = 6
+    #: Bits of a leaf's number by which state is partitioned, at most: 1,024 folders.
+    MOST_PART_BITS = 10
 
-    def __init__(self, spark: SparkSession, path: str, leaf_rows: int = merkle.LEAF_ROWS):
-        self.spark, self.path, self.leaf_rows = spark, path.rstrip("/"), leaf_rows
+    def __init__(self, spark: SparkSession, path: str, leaf_rows: int = merkle.LEAF_ROWS, part_rows: int = 50_000):
+        self.spark, self.path, self.leaf_rows, self.part_rows = spark, path.rstrip("/"), leaf_rows, part_rows
         self.published = Publications(spark, f"{self.path}/runs")
 
     def runs(self) -> list[dict]:
@@ -148,12 +149,14 @@ class IncrementalStore:
         holds, every = self.saved_tree(runs).select("leaf", "run"), reduce(DataFrame.unionByName, parts)
         if leaves is not None:
             holds = holds.join(leaves, "leaf", "left_semi")
-            wanted = [r[0] for r in leaves.select(self._part(runs[-1]["depth"] * runs[-1]["bits"])).distinct().collect()]  # 64 at most
-            every = every.where(F.col("part").isin(wanted))
+            if runs[-1]["part_bits"]:
+                wanted = [r[0] for r in leaves.select(self._part(runs[-1])).distinct().collect()]  # 1,024 at most
+                every = every.where(F.col("part").isin(wanted))
         return every.drop("part").join(holds, ["leaf", "run"], "left_semi").drop("run")
 
-    def _part(self, bits: int):
-        return F.shiftright("leaf", max(bits - self.PART_BITS, 0)).cast("int").alias("part")
+    @staticmethod
+    def _part(shape: dict) -> Column:
+        return F.shiftright("leaf", max(shape["depth"] * shape["bits"] - shape["part_bits"], 0)).cast("int").alias("part")
 
     def output(self, run: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/output/{run}")
@@ -163,14 +166,14 @@ class IncrementalStore:
         runs = [r for r in self.runs() if not r.get("compacted")]
         return self.spark.read.parquet(*(f"{self.path}/output/{r['run']}" for r in runs)) if runs else None
 
-    def _write_state(self, rows: DataFrame, run: str, bits: int) -> None:
-        parted = rows.select("key", "value", "leaf", self._part(bits))
+    def _write_state(self, rows: DataFrame, run: str, shape: dict) -> None:
+        parted = rows.select("key", "value", "leaf", self._part(shape))
         parted.repartition("part").write.mode("error").partitionBy("part").parquet(f"{self.path}/state/{run}")
 
     def compact(self) -> str:
         """Gathers the rows of all runs in one folder, published as a run without output; then a reader opens one folder only."""
         runs, run = self.runs(), uuid.uuid4().hex
-        self._write_state(self.saved_state(runs=runs), run, runs[-1]["depth"] * runs[-1]["bits"])
+        self._write_state(self.saved_state(runs=runs), run, runs[-1])
         self.saved_tree(runs).withColumn("run", F.lit(run)).write.mode("error").parquet(f"{self.path}/tree/{run}")
         self.published.publish(len(runs) + 1, {**runs[-1], "run": run, "compacted": True, "whole": True})
         return run
@@ -186,28 +189,37 @@ class IncrementalStore:
         n_records = current.count()
         depth, bits = merkle.plan_shape(n_records, self.leaf_rows)
         kept_shape = bool(runs) and abs(depth * bits - runs[-1]["depth"] * runs[-1]["bits"]) <= 3
+        part_bits = min(math.ceil(math.log2(max(n_records / self.part_rows, 1))), self.MOST_PART_BITS, depth * bits)
         if kept_shape:
-            depth, bits = runs[-1]["depth"], runs[-1]["bits"]
+            depth, bits, part_bits = (runs[-1][k] for k in ("depth", "bits", "part_bits"))
+        shape = {"depth": depth, "bits": bits, "part_bits": part_bits}
         keyed = cut(with_digests(current, depth, bits))
         fresh = cut(merkle.leaves(keyed))
-        if kept_shape or not runs:
-            saved, old_rows = self.saved_tree(runs), lambda leaves: self.saved_state(leaves, runs)
+        whole, n_differing = not kept_shape, None
+        if not runs:
+            process(keyed.select("key", "value")).write.mode("error").parquet(f"{self.path}/output/{run}")
+        else:
+            if kept_shape:
+                saved, old_rows = self.saved_tree(runs), lambda leaves: self.saved_state(leaves, runs)
+            else:
+                state = cut(with_digests(self.saved_state(runs=runs).drop("leaf"), depth, bits))
+                saved, old_rows = cut(merkle.leaves(state)), lambda leaves: state.join(leaves, "leaf", "left_semi")
+            trees = [merkle.tree(x.select("leaf", "n", "d1", "d2"), depth, bits=bits) for x in (fresh, saved)]
+            differ = small(merkle.differing_leaves(*trees, depth, bits=bits))
+            n_differing = differ.count()
+            now = keyed.join(differ, "leaf", "left_semi")
+            old = old_rows(differ).select("key", F.col("value").alias("before"), F.lit(True).alias("known"))
+            pairs = now.select("key", "value").join(old, "key", "left")
+            todo = pairs.where(F.col("known").isNull() | ~F.col("value").eqNullSafe(F.col("before"))).select("key", "value")
+            process(todo).write.mode("error").parquet(f"{self.path}/output/{run}")
+        if whole:
+            self._write_state(keyed, run, shape)
+            tree = fresh.withColumn("run", F.lit(run))
         else:
-            state = cut(with_digests(self.saved_state(runs=runs).drop("leaf"), depth, bits))
-            saved, old_rows = merkle.leaves(state), lambda leaves: state.join(leaves, "leaf", "left_semi")
-        trees = [cut(merkle.tree(x.select("leaf", "n", "d1", "d2"), depth, bits=bits)) for x in (fresh, saved)]
-        differ = small(merkle.differing_leaves(*trees, depth, bits=bits))
-        now = keyed.join(differ, "leaf", "left_semi")
-        old = old_rows(differ).select("key", F.col("value").alias("before"), F.lit(True).alias("known"))
-        pairs = now.select("key", "value").join(old, "key", "left")
-        todo = pairs.where(F.col("known").isNull() | ~F.col("value").eqNullSafe(F.col("before"))).select("key", "value")
-
-        process(todo).write.mode("error").parquet(f"{self.path}/output/{run}")
-        whole = not kept_shape
-        self._write_state(keyed if whole else now, run, depth * bits)
-        wrote = (fresh if whole else fresh.join(differ, "leaf", "left_semi")).withColumn("run", F.lit(run))
-        tree = wrote if whole else saved.join(differ, "leaf", "left_anti").unionByName(wrote)
+            self._write_state(now, run, shape)
+            wrote = fresh.join(differ, "leaf", "left_semi").withColumn("run", F.lit(run))
+            tree = saved.join(differ, "leaf", "left_anti").unionByName(wrote)
         tree.write.mode("error").parquet(f"{self.path}/tree/{run}")
-        facts = {"n_records": n_records, "n_leaves": fresh.count(), "n_differing": differ.count()}
-        self.published.publish(len(runs) + 1, {"run": run, "depth": depth, "bits": bits, "whole": whole, **facts})
+        facts = {"n_records": n_records, "n_leaves": fresh.count(), "n_differing": n_differing}
+        self.published.publish(len(runs) + 1, {"run": run, **shape, "whole": whole, **facts})
         return run

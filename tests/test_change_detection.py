@@ -91,13 +91,13 @@ def test_store_publishes_output_and_tree_together(spark, tmp_path):
 
 
 def test_only_differing_leaves_are_read(spark, tmp_path):
-    store = incremental.IncrementalStore(spark, str(tmp_path), leaf_rows=8)
+    store = incremental.IncrementalStore(spark, str(tmp_path), leaf_rows=8, part_rows=100)
     now = spark.range(4000).selectExpr("CAST(id AS STRING) AS key", "'1' AS value")
     store.run(now, lambda df: df)
     run = store.run(now.withColumn("value", F.when(F.col("key") == "77", "2").otherwise(F.col("value"))), lambda df: df)
     entry = store.entry(run)
     assert (entry["n_leaves"], entry["n_differing"], entry["whole"]) == (1000, 1, False) and rows(store.output(run)) == [("77", "2")]
-    # what the run wrote anew is one leaf's rows; what it read of the saved state is one of 64 folders
+    # what the run wrote anew is one leaf's rows; what it read of the saved state is one of its folders
     leaves = spark.read.parquet(f"{tmp_path}/state/{run}")
     assert leaves.select("part").distinct().count() == 1 and leaves.count() < 30
     plan = store.saved_state(leaves.select("leaf").distinct())._jdf.queryExecution().toString()

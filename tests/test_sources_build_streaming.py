@@ -2,6 +2,7 @@ import json
 import subprocess
 from datetime import datetime as T
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.operators import build, stats
