@@ -167,8 +167,8 @@ class CodeGraph:
 class DocGraph:
     """Documents ``(doc_id, path, text, title, updated_at)``, their links and symbols, and findings."""
 
-    def __init__(self, documents: DataFrame, nodes: DataFrame | None = None, store: DataFrame | None = None):
-        self.documents, self.nodes = documents, nodes
+    def __init__(self, documents: DataFrame, nodes: DataFrame | None = None, store: DataFrame | None = None, edges: DataFrame | None = None):
+        self.documents, self.nodes, self.edges = documents, nodes, edges
         self.findings = store if store is not None else documents.sparkSession.createDataFrame([], findings.SCHEMA)
 
     @cached_property
@@ -181,18 +181,18 @@ class DocGraph:
         return cut(e.select(F.col("key").alias("src"), "dst", "rel", "manual"))
 
     def _texts(self) -> tuple[DataFrame, DataFrame]:
-        rows = self.documents.where("text IS NOT NULL").join(self.items.select("doc_id", "key", F.coalesce("title", F.lit("")).alias("label")), "doc_id")
-        return rows.select("key", "label", "text"), self.links.where("rel = 'mentions_symbol'").select(F.col("src").alias("key"), F.regexp_replace("dst", "^symbol:", "").alias("name"))
+        mentions = self.links.where("rel = 'mentions_symbol'").select(F.col("src").alias("key"), F.regexp_replace("dst", "^symbol:", "").alias("name"))
+        return self.items.select("key", *retrieval.FIELDS), mentions
 
     def search(self, query: str, limit: int = 5, depth: int = 2) -> dict[str, DataFrame]:
         """Start documents, what they reach, and code and findings of the symbols on the way (R-10)."""
         texts, mentions = self._texts()
-        nodes = self.nodes if self.nodes is not None else self.documents.sparkSession.createDataFrame([], "id long, name string, parent_class string, namespace string")
-        out = questions.surroundings(texts, mentions, self.links, nodes, query, limit, depth)
-        return {**out, "findings": findings.search(self.findings, query, limit)}
+        empty = "id long, name string, type string, parent_class string, namespace string"
+        nodes = self.nodes if self.nodes is not None else self.documents.sparkSession.createDataFrame([], empty)
+        return questions.surroundings(texts, mentions, self.links, nodes, query, limit, depth, self.edges, self.findings)
 
     def list(self, kind: str | None = None, part: str | None = None, limit: int = 50) -> DataFrame:
-        return questions.list_documents(self.items.join(self.documents.select("doc_id", "path"), "doc_id"), kind, part, limit)
+        return questions.list_documents(self.items, kind, part, limit)
 
     def knowledge(self) -> DataFrame:
         return docs.knowledge_nodes(self.documents)

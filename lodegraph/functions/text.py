@@ -189,10 +189,16 @@ def wiki_links(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(_c(c), F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)), F.trim)
 
 
+#: Names in code marks, qualified and plain; a link's and a code mark's text. Fixed values.
+QUALIFIED_SYMBOL = "`([A-Z][A-Za-z0-9_]*(?:::[A-Za-z0-9_~]+)+)`"
+PLAIN_SYMBOL = "`([A-Z][A-Za-z0-9_]{2,})`"
+LINK_TEXT, CODE_TEXT = r"\[([^\]]+)\]\([^)]+\)", "`([^`]+)`"
+
+
 def backtick_symbols(c: Column | str) -> Column:
     """Names in code marks: qualified ones, and plain ones that look like names; sorted, once each (F-27)."""
-    qualified = F.regexp_extract_all(_c(c), F.lit("`([A-Z][A-Za-z0-9_]*(?:::[A-Za-z0-9_~]+)+)`"), F.lit(1))
-    plain = F.filter(F.regexp_extract_all(_c(c), F.lit("`([A-Z][A-Za-z0-9_]{2,})`"), F.lit(1)), is_likely_symbol)
+    qualified = F.regexp_extract_all(_c(c), F.lit(QUALIFIED_SYMBOL), F.lit(1))
+    plain = F.filter(F.regexp_extract_all(_c(c), F.lit(PLAIN_SYMBOL), F.lit(1)), is_likely_symbol)
     return F.array_sort(F.array_distinct(F.concat(qualified, plain)))
 
 
@@ -229,7 +235,7 @@ def link_doc_id(link: Column | str, source: Column | str) -> Column:
 
 def clean_heading(c: Column | str) -> Column:
     """A heading without links and code marks (F-33)."""
-    return F.regexp_replace(F.regexp_replace(_c(c), r"\[([^\]]+)\]\([^)]+\)", "$1"), "`([^`]+)`", "$1")
+    return F.regexp_replace(F.regexp_replace(_c(c), LINK_TEXT, "$1"), CODE_TEXT, "$1")
 
 
 def document_title(c: Column | str) -> Column:
@@ -237,15 +243,24 @@ def document_title(c: Column | str) -> Column:
     return F.trim(F.regexp_extract(F.coalesce(_c(c), F.lit("")), r"(?m)^[ \t]*# ([^\n]*)$", 1))
 
 
-def document_type(path: Column | str, text: Column | str, declared: Column) -> Column:
-    """The declared type, else one by folder or a diary's entry (F-35, F-36)."""
-    p = F.lower(F.coalesce(_c(path), F.lit("")))
-    folder = lambda name: p.rlike(f"(^|/){name}/")
-    return (
-        F.when(F.coalesce(declared, F.lit("")) != "", declared)
-        .when(folder("diary"), "diary").when(folder("review_reports"), "review").when(folder("task"), "task").when(p.contains("completion status"), "report")
-        .when(F.coalesce(_c(text), F.lit("")).rlike(r"## [^\n]+\n-\s*\*\*类型\*\*"), "diary").otherwise("doc")
-    )
+#: Types of documents by their path, in lower case, or text: the first that fits counts. Fixed values.
+DOCUMENT_TYPES = [
+    ("path", r"(^|/)diary/", "diary"),
+    ("path", r"(^|/)review_reports/", "review"),
+    ("path", r"(^|/)task/", "task"),
+    ("path", "completion status", "report"),
+    ("text", r"## [^\n]+\n-\s*\*\*类型\*\*", "diary"),
+]
+#: The names of the lines of a diary's entry. Fixed values.
+DIARY_FIELDS = {"kind": "类型", "conclusion": ("结论", "影响"), "symbols": "关联", "session": "会话"}
+
+
+def document_type(path: Column | str, text: Column | str, declared: Column, types: list[tuple[str, str, str]] | None = None) -> Column:
+    """The declared type, else that of the first of ``types(field, pattern, type)`` that fits, else ``doc`` (F-35, F-36)."""
+    fields = {"path": F.lower(F.coalesce(_c(path), F.lit(""))), "text": F.coalesce(_c(text), F.lit(""))}
+    rules = DOCUMENT_TYPES if types is None else types
+    found = [F.when(fields[field].rlike(pattern), F.lit(kind)) for field, pattern, kind in rules]
+    return F.coalesce(F.nullif(declared, F.lit("")), *found, F.lit("doc"))
 
 
 def document_date(name: Column | str, text: Column | str, modified: Column) -> Column:

@@ -154,7 +154,8 @@ def abstract_classes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def implementations(edges: DataFrame, nodes: DataFrame, include_abstract: bool = False) -> DataFrame:
     """``(interface, class_id, depth, is_abstract)``: classes below each abstract class."""
     abstract = cut(abstract_classes(edges, nodes))
-    below = inheritance(edges, "descendants").join(abstract.withColumnRenamed("class_id", "seed"), "seed", "left_semi")
+    down = inherits(edges).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    below = closure(abstract.select(F.col("class_id").alias("seed"), F.col("class_id").alias("node")), down, include_seeds=False)
     flagged = below.join(abstract.select(F.col("class_id").alias("node"), F.lit(True).alias("abstract")), "node", "left")
     out = flagged.select(F.col("seed").alias("interface"), F.col("node").alias("class_id"), "depth", F.coalesce("abstract", F.lit(False)).alias("is_abstract"))
     return out if include_abstract else out.where("NOT is_abstract")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodegraph.functions import text as t
+from lodegraph.runtime import small, strip
 
 MIN_WORDS = 20
 
@@ -24,7 +25,27 @@ def lines(documents: DataFrame) -> DataFrame:
     return rows.withColumn("in_code", ((count % 2) == 1) | (fence == 1))
 
 
-_SPLIT_SCHEMA = "doc_id long, path string, section_no long, heading string, section_level long, start_line long, end_line long, content string"
+_INT_ARRAY, _TEXT_ARRAY = "array<int>", "array<string>"
+
+
+def _with_lines(rows: DataFrame) -> DataFrame:
+    """``rows`` with the array of the lines of their ``text``, made once."""
+    return rows.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+
+
+def _heading_places(fences: bool) -> Column:
+    """The numbers of the lines that are headings of level two, from ``lines``; one walk along the array, which counts fences if asked."""
+    is_heading = lambda x: x.rlike(r"^\s*##\s+\S")
+    if not fences:
+        marked = F.transform("lines", lambda x, i: F.when(is_heading(x), i))
+        return F.array_compact(marked)
+    walk = lambda acc, x: F.struct(
+        (acc["at"] + 1).alias("at"),
+        (acc["code"] != x.rlike(r"^\s*```")).alias("code"),
+        F.when(~acc["code"] & is_heading(x), F.array_append(acc["found"], acc["at"])).otherwise(acc["found"]).alias("found"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("code"), F.array().cast(_INT_ARRAY).alias("found"))
+    return F.aggregate("lines", start, walk, lambda acc: acc["found"])
 
 
 def sections(documents: DataFrame, fences: bool = False) -> DataFrame:
@@ -32,42 +53,28 @@ def sections(documents: DataFrame, fences: bool = False) -> DataFrame:
 
     Lines before the first such heading are a section of their own; it keeps an empty heading unless it
     is the only one, then it is called by the document's title or its path. With ``fences`` headings
-    within code are none. A text is split where it is read, so no document's lines are shuffled; null
-    texts have no sections.
+    within code are none. A text is cut within its row by array functions, so no document's lines are
+    shuffled; null texts have no sections.
     """
-    heading2, other = re.compile(r"^##\s+(.+)$"), re.compile(r"^#{3,6}\s+.+$")
-    title = re.compile(r"^# (?!#)")
-
-    def name_of(doc_title: str, path: str | None) -> str:
-        return doc_title or re.sub(r"\.[^./]*$", "", (path or "").rsplit("/", 1)[-1])
-
-    def split(text: str, path: str | None) -> list[tuple]:
-        rows, current, start, body, code = [], None, 0, [], False
-        all_lines = text.split("\n")
-        first = next((x.strip()[2:].strip() for x in all_lines if title.match(x.strip())), "")
-        for i, line in enumerate(all_lines):
-            s = line.strip()
-            if fences and s.startswith("```"):
-                code = not code
-            m = None if code or other.match(s) else heading2.match(s)
-            if m is None:
-                body.append(line)
-                continue
-            if current or body:
-                rows.append((current or "", start, i - 1, body))
-            current, start, body = m[1].strip(), i, []
-        if current or body:
-            rows.append((current or name_of(first, path), start, len(all_lines) - 1, body))
-        return [(k, h, 2, a, b, "\n".join(x).strip()) for k, (h, a, b, x) in enumerate(rows)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _SPLIT_SCHEMA.split(", ")]
-        for b in batches:
-            out = [(i, p, *row) for i, p, x in zip(b["doc_id"], b["path"], b["text"], strict=True) for row in split(x, p)]
-            yield pd.DataFrame(out, columns=columns)
-
-    rows = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "path", "text")
-    return rows.mapInPandas(run, _SPLIT_SCHEMA).withColumn("heading", t.clean_heading("heading"))
+    rows = _with_lines(documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "path", "text"))
+    file_name = F.regexp_replace(F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1), r"\.[^./]*$", "")
+    title = F.trim(F.regexp_extract("text", r"(?m)^[ \t]*# (?!#)[ \t]*([^\n]*)$", 1))
+    rows = rows.select("doc_id", "path", "lines", _heading_places(fences).alias("heads"), F.coalesce(F.nullif(title, F.lit("")), file_name).alias("name"))
+    opens = F.concat(F.when((F.size("heads") == 0) | (F.get("heads", F.lit(0)) > 0), F.array(F.lit(0))).otherwise(F.array().cast(_INT_ARRAY)), "heads")
+    rows = rows.withColumn("opens", opens)
+    rows = rows.withColumn("headless", F.size("opens") - F.size("heads")).withColumn("last", F.size("lines") - 1)
+
+    def part(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("opens", k + 1) - 1, F.col("last"))
+        own = F.when(k >= F.col("headless"), 1).otherwise(0)
+        heading = F.when(own == 1, F.regexp_extract(F.get("lines", start), r"^\s*##\s+(.*?)\s*$", 1)).when(F.size("heads") == 0, F.col("name")).otherwise("")
+        return F.struct(
+            k.cast("long").alias("section_no"), heading.alias("heading"), F.lit(2).cast("long").alias("section_level"), start.cast("long").alias("start_line"),
+            end.cast("long").alias("end_line"), strip(F.array_join(F.slice("lines", start + 1 + own, end - start + 1 - own), "\n")).alias("content"),
+        )
+
+    cut_up = rows.select("doc_id", "path", F.inline(F.transform("opens", part)))
+    return cut_up.withColumn("heading", t.clean_heading("heading"))
 
 
 def merge_short(parts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -121,61 +128,66 @@ def _frontmatter(text: str) -> dict[str, list[str]]:
     return fields
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
+def _fields(text: pd.Series) -> pd.Series:
+    return text.map(_frontmatter)
+
+
+def head_fields(text: Column | str) -> Column:
+    """The fields at the head of a text; only the head goes to Python."""
+    return _fields(F.regexp_extract(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"(?ms)\A[ \t]*---[ \t\r]*\n.*?^[ \t]*---[ \t\r]*$", 0))
+
+
 def frontmatter(documents: DataFrame) -> DataFrame:
     """``(doc_id, fields MAP<STRING, ARRAY<STRING>>)``: the fields at the head of a text; empty without one (F-32).
 
     ``key: value``, ``key: [a, b]`` and lists of ``- value`` lines; a comment after a value is left out.
     """
+    return documents.where("doc_id IS NOT NULL").select("doc_id", head_fields("text").alias("fields"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fields": [_frontmatter(x or "") for x in b["text"]]})
 
-    return documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, fields map<string, array<string>>")
+#: Lines by what they are, a letter each: the first pattern that a line, without blanks around it, matches.
+_LINE_LETTERS = [(r"^(?:```|#|$)", "b"), (r"^(?:---|\*\*\*|___)$", "b"), (r"^>[>\s]*$", "n"), (r"^>", "q"), (r"^[^|]*\|[^|]*\|", "b"), (r"^(?:[-*]|\d+\.)\s", "i")]
 
 
-def _first_paragraph(text: str, skip_quotes: bool, most: int) -> str:
-    code, para, items = False, [], []
-    for raw in text.split("\n"):
-        s = raw.strip()
-        kind = (
-            "fence" if s.startswith("```") else "code" if code else "blank" if not s else "heading" if s[0] == "#" else "rule" if s in ("---", "***", "___")
-            else "quote" if s[0] == ">" else "table" if s.count("|") >= 2 else "item" if re.match(r"^(?:[-*]|\d+\.)\s", s) else "text"
-        )
-        if kind == "code":
-            continue
-        if kind == "quote" and not skip_quotes:
-            if s.lstrip(">").strip():
-                para.append(s.lstrip(">").strip())
-        elif kind == "text":
-            para.append(s)
-        elif para:
-            break
-        elif kind == "fence":
-            code = not code
-        elif kind == "item" and len(items) < 3:
-            items.append(re.sub(r"^(?:[-*]|\d+\.)\s+", "", s))
-    out = " ".join(para) if para else " | ".join(items)
-    return out[: most - 3] + "..." if len(out) > most else out
+def _with_summary(rows: DataFrame, skip_quotes: bool, most: int) -> DataFrame:
+    """``rows(text, ...)`` with ``summary``: see ``first_paragraphs``."""
+    bare = _with_lines(rows.withColumn("_text", F.col("text")).withColumn("text", F.regexp_replace("text", CODE_BLOCK, "```"))).withColumn("text", F.col("_text")).drop("_text")
+    bare = bare.withColumn("lines", F.transform("lines", strip))
 
+    def letter(line: Column) -> Column:
+        kind = F.when(F.lit(False), "")
+        for pattern, k in _LINE_LETTERS:
+            kind = kind.when(line.rlike(pattern), k)
+        return kind.otherwise("p")
+
+    # the kinds of all lines as one word, in which a paragraph is a run of letters
+    bare = bare.withColumn("kinds", F.array_join(F.transform("lines", letter), ""))
+    run = "p[p]*" if skip_quotes else "[pq][pqn]*"
+    at, size = F.regexp_instr("kinds", F.lit(run)), F.length(F.regexp_extract("kinds", run, 0))
+    prose = F.filter(F.transform(F.slice("lines", F.greatest(at, F.lit(1)), size), lambda x: x if skip_quotes else strip(F.regexp_replace(x, "^>+", ""))), lambda x: x != "")
+    items = F.transform(F.slice(F.filter("lines", lambda x: letter(x) == "i"), 1, 3), lambda x: F.regexp_replace(x, r"^(?:[-*]|\d+\.)\s+", ""))
+    bare = bare.withColumn("summary", F.when(size > 0, F.array_join(prose, " ")).otherwise(F.array_join(items, " | ")))
+    long = F.concat(F.substring("summary", 1, most - 3), F.lit("..."))
+    return bare.withColumn("summary", F.when(F.length("summary") > most, long).otherwise(F.col("summary"))).drop("lines", "kinds")
 
-def first_paragraphs(documents: DataFrame, skip_quotes: bool = True, most: int = 200) -> DataFrame:
-    """``(doc_id, summary)``: the first paragraph of prose, else the first three list items (W-12)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "summary": [_first_paragraph(x or "", skip_quotes, most) for x in b["text"]]})
+def first_paragraphs(documents: DataFrame, skip_quotes: bool = True, most: int = 200) -> DataFrame:
+    """``(doc_id, summary)``: the first paragraph of prose, else the first three list items (W-12).
 
-    return documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, summary string")
+    Lines are told apart by their kind; code blocks count as one line. A paragraph ends at any line that is
+    not prose; quotes are prose unless skipped. Longer summaries end in dots.
+    """
+    return _with_summary(documents.where("doc_id IS NOT NULL").select("doc_id", "text"), skip_quotes, most).select("doc_id", "summary")
 
 
 # --- document graph ----------------------------------------------------------------------------------
 
 
 def document_nodes(documents: DataFrame) -> DataFrame:
-    """``(doc_id, key, type, title, summary, date, manual)`` of each document (D-01, D-09)."""
-    fm = frontmatter(documents).select(F.col("doc_id"), "fields")
-    rows = documents.select("doc_id", "path", "text", "title", "updated_at").join(fm, "doc_id").join(first_paragraphs(documents), "doc_id")
+    """``(doc_id, key, type, title, summary, path, tags, date, manual)`` of each document, from one reading of it (D-01)."""
+    rows = documents.where("doc_id IS NOT NULL").select("doc_id", "path", "text", "title", "updated_at", head_fields("text").alias("fields"))
+    rows = _with_summary(rows, True, 200)
     field = lambda name: F.get(F.col("fields")[name], F.lit(0))
     return rows.select(
         "doc_id",
@@ -183,42 +195,72 @@ def document_nodes(documents: DataFrame) -> DataFrame:
         t.document_type("path", "text", field("type")).alias("type"),
         F.coalesce(F.nullif(field("title"), F.lit("")), F.nullif(t.document_title("text"), F.lit("")), "title").alias("title"),
         F.coalesce(F.nullif(field("summary"), F.lit("")), "summary").alias("summary"),
+        "path",
+        F.array_join(F.coalesce(F.col("fields")["tags"], F.array().cast(_TEXT_ARRAY)), ",").alias("tags"),
         t.document_date("path", "text", F.col("updated_at")).alias("date"),
         (F.size(F.map_keys("fields")) > 0).alias("manual"),
     )
 
 
+def document_aliases(documents: DataFrame) -> DataFrame:
+    """``(alias, key)``: of documents whose head gives an id, the key made of their path and the one made of that id (D-09)."""
+    given = F.get(head_fields("text")["doc_id"], F.lit(0))
+    rows = documents.select(t.path_doc_id("path").alias("alias"), F.concat(F.lit("doc:"), given).alias("key"))
+    return rows.where("alias <> key").groupBy("alias").agg(F.min("key").alias("key"))
+
+
+#: A block of code, up to the end of the text where it isn't closed.
+CODE_BLOCK = r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\z)"
+
+
 def prose(documents: DataFrame) -> DataFrame:
     """Documents without the lines of their code blocks."""
-    return documents.withColumn("text", F.regexp_replace("text", r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\z)", ""))
+    return documents.withColumn("text", F.regexp_replace("text", CODE_BLOCK, ""))
 
 
 def document_edges(documents: DataFrame) -> DataFrame:
     """``(src, dst, rel, manual)``: links, mentioned symbols and what the heads of documents declare, once each (D-02, D-06, D-07, U-22).
 
-    A declared edge counts before one found in the text.
+    A declared edge counts before one found in the text; a link to a document with an id of its own
+    leads to that.
     """
-    fm = frontmatter(documents)
-    body = prose(documents)
-    none = F.array().cast("array<string>")
-    declared = fm.select("doc_id", F.explode(F.coalesce(F.col("fields")["relates_to"], none)).alias("to")).select("doc_id", F.concat(F.lit("doc:"), F.regexp_replace("to", "^doc:", "")).alias("dst"), F.lit("relates_to").alias("rel"), F.lit(True).alias("manual"))
-    named = fm.select("doc_id", F.explode(F.coalesce(F.col("fields")["code_symbols"], none)).alias("to")).select("doc_id", F.concat(F.lit("symbol:"), "to").alias("dst"), F.lit("mentions_symbol").alias("rel"), F.lit(True).alias("manual"))
-    links = body.select("doc_id", "path", F.explode(t.markdown_links("text")).alias("to"))
-    links = links.select("doc_id", t.link_doc_id("to", F.coalesce("path", F.lit(""))).alias("dst"), F.lit("relates_to").alias("rel"), F.lit(False).alias("manual"))
-    symbols = body.select("doc_id", F.explode(t.backtick_symbols("text")).alias("to")).select("doc_id", F.concat(F.lit("symbol:"), "to").alias("dst"), F.lit("mentions_symbol").alias("rel"), F.lit(False).alias("manual"))
-    every = declared.unionByName(named).unionByName(links).unionByName(symbols)
-    return every.groupBy(F.col("doc_id").alias("src"), "dst", "rel").agg(F.max("manual").alias("manual"))
+    none = F.array().cast(_TEXT_ARRAY)
+    rows = prose(documents.where("doc_id IS NOT NULL").select("doc_id", "path", head_fields("text").alias("fields"), "text"))
+
+    def edges(found: Column, dst, rel: str, manual: bool) -> Column:
+        return F.transform(F.coalesce(found, none), lambda x: F.struct(dst(x).alias("dst"), F.lit(rel).alias("rel"), F.lit(manual).alias("manual")))
+
+    symbol = lambda x: F.concat(F.lit("symbol:"), x)
+    every = F.concat(
+        edges(F.col("fields")["relates_to"], lambda x: F.concat(F.lit("doc:"), F.regexp_replace(x, "^doc:", "")), "relates_to", True),
+        edges(F.col("fields")["code_symbols"], symbol, "mentions_symbol", True),
+        edges(t.markdown_links("text"), lambda x: t.link_doc_id(x, F.coalesce("path", F.lit(""))), "relates_to", False),
+        edges(t.backtick_symbols("text"), symbol, "mentions_symbol", False),
+    )
+    found = rows.select(F.col("doc_id").alias("src"), F.inline(every))
+    aliases = small(document_aliases(documents).withColumnRenamed("alias", "dst"))
+    named = found.join(aliases, "dst", "left").select("src", F.when(~F.col("manual"), F.coalesce("key", "dst")).otherwise(F.col("dst")).alias("dst"), "rel", "manual")
+    return named.groupBy("src", "dst", "rel").agg(F.max("manual").alias("manual"))
 
 
 def knowledge_nodes(documents: DataFrame) -> DataFrame:
-    """``(doc_id, key, heading, conclusion, severity)``: a node per section outside code (D-03..D-05)."""
-    parts = sections(documents, fences=True).where("heading <> ''")
+    """``(doc_id, key, heading, summary, kind, conclusion, session, severity)``: a node per section outside code (D-03..D-05).
+
+    A diary's lines before the first code block give its kind, conclusion (else its impact) and session.
+    """
+    parts = sections(documents, fences=True).where("heading <> ''").withColumnRenamed("content", "text")
+    parts = _with_summary(parts, True, 200).withColumn("diary", F.regexp_replace("text", r"(?ms)^[ \t]*```.*", ""))
+    field = lambda name: t.diary_field("diary", name)
+    conclusion = F.coalesce(*(field(x) for x in t.DIARY_FIELDS["conclusion"]))
     return parts.select(
         "doc_id",
         F.concat(F.lit("know:"), F.col("doc_id").cast("string"), F.lit("/"), t.slug(F.col("section_no"), "heading")).alias("key"),
         "heading",
-        t.diary_field("content", "结论").alias("conclusion"),
-        t.severity("content").alias("severity"),
+        F.coalesce(field(t.DIARY_FIELDS["conclusion"][0]), "summary").alias("summary"),
+        field(t.DIARY_FIELDS["kind"]).alias("kind"),
+        conclusion.alias("conclusion"),
+        F.nullif(F.regexp_extract(F.coalesce(field(t.DIARY_FIELDS["session"]), F.lit("")), "^[0-9a-f]+", 0), F.lit("")).alias("session"),
+        t.severity("text").alias("severity"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as t
-from lodegraph.operators.retrieval import expand_query, fuse, ranked
+from lodegraph.operators.retrieval import expand_query, fuse, ranked, synonym_pairs
 from lodegraph.runtime import cut
 
 TYPES = ("fact", "decision", "pitfall", "pattern", "todo")
@@ -68,7 +68,7 @@ def search(store: DataFrame, query: str, limit: int = 10, synonyms: dict[str, li
     if not query.strip():
         return ranked(rows.withColumnRenamed("id", "key").orderBy(F.desc("updated_at")).limit(limit), "latest", F.desc("updated_at"), F.col("key")).select(F.col("key").alias("id"), F.lit(0.0).alias("score"), F.col("route").alias("routes"), (F.col("rank") + 1).alias("place"))
     spark = store.sparkSession
-    wanted = [r[0] for r in spark.createDataFrame([(" ".join([query, *expand_query(query, synonyms or {})]),)], "q string").select(F.explode(F.array_distinct(t.terms("q")))).collect()]
+    wanted = [r[0] for r in spark.createDataFrame([(" ".join([query, *(expand_query(synonym_pairs(spark, synonyms), query) if synonyms else ())]),)], "q string").select(F.explode(F.array_distinct(t.terms("q")))).collect()]
     text = F.concat_ws(" ", "title", "detail", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
     hits = cut(rows.where(F.arrays_overlap(t.terms(text), F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>"))).withColumnRenamed("id", "key"))
     routes = ranked(hits.orderBy(F.desc("updated_at"), "key").limit(depth), "words", F.desc("updated_at"), F.col("key"))

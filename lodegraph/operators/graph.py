@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,15 +40,71 @@ def orient(edges: DataFrame, direction: str = "outgoing", relations: list[str] |
     return back if direction == "incoming" else out.unionByName(back)
 
 
-def closure(seeds: DataFrame, arcs: DataFrame, max_depth: int = 0, include_seeds: bool = True) -> DataFrame:
+#: Arcs that every task may hold at most, so that it walks from its share of the seeds by itself.
+HELD_ARCS = 200_000
+#: Tasks that share the seeds then, and seeds that walk together in one.
+SHARES, TOGETHER = 12, 512
+
+
+def _walk(max_depth: int):
+    """Breadth-first walks of some seeds over arcs that are at hand: ``(seed, node, depth)``, a level of all of them at a time."""
+
+    def run(seeds: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+        columns = ["seed", "node", "depth"]
+        if not len(seeds):
+            return pd.DataFrame({"seed": seeds["seed"], "node": seeds["node"], "depth": np.empty(0, np.int32)})
+        names, codes = np.unique(np.concatenate([x.to_numpy() for x in (seeds["node"], arcs["src"], arcs["dst"])]), return_inverse=True)
+        origin, seed = np.unique(seeds["seed"].to_numpy(), return_inverse=True)
+        n, k, m = len(names), len(seeds), len(arcs)
+        start, src, dst = codes[:k], codes[k : k + m], codes[k + m :]
+        order = np.argsort(src, kind="stable")
+        dst = dst[order]
+        first = np.searchsorted(src[order], np.arange(n + 1))
+        out = []
+        for low in range(0, len(origin), TOGETHER):
+            mine = (seed >= low) & (seed < low + TOGETHER)
+            front = np.unique(seed[mine] * n + start[mine])
+            seen, depth = front, 0
+            while len(front):
+                out.append(pd.DataFrame({"seed": origin[front // n], "node": names[front % n], "depth": np.full(len(front), depth, np.int32)}))
+                if max_depth and depth >= max_depth:
+                    break
+                at = front % n
+                count = first[at + 1] - first[at]
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[at], count)
+                new = np.unique(np.repeat(front // n, count) * n + dst[place])
+                known = np.searchsorted(seen, new)
+                front = new[(known == len(seen)) | (seen[np.minimum(known, len(seen) - 1)] != new)]
+                seen = np.union1d(seen, front)
+                depth += 1
+        return pd.concat(out)[columns]
+
+    return run
+
+
+def _walk_shares(seeds: DataFrame, arcs: DataFrame, max_depth: int) -> DataFrame:
+    """``closure`` where every task holds all arcs; nothing passes the driver."""
+    share = F.pmod(F.xxhash64("seed"), F.lit(SHARES))
+    every = arcs.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<long>")))
+    types = {f.name: f.dataType.simpleString() for f in seeds.schema}
+    walked = seeds.withColumn("share", share).groupBy("share").cogroup(every.groupBy("share"))
+    return walked.applyInPandas(_walk(max_depth), f"seed {types['seed']}, node {types['node']}, depth int")
+
+
+def closure(seeds: DataFrame, arcs: DataFrame, max_depth: int = 0, include_seeds: bool = True, held: int = HELD_ARCS) -> DataFrame:
     """``(seed, node, depth)``: nodes reached from each seed, with the fewest steps.
 
     ``seeds(seed, node)`` start at depth 0 (one origin may have several nodes); ``arcs(src, dst)``. All seeds advance
     together, one join a step, and only newly reached pairs go on, so cycles end and the cost follows
-    the result. ``max_depth`` 0 means to the fixpoint. Nulls are no nodes.
+    the result. Up to ``held`` arcs, every task holds all of them and walks from its share of the seeds
+    in one job. ``max_depth`` 0 means to the fixpoint. Nulls are no nodes.
     """
     arcs = cut(arcs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    front = cut(seeds.select("seed", "node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    front = seeds.select("seed", "node").where("node IS NOT NULL AND seed IS NOT NULL").distinct()
+    if arcs.limit(held + 1).count() <= held:
+        seen = _walk_shares(front, arcs, max_depth)
+        return seen if include_seeds else seen.where("depth > 0")
+    front = cut(front.withColumn("depth", F.lit(0)))
     seen, depth = front, 0
     while not front.isEmpty() and (not max_depth or depth < max_depth):
         depth += 1
@@ -59,15 +116,18 @@ def closure(seeds: DataFrame, arcs: DataFrame, max_depth: int = 0, include_seeds
     return seen if include_seeds else seen.where("depth > 0")
 
 
-def all_pairs(arcs: DataFrame) -> DataFrame:
+def all_pairs(arcs: DataFrame, held: int = HELD_ARCS) -> DataFrame:
     """``(seed, node, depth)``: nodes reached from every node but itself, with the fewest steps.
 
     Pairs up to 2d steps apart come from those up to d by one join through the nodes at exactly d
-    steps, so it takes as many joins as the logarithm of the longest distance.
+    steps, so it takes as many joins as the logarithm of the longest distance. Up to ``held`` arcs, every
+    task holds all of them, as in ``closure``.
     """
-    pairs = cut(
-        arcs.select(F.col("src").alias("seed"), F.col("dst").alias("node")).where("seed <> node").distinct().withColumn("depth", F.lit(1))
-    )
+    near = cut(arcs.select(F.col("src").alias("seed"), F.col("dst").alias("node")).where("seed <> node").distinct())
+    if near.limit(held + 1).count() <= held:
+        start = near.select("seed", F.col("seed").alias("node")).distinct()
+        return _walk_shares(start, near.select(F.col("seed").alias("src"), F.col("node").alias("dst")), 0).where("depth > 0")
+    pairs = near.withColumn("depth", F.lit(1))
     reach = 1
     while True:
         far = pairs.where(F.col("depth") == reach).select("seed", F.col("node").alias("middle"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import text as t
 from lodegraph.operators import documents as docs
-from lodegraph.operators import retrieval
+from lodegraph.operators import findings, retrieval
 from lodegraph.operators.graph import first_by
 from lodegraph.runtime import cut
 
@@ -21,7 +21,7 @@ def list_documents(documents: DataFrame, kind: str | None = None, part: str | No
     """Documents of a type and with a part in their title or path, the latest first (P-18)."""
     rows = documents.where(F.col("type") == kind) if kind else documents
     if part:
-        rows = rows.where(F.coalesce(t.contains_like("title", part) | t.contains_like("path", part), F.lit(False)))
+        rows = rows.where(F.coalesce(t.contains_like("title", part), F.lit(False)) | F.coalesce(t.contains_like("path", part), F.lit(False)))
     return rows.orderBy(F.desc_nulls_last("date"), "doc_id").limit(limit)
 
 
@@ -59,14 +59,28 @@ def code_with_documents(code: DataFrame, about: DataFrame, sections: DataFrame,
     return linked.unionByName(word)
 
 
-def surroundings(texts: DataFrame, mentions: DataFrame, links: DataFrame, nodes: DataFrame, query: str, limit: int = 5, depth: int = 2) -> dict[str, DataFrame]:
-    """A query's start documents, what they reach, and the code that the symbols on the way are (R-10).
+def surroundings(
+    texts: DataFrame, mentions: DataFrame, links: DataFrame, nodes: DataFrame, query: str, limit: int = 3, depth: int = 2, edges: DataFrame | None = None, store: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """A query's start documents, what they reach, the code that the symbols on the way are, and findings (R-10).
 
-    ``texts(key, label, text)``, ``mentions(key, name)``, ``links(src, dst, rel)``; at most ten symbols,
-    by hop and name, are looked up.
+    ``texts(key, title, summary, path, tags)``, ``mentions(key, name)``, ``links(src, dst, rel, manual)``;
+    declared symbols come before found ones, then by hop and name. The first ten are looked up as code,
+    with callers and callees where ``edges`` are given; findings of a ``store`` are the first five of the
+    query and those with one of the first 30 symbols, or of the code found, as an anchor.
     """
     starts = cut(retrieval.document_search(texts, mentions, query, limit))
     reached = cut(retrieval.reach_documents(starts.select("key"), links, depth))
     near = reached.groupBy("node").agg(F.min("hop").alias("hop"))
-    symbols = near.where("node LIKE 'symbol:%'").select(F.regexp_replace("node", "^symbol:", "").alias("symbol"), "hop").orderBy("hop", "symbol").limit(10)
-    return {"starts": starts, "reached": near, "code": retrieval.bridge_symbols(symbols, nodes)}
+    declared = links.where("rel = 'mentions_symbol' AND manual").select(F.col("dst").alias("node"), F.lit(0).alias("found")).distinct()
+    symbols = near.where("node LIKE 'symbol:%'").join(declared, "node", "left")
+    symbols = cut(symbols.select(F.regexp_replace("node", "^symbol:", "").alias("symbol"), "hop", F.coalesce("found", F.lit(1)).alias("found")).orderBy("found", "hop", "symbol").limit(30))
+    code = cut(retrieval.bridge_symbols(symbols.orderBy("found", "hop", "symbol").limit(10), nodes))
+    out = {"starts": starts, "reached": near, "symbols": symbols, "code": retrieval.bridge_calls(code, edges, nodes) if edges is not None else code}
+    if store is not None:
+        names = nodes.join(code.select(F.col("node_id").alias("id")).distinct(), "id", "left_semi").select(F.col("name").alias("symbol"))
+        anchored = [r[0] for r in symbols.select("symbol").union(names).distinct().collect()]  # 30 + 50 at most
+        asked = findings.search(store, query, 5).select("id")
+        found = findings.by_symbols(store, anchored).select("id") if anchored else asked
+        out["findings"] = findings.in_display_order(store.join(asked.union(found).distinct(), "id", "left_semi"))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,27 +71,43 @@ def fuse(rankings: DataFrame, limit: int, full: tuple[str, ...] = (), k: int = 6
     return every.where((F.col("place") <= limit) | F.col("kept")).select("key", "score", "routes", "place")
 
 
-def document_search(texts: DataFrame, mentions: DataFrame, query: str, limit: int = 5) -> DataFrame:
+#: The columns of a document that are searched.
+FIELDS = ("title", "summary", "path", "tags")
+
+
+def document_search(texts: DataFrame, mentions: DataFrame, query: str, limit: int = 5, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``(key, score, routes, place)``: start documents by three routes (R-02..R-05).
 
-    BM25 over the texts, the whole query as a part of ``label``, and documents of ``mentions(key,
-    name)`` whose name has the query as a part. ``texts(key, label, text)``.
+    BM25 over all ``fields`` of ``texts(key, fields...)``, the whole query as a part of any of them, and
+    documents of ``mentions(key, name)`` whose name has the query as a part. A route by parts ranks by
+    how many fields or names have it, then by key.
     """
     per = limit * 3
-    one = bm25(texts.select("key", "text"), query, per)
-    two = texts.where(t.contains_like("label", query)).select("key").orderBy("key").limit(per)
-    three = mentions.where(t.contains_like("name", query)).select("key").distinct().orderBy("key").limit(per)
-    every = ranked(one, "bm25", F.desc(F.round("score", 9)), F.col("key")).unionByName(ranked(two, "label", F.col("key"))).unionByName(ranked(three, "symbol", F.col("key")))
+    one = bm25(texts.select("key", F.concat_ws(" ", *fields).alias("text")), query, per)
+    parts = word_hits(texts, [query], list(fields)).select("key", sum((F.when(F.coalesce(t.contains_like(f, query), F.lit(False)), 1).otherwise(0) for f in fields), F.lit(0)).alias("n"))
+    two = parts.orderBy(F.desc("n"), "key").limit(per)
+    three = mentions.where(t.contains_like("name", query)).groupBy("key").agg(F.count_distinct("name").alias("n")).orderBy(F.desc("n"), "key").limit(per)
+    best = (F.desc("n"), F.col("key"))
+    every = ranked(one, "bm25", F.desc(F.round("score", 9)), F.col("key")).unionByName(ranked(two, "part", *best)).unionByName(ranked(three, "symbol", *best))
     return fuse(cut(every), limit, ("bm25",))
 
 
-def expand_query(query: str, synonyms: dict[str, list[str]]) -> list[str]:
-    """Words that stand for words of the query, in both directions of a dictionary; none the query has (R-06)."""
-    lower, both = query.lower(), {k: list(v) for k, v in synonyms.items()}
-    for k, values in synonyms.items():
-        for v in values:
-            both.setdefault(v, []).append(k)
-    return list(dict.fromkeys(a for w, alts in both.items() if w.lower() in lower for a in alts if a.lower() not in lower))
+def synonym_pairs(spark: SparkSession, synonyms: dict[str, list[str]]) -> DataFrame:
+    """``(place, word, alt)``: a dictionary as a table, read in both directions, in its order."""
+    rows = [(k, v) for k, values in synonyms.items() for v in values]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place int, word string, alt string")
+    turned = table.select((F.col("place") + len(rows)).alias("place"), F.col("alt").alias("word"), F.col("word").alias("alt"))
+    return table.unionByName(turned)
+
+
+def expand_query(pairs: DataFrame, query: str) -> list[str]:
+    """Words of a dictionary that stand for words of the query; none the query has (R-06).
+
+    ``pairs`` are ``synonym_pairs``; the query is matched against the table, and its few hits come back.
+    """
+    asked = F.lower(F.lit(query))
+    hit = pairs.where(F.contains(asked, F.lower("word")) & ~F.contains(asked, F.lower("alt")))
+    return [r["alt"] for r in hit.groupBy("alt").agg(F.min("place").alias("place")).orderBy("place").collect()]
 
 
 def reach_documents(starts: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
@@ -111,18 +127,30 @@ def reach_documents(starts: DataFrame, edges: DataFrame, depth: int = 2) -> Data
 def bridge_symbols(symbols: DataFrame, nodes: DataFrame, per_tier: int = 5) -> DataFrame:
     """``(symbol, node_id, tier)``: code for names in documents (J-18, W-05).
 
-    Tier 1 name and class or namespace fit, 2 the name fits, and only where neither does 3: the name
-    is a part of the last segment of a namespace. At most ``per_tier`` nodes a tier, by id.
+    Tier 1: a class, struct or function of the symbol's last part; tier 2, where there is none: a member of
+    that name in the class before it; tier 3, where there is neither: a class or function with the last
+    part in its name, whatever its case. At most ``per_tier`` nodes by id. Parts of names are found by a
+    join on the first letters at every place of a name, then compared.
     """
-    s = symbols.select("symbol").distinct().withColumn("name", t.tail("symbol")).withColumn("owner", F.when(F.col("symbol").contains("::"), t.head("symbol")))
-    same = s.join(nodes.select(F.col("id").alias("node_id"), "name", "parent_class", "namespace"), "name")
-    fits = F.col("owner").isNull() | (F.col("parent_class") == F.col("owner")) | F.coalesce(t.tail("namespace"), F.lit("")).eqNullSafe(t.tail("owner"))
-    first = same.withColumn("tier", F.when(F.coalesce(fits, F.lit(False)), 1).otherwise(2)).select("symbol", "node_id", "tier")
-    rest = s.join(first.select("symbol").distinct(), "symbol", "left_anti")
-    spaces = nodes.select(F.col("id").alias("node_id"), t.tail("namespace").alias("name")).where("name IS NOT NULL")
-    third = rest.join(spaces, "name").select("symbol", "node_id", F.lit(3).alias("tier"))
-    both = first.unionByName(third)
-    return both.withColumn("place", F.row_number().over(W.partitionBy("symbol", "tier").orderBy("node_id"))).where(F.col("place") <= per_tier).drop("place")
+    bare = F.regexp_replace("symbol", "^symbol:", "")
+    s = symbols.select("symbol").distinct().withColumn("name", t.tail(bare)).withColumn("owner", F.when(bare.contains("::"), t.head(bare)))
+    code = nodes.where("type IN ('class', 'struct', 'function') AND name IS NOT NULL").select(F.col("id").alias("node_id"), "name", "type", "parent_class")
+
+    def first(found: DataFrame, tier: int) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("symbol").orderBy("node_id"))
+        return found.withColumn("place", place).where(F.col("place") <= per_tier).select("symbol", "node_id", F.lit(tier).alias("tier"))
+
+    one = cut(first(s.join(code, "name"), 1))
+    rest = s.join(one.select("symbol").distinct(), "symbol", "left_anti")
+    member = code.where("type = 'function'").select("node_id", "name", F.col("parent_class").alias("owner"))
+    two = cut(first(rest.join(member, ["name", "owner"]), 2))
+    rest = cut(rest.join(two.select("symbol").distinct(), "symbol", "left_anti").where("name <> ''").withColumn("low", F.lower("name")))
+    wanted = rest.select("symbol", "low", F.substring("low", 1, 3).alias("gram"))
+    low = F.lower("name")
+    gram = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - k + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(k)))
+    grams = code.where("type IN ('class', 'function')").select("node_id", low.alias("have"), F.explode(F.array_distinct(F.concat(gram(1), gram(2), gram(3)))).alias("gram"))
+    three = first(wanted.join(grams, "gram").where(F.col("have").contains(F.col("low"))).select("symbol", "node_id"), 3)
+    return one.unionByName(two).unionByName(three)
 
 
 def bridge_calls(bridge: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

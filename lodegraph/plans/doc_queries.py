@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions import text as t
 from lodegraph.operators import documents as docs
 from lodegraph.operators import findings, questions, retrieval, stats
+from lodegraph.plans import doc_sql
 from lodegraph.plans.views import NE, E, N, edges, nodes
 from lodegraph.runtime import cut, table
 
@@ -42,26 +43,26 @@ def section_split(spark, d):
     return docs.sections(table(spark, d, "documents")).select("doc_id", "start_line", "end_line")
 
 
-@query()
+@query(doc_sql.SECTION_NODES)
 def section_nodes(spark, d):
     """Sections with short ones merged, their hash, words and tags (W-09, D-12, F-10, F-12, F-40)."""
     rules = [("docs/*telemetry*", ["telemetry"]), ("docs/*", ["docs"])]
     return docs.section_nodes(docs.merge_short(docs.sections(table(spark, d, "documents"))), rules).drop("content")
 
 
-@query()
+@query(doc_sql.DOCUMENT_NODES)
 def document_nodes(spark, d):
     """Documents with the fields of their heads, titles and summaries (D-01, F-32..F-37, W-12)."""
     return docs.document_nodes(table(spark, d, "documents"))
 
 
-@query()
+@query(doc_sql.DOCUMENT_EDGES)
 def document_edges(spark, d):
     """Links and mentioned symbols of every document (D-02, D-06, D-07)."""
     return docs.document_edges(table(spark, d, "documents"))
 
 
-@query()
+@query(doc_sql.KNOWLEDGE_NODES)
 def knowledge_nodes(spark, d):
     """A node per section outside code (D-03..D-05)."""
     return docs.knowledge_nodes(table(spark, d, "documents"))
@@ -142,11 +143,12 @@ def class_docs(spark, d):
     return questions.code_with_documents(classes, about, sections(spark, d, "content_preview").select("id", F.col("content_preview").alias("text")))
 
 
-@query("SELECT doc_id, title, updated_at FROM documents WHERE doc_type = 'review' AND contains(lower(title), 'reader') ORDER BY updated_at DESC NULLS LAST, doc_id LIMIT 50")
+@query("""SELECT doc_id, title, updated_at FROM documents WHERE doc_type = 'review' AND (contains(lower(title), 'reader') OR contains(lower(path), 'reader'))
+ORDER BY updated_at DESC NULLS LAST, doc_id LIMIT 50""")
 def list_documents(spark, d):
-    """The latest reviews with a word in their title (P-18)."""
-    rows = table(spark, d, "documents").select("doc_id", "title", "path", F.col("doc_type").alias("type"), F.col("updated_at").alias("date")).where("title IS NOT NULL")
-    return questions.list_documents(rows.withColumn("path", F.lit("")), "review", "reader").select("doc_id", "title", F.col("date").alias("updated_at"))
+    """The latest reviews with a word in their title or path (P-18)."""
+    rows = table(spark, d, "documents").select("doc_id", "title", "path", F.col("doc_type").alias("type"), F.col("updated_at").alias("date"))
+    return questions.list_documents(rows, "review", "reader").select("doc_id", "title", F.col("date").alias("updated_at"))
 
 
 @query(f"""WITH {E} SELECT a.src, a.dst, a.relation_type FROM (SELECT DISTINCT src, dst, relation_type FROM e) a
@@ -191,19 +193,21 @@ def bm25(spark, d):
     return retrieval.bm25(texts, "condition variable polling").select("key", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(doc_sql.DOCUMENT_SEARCH)
 def document_search(spark, d):
-    """Start documents of a query by three routes and rank fusion (R-03..R-05, W-02..W-04)."""
-    rows = cut(table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("key"), F.coalesce("title", F.lit("")).alias("label"), "text"))
-    mentions = rows.select("key", F.explode(t.backtick_symbols("text")).alias("name"))
-    return retrieval.document_search(rows, mentions, "Reader", 10)
+    """Start documents of a query by three routes over their titles, summaries, paths and tags, and rank fusion (R-02..R-05, W-02..W-04)."""
+    rows = table(spark, d, "documents")
+    items = cut(docs.document_nodes(rows).select(F.col("doc_id").alias("key"), *retrieval.FIELDS))
+    mentions = docs.document_edges(rows).where("rel = 'mentions_symbol'").select(F.col("src").alias("key"), F.col("dst").alias("name"))
+    return retrieval.document_search(items, mentions, "Reader", 10)
 
 
-@query()
+@query(doc_sql.DOCUMENT_REACH)
 def document_reach(spark, d):
     """Documents and symbols within two links of the ten documents with the most links (G-27)."""
     rows = table(spark, d, "documents")
-    found = cut(docs.document_edges(rows).join(rows.select(F.col("doc_id").alias("src"), "path"), "src").select(t.path_doc_id(F.coalesce("path", F.lit(""))).alias("src"), "dst", "rel"))
+    keys = docs.document_nodes(rows).select(F.col("doc_id").alias("src"), "key")
+    found = cut(docs.document_edges(rows).join(keys, "src").select(F.col("key").alias("src"), "dst", "rel"))
     starts = found.groupBy("src").count().orderBy(F.desc("count"), "src").limit(10).select(F.col("src").alias("key"))
     return retrieval.reach_documents(starts, found, 2)
 
@@ -285,14 +289,14 @@ def finding_upsert(spark, d):
     return finding_store(spark, d).select("title", "created_at", "updated_at", "status")
 
 
-@query()
+@query(doc_sql.freshness(N))
 def finding_freshness(spark, d):
     """Findings whose names of code are all gone (U-15, J-21)."""
     store = cut(finding_store(spark, d))
     return findings.freshness(store, nodes(spark, d, "type", "name")).select("id", "before", "after", F.size("missing").alias("n_missing"))
 
 
-@query()
+@query(doc_sql.FINDING_SEARCH)
 def finding_search(spark, d):
     """Findings by words and synonyms, the latest first (R-06..R-09)."""
     return findings.search(cut(finding_store(spark, d)), "deadlock queue", 10, {"deadlock": ["lock", "wait"]})

@@ -169,3 +169,19 @@ def test_resolution(spark):
     fn = nodes_of(spark, (1, "function", "outer", {"start_line": 1, "end_line": 50}), (2, "function", "inner", {"start_line": 10, "end_line": 20}), (3, "function", "bad", {"start_line": 9, "end_line": 2}))
     sites = spark.createDataFrame([("f.cpp", 15), ("f.cpp", 30), ("f.cpp", 99), ("g.cpp", 15)], "file_path string, line int")
     assert rows(code.enclosing_function(fn, sites)) == [("f.cpp", 15, 2), ("f.cpp", 30, 1)]
+
+
+def test_walks_with_arcs_at_hand_equal_distributed_ones(spark):
+    import random
+
+    from lodegraph.operators import graph
+
+    r = random.Random(6)
+    arcs = spark.createDataFrame([(r.randrange(40), r.randrange(40)) for _ in range(60)] + [(None, 1), (2, None)], "src long, dst long")
+    seeds = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (3, 99), (4, None), (None, 3)], "seed long, node long")
+    for depth in (0, 2):
+        assert rows(graph.closure(seeds, arcs, depth)) == rows(graph.closure(seeds.where("seed IS NOT NULL"), arcs, depth, held=0))
+    assert rows(graph.all_pairs(arcs)) == rows(graph.all_pairs(arcs, held=0))
+    named = arcs.selectExpr("concat('f', src) AS src", "concat('f', dst) AS dst")
+    assert rows(graph.all_pairs(named)) == rows(graph.all_pairs(named, held=0))
+    assert graph.closure(seeds.limit(0), arcs).count() == 0 == graph.all_pairs(arcs.limit(0)).count()

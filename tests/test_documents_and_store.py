@@ -87,16 +87,21 @@ def test_frontmatter_and_summary(spark):
     d = doc(spark, "---\ntype: task # c\ntags: [a, 'b']\nrelates_to:\n  - x-y\ncode_symbols: [Foo]\n---\n# T\n> q\n\n- i1\n\npara one\ntwo\n\nx", "---\nopen: 1", "- a\n1. b\n| t | u |\n```\nc\n```", None)
     fm = {r.doc_id: r.fields for r in docs.frontmatter(d).collect()}
     assert fm == {0: {"type": ["task"], "tags": ["a", "b"], "relates_to": ["x-y"], "code_symbols": ["Foo"]}, 1: {}, 2: {}, 3: {}}
-    assert docs._first_paragraph("# T\n> q\n\n- i\n\npara one\ntwo\n\nx", True, 200) == "para one two"
-    assert docs._first_paragraph("# T\n> q\n\npara", False, 200) == "q"
-    assert docs._first_paragraph("- a\n1. b\n- c\n- d", True, 200) == "a | b | c"
-    assert docs._first_paragraph("x" * 300, True, 20) == "x" * 17 + "..."
+    first = lambda x, skip, most: docs.first_paragraphs(doc(spark, x), skip, most).first()["summary"]
+    assert first("# T\n> q\n\n- i\n\npara one\ntwo\n\nx", True, 200) == "para one two"
+    assert first("# T\n> q\n>\n> r\n\npara", False, 200) == "q r" and first("# T\n> q\npara", True, 200) == "para"
+    assert first("- a\n1. b\n- c\n- d", True, 200) == "a | b | c"
+    assert first("x" * 300, True, 20) == "x" * 17 + "..." and first("```\ncode\n```\n| a | b |\nt", True, 20) == "t" and first(None, True, 9) == ""
     n = {r.doc_id: r for r in docs.document_nodes(d).collect()}
     assert (n[0].type, n[0].title, n[0].manual, n[1].manual, n[1].key) == ("task", "T", True, False, "doc:d-1")
     e = docs.document_edges(doc(spark, "---\nrelates_to: [d-1]\n---\n[a](1.md) `Foo`\n```\n`Bar`\n```\n"))
     assert rows(e) == [(0, "doc:d-1", "relates_to", True), (0, "symbol:Foo", "mentions_symbol", False)]
-    k = docs.knowledge_nodes(doc(spark, "## Why X?\n- **结论**: done\n### [P1] y\n"))
-    assert rows(k, "key", "conclusion", "severity") == [("know:0/000-why-x", "done", "P1")]
+    k = docs.knowledge_nodes(doc(spark, "## Why X?\n- **类型**: fix\n- **结论**: done\n- **影响**：all\n- **会话**: 0af3 x\n### [P1] y\n```\n- **类型**: no\n```\n", "## Z\n- **影响**: some\n\nA text."))
+    assert rows(k, "key", "summary", "kind", "conclusion", "session", "severity") == [
+        ("know:0/000-why-x", "done", "fix", "done", "0af3", "P1"), ("know:1/000-z", "A text.", None, "some", None, None),
+    ]
+    e = docs.document_edges(doc(spark, "---\ndoc_id: own\n---\nx", "[a](0.md) [b](2.md)"))
+    assert rows(e) == [(1, "doc:d-2", "relates_to", False), (1, "doc:own", "relates_to", False)]
 
 
 def test_links_between_documents_and_code(spark):
@@ -131,23 +136,34 @@ def test_fusion_with_backstops(spark):
 
 
 def test_search_routes(spark):
-    texts = spark.createDataFrame([(1, "Reader", "some text"), (2, "x", "a reader here"), (3, "y", "z")], "key long, label string, text string")
-    mentions = spark.createDataFrame([(3, "MyReader")], "key long, name string")
-    assert rows(retrieval.document_search(texts, mentions, "reader"), "key", "routes") == [(1, "label"), (2, "bm25"), (3, "symbol")]
-    assert retrieval.expand_query("app crash", {"崩溃": ["crash", "abort"]}) == ["崩溃"] and retrieval.expand_query("崩溃", {"崩溃": ["crash"]}) == ["crash"]
+    texts = spark.createDataFrame(
+        [(1, "MyReaderImpl", "", "a", ""), (2, "x", "a reader here", "b", None), (3, "y", "z", None, ""), (4, "y", None, "docs/reader/q.md", "r"), (5, None, None, None, None)],
+        "key long, title string, summary string, path string, tags string",
+    )
+    mentions = spark.createDataFrame([(3, "MyReader"), (3, "Reader"), (5, "xreaderx")], "key long, name string")
+    got = retrieval.document_search(texts, mentions, "reader")
+    assert rows(got, "key", "routes") == [(1, "bm25+part"), (2, "bm25+part"), (3, "symbol"), (4, "bm25+part"), (5, "symbol")]
+    assert rows(retrieval.document_search(texts, mentions, "reader", fields=("title",)), "key", "routes") == [(1, "bm25+part"), (3, "symbol"), (5, "symbol")]
+    expand = lambda q, words: retrieval.expand_query(retrieval.synonym_pairs(spark, words), q)
+    assert expand("app crash", {"崩溃": ["crash", "abort"]}) == ["崩溃"] and expand("崩溃", {"崩溃": ["crash", "Abort"]}) == ["crash", "Abort"] and expand("crash 崩溃", {"崩溃": ["crash"]}) == []
     e = spark.createDataFrame([("a", "b", "relates_to"), ("b", "S", "mentions_symbol"), ("c", "b", "relates_to"), ("d", "S", "mentions_symbol")], "src string, dst string, rel string")
     start = spark.createDataFrame([("a",)], "key string")
     assert rows(retrieval.reach_documents(start, e, 2), "node", "hop") == [("S", 2), ("a", 0), ("b", 1), ("c", 2)]
 
 
 def test_bridge(spark):
-    n = spark.createDataFrame([(1, "f", "C", "C"), (2, "f", None, "q"), (3, "g", None, "ns::Part"), (4, "caller", None, None)], "id long, name string, parent_class string, namespace string")
-    s = spark.createDataFrame([("C::f",), ("f",), ("Part",), ("zzz",), (None,)], "symbol string")
+    n = spark.createDataFrame(
+        [(1, "f", "function", "C"), (2, "f", "function", None), (3, "BigPartner", "class", None), (4, "caller", "function", None), (5, "f", "file", None), (6, "partly", "struct", None), (7, "part", "function", "Q")]
+        + [(100 + i, "many", "function", None) for i in range(9)],
+        "id long, name string, type string, parent_class string",
+    )
+    s = spark.createDataFrame([("C::f",), ("symbol:f",), ("X::PART",), ("zzz",), ("many",), ("g",), (None,)], "symbol string")
     got = retrieval.bridge_symbols(s, n)
-    assert rows(got) == [("C::f", 1, 1), ("C::f", 2, 2), ("Part", 3, 3), ("f", 1, 1), ("f", 2, 1)]
+    assert rows(got.where("symbol <> 'many'")) == [("C::f", 1, 1), ("C::f", 2, 1), ("X::PART", 3, 3), ("X::PART", 7, 3), ("g", 3, 3), ("symbol:f", 1, 1), ("symbol:f", 2, 1)]
+    assert rows(got.where("symbol = 'many'"), "node_id") == [(100 + i,) for i in range(5)]
     e = spark.createDataFrame([(4, 1, "calls_direct"), (1, 3, "calls_virtual"), (2, 1, "overrides")], "src long, dst long, relation_type string")
     calls = retrieval.bridge_calls(got.where("symbol = 'C::f'"), e, n)
-    assert rows(calls, "node_id", "callers", "callees") == [(1, ["caller"], ["g"]), (2, [], [])]
+    assert rows(calls, "node_id", "callers", "callees") == [(1, ["caller"], ["BigPartner"]), (2, [], [])]
 
 
 def test_vectors(spark):
