@@ -98,6 +98,8 @@ def section_nodes(parts: DataFrame, rules: list[tuple[str, list[str]]] | None =
     )
 
 
+#: The head of a text, between two lines of dashes.
+HEAD = r"(?ms)\A[ \t]*---[ \t\r]*\n.*?^[ \t]*---[ \t\r]*$"
 _HEAD = re.compile(r"\A[ \t]*---[ \t\r]*\n(.*?)^[ \t]*---[ \t\r]*$", re.S | re.M)
 _ENTRY = re.compile(r"^(?P<key>\w+)[ \t]*:[ \t]*(?P<value>[^\n]*)$|^[ \t]*-[ \t]+(?P<item>[^\n]*)$", re.M)
 
@@ -135,7 +137,7 @@ def _fields(text: pd.Series) -> pd.Series:
 
 def head_fields(text: Column | str) -> Column:
     """The fields at the head of a text; only the head goes to Python."""
-    return _fields(F.regexp_extract(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"(?ms)\A[ \t]*---[ \t\r]*\n.*?^[ \t]*---[ \t\r]*$", 0))
+    return _fields(F.regexp_extract(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), HEAD, 0))
 
 
 def frontmatter(documents: DataFrame) -> DataFrame:
@@ -152,7 +154,8 @@ _LINE_LETTERS = [(r"^(?:```|#|$)", "b"), (r"^(?:---|\*\*\*|___)$", "b"), (r"^>[>
 
 def _with_summary(rows: DataFrame, skip_quotes: bool, most: int) -> DataFrame:
     """``rows(text, ...)`` with ``summary``: see ``first_paragraphs``."""
-    bare = _with_lines(rows.withColumn("_text", F.col("text")).withColumn("text", F.regexp_replace("text", CODE_BLOCK, "```"))).withColumn("text", F.col("_text")).drop("_text")
+    body = F.regexp_replace(F.regexp_replace("text", HEAD, ""), CODE_BLOCK, "```")
+    bare = _with_lines(rows.withColumn("_text", F.col("text")).withColumn("text", body)).withColumn("text", F.col("_text")).drop("_text")
     bare = bare.withColumn("lines", F.transform("lines", strip))
 
     def letter(line: Column) -> Column:
@@ -175,7 +178,7 @@ def _with_summary(rows: DataFrame, skip_quotes: bool, most: int) -> DataFrame:
 def first_paragraphs(documents: DataFrame, skip_quotes: bool = True, most: int = 200) -> DataFrame:
     """``(doc_id, summary)``: the first paragraph of prose, else the first three list items (W-12).
 
-    Lines are told apart by their kind; code blocks count as one line. A paragraph ends at any line that is
+    Lines after the head are told apart by their kind; code blocks count as one line. A paragraph ends at any line that is
     not prose; quotes are prose unless skipped. Longer summaries end in dots.
     """
     return _with_summary(documents.where("doc_id IS NOT NULL").select("doc_id", "text"), skip_quotes, most).select("doc_id", "summary")

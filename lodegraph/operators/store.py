@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegraph.operators.graph import first_by
 from lodegraph.publish import Publications
 
 
@@ -37,17 +38,18 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[
     return both.withColumn("_rn", last).where("_rn = 1").select(stored.columns)
 
 
-def insert_new(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """``stored`` with the incoming rows whose key it hasn't (U-03, S-21)."""
-    return stored.unionByName(incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti").select(stored.columns))
+def insert_new(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``stored`` with the incoming rows whose key it hasn't, of several of a key the first under ``order`` (U-03, S-21)."""
+    one = first_by(incoming, keys, *order) if order else incoming.dropDuplicates(keys)
+    return stored.unionByName(one.join(stored.select(*keys), keys, "left_anti").select(stored.columns))
 
 
-def import_counts(stored: DataFrame, incoming: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
-    """One row ``(n_new, n_updated, n_unchanged)`` of an upsert (A-18)."""
+def import_counts(stored: DataFrame, incoming: DataFrame, keys: list[str], compared: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``(n_new, n_updated, n_unchanged)`` of an upsert, one row or one for each value of the keys in ``by`` (A-18)."""
     old = stored.select(*keys, F.xxhash64(*compared).alias("_old"))
     new = incoming.dropDuplicates(keys).select(*keys, F.xxhash64(*compared).alias("_new"))
     j = new.join(old, keys, "left")
-    return j.agg(
+    return j.groupBy(*by).agg(
         F.count_if(F.col("_old").isNull()).alias("n_new"), F.count_if(F.col("_old") != F.col("_new")).alias("n_updated"), F.count_if(F.col("_old") == F.col("_new")).alias("n_unchanged")
     )
 
@@ -81,11 +83,12 @@ def vanished(nodes: DataFrame, parsed: DataFrame, status: DataFrame) -> DataFram
     return nodes.join(files, "file_path", "left_semi").join(parsed.select("unique_key").distinct(), "unique_key", "left_anti").select("id")
 
 
-def classify(stored: DataFrame, incoming: DataFrame, key: str, value: str) -> DataFrame:
+def classify(stored: DataFrame, incoming: DataFrame, key: str | list[str], value: str) -> DataFrame:
     """``(key, change)``: created, updated, unchanged or deleted, by key and value (U-13, C-09)."""
-    a, b = stored.select(key, F.col(value).alias("_a"), F.lit(True).alias("_in_a")), incoming.select(key, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
+    keys = [key] if isinstance(key, str) else key
+    a, b = stored.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_in_a")), incoming.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
     change = F.when(F.col("_in_a").isNull(), "created").when(F.col("_in_b").isNull(), "deleted").when(F.col("_a").eqNullSafe(F.col("_b")), "unchanged").otherwise("updated")
-    return a.join(b, key, "full").select(key, change.alias("change"))
+    return a.join(b, keys, "full").select(*keys, change.alias("change"))
 
 
 def edge_keys(edges: DataFrame, nodes: DataFrame) -> DataFrame:

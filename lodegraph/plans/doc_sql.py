@@ -13,7 +13,8 @@ _NO_CODE = r"regexp_replace({}, '(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\z)', '{
 
 def _summary(rows: str, text: str) -> str:
     """``summary``: of each of ``rows`` the first run of prose lines, else the first three items."""
-    lines = f"list_transform(string_split({_NO_CODE.format(f'coalesce({text}, {chr(39)}{chr(39)})', '```')}, chr(10)), lambda x: {_strip('x')})"
+    body = rf"regexp_replace(coalesce({text}, ''), '(?ms)\A[ \t]*---[ \t\r]*\n.*?^[ \t]*---[ \t\r]*$', '')"
+    lines = f"list_transform(string_split({_NO_CODE.format(body, '```')}, chr(10)), lambda x: {_strip('x')})"
     letter = r"""CASE WHEN regexp_matches(x, '^(?:```|#|$)') OR regexp_matches(x, '^(?:---|\*\*\*|___)$') THEN 'b' WHEN regexp_matches(x, '^>[>\s]*$') THEN 'n'
       WHEN regexp_matches(x, '^>') THEN 'q' WHEN regexp_matches(x, '^[^|]*\|[^|]*\|') THEN 'b' WHEN regexp_matches(x, '^(?:[-*]|\d+\.)\s') THEN 'i' ELSE 'p' END"""
     return rf"""SELECT * EXCLUDE (lines, kinds, s), CASE WHEN length(s) > 200 THEN substr(s, 1, 197) || '...' ELSE s END AS summary FROM (SELECT *,
@@ -35,11 +36,12 @@ def _values(name: str) -> str:
     """The values of a field of a head: none of one without, those in brackets, one, or those of the lines after it."""
     value = rf"trim(regexp_extract(head, '(?m)^{name}[ \t]*:[ \t]*([^\n]*)$', 1))"
     after = rf"regexp_extract(head, '(?m)^{name}[ \t]*:[ \t]*\n((?:[ \t]*-[ \t]+[^\n]*\n)*)', 1)"
+    uncommented = rf"regexp_replace({value}, '\s+#.*$', '')"
     items = rf"regexp_extract_all({after}, '(?m)^[ \t]*-[ \t]+([^\n]*)$', 1)"
     return (
         f"CASE WHEN {value} = '' THEN list_transform({items}, lambda x: {_bare('x')}) WHEN {value}[1] = '[' AND {value}[-1] = ']' "
         rf"THEN list_transform(list_filter(string_split({value}[2:-2], ','), lambda x: trim(x) <> ''), lambda x: {_bare('x')}) "
-        rf"ELSE [{_bare(f'regexp_replace({value}, {chr(39)}\s+#.*${chr(39)}, {chr(39)}{chr(39)})')}] END"
+        f"ELSE [{_bare(uncommented)}] END"
     )
 
 

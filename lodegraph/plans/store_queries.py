@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as t
@@ -10,7 +11,7 @@ from lodegraph.operators import references, stats, store
 from lodegraph.operators.graph import first_by
 from lodegraph.plans.problems import _name
 from lodegraph.plans.views import NE, N, edges, nodes
-from lodegraph.runtime import cut, strip, table
+from lodegraph.runtime import cut, small, strip, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -125,48 +126,74 @@ def recent_files(spark, d):
 # --- writes -------------------------------------------------------------------------------------------
 
 
-def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The first and the last node snapshot, one row per key."""
-    rows = table(spark, d, "node_snapshot").where("unique_key IS NOT NULL")
-    one = cut(first_by(rows, ["snapshot_no", "unique_key"], F.desc_nulls_last("loaded_at")))
-    ends = one.agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b")).first()
-    cols = ["unique_key", "file_path", "start_line", "content_hash", "access"]
-    return tuple(one.where(F.col("snapshot_no") == ends[k]).select(*cols) for k in "ab")
+def _deliveries(spark: SparkSession, d: str, name: str, keys: list[str], *values: str) -> DataFrame:
+    """All snapshots of a table, one row per key in each: the one loaded last."""
+    rows = table(spark, d, name)
+    if "call_line" in keys:
+        rows = rows.withColumn("call_line", F.coalesce("call_line", F.lit(0)))
+    rows = rows.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    return cut(first_by(rows, ["snapshot_no", *keys], F.desc_nulls_last("loaded_at"), *(F.desc(v) for v in values)).select("snapshot_no", *keys, *values))
 
 
-_SNAP = """one AS (SELECT * FROM node_snapshot WHERE unique_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY snapshot_no, unique_key ORDER BY loaded_at DESC NULLS LAST) = 1),
-a AS (SELECT unique_key, file_path, start_line, content_hash, access FROM one WHERE snapshot_no = (SELECT min(snapshot_no) FROM one)),
-b AS (SELECT unique_key, file_path, start_line, content_hash, access FROM one WHERE snapshot_no = (SELECT max(snapshot_no) FROM one))"""
+def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each snapshot, and the one before it under the same number."""
+    numbers = rows.select("snapshot_no").distinct()  # as many as snapshots, not rows
+    later = cut(numbers.select("snapshot_no", F.lead("snapshot_no").over(W.orderBy("snapshot_no")).alias("later")).where("later IS NOT NULL"))
+    before = rows.join(small(later), "snapshot_no").drop("snapshot_no").withColumnRenamed("later", "snapshot_no")
+    return before, rows.join(small(later.select(F.col("later").alias("snapshot_no"))), "snapshot_no", "left_semi")
 
 
-@query(f"WITH {_SNAP} SELECT * FROM b UNION ALL SELECT * FROM a WHERE unique_key NOT IN (SELECT unique_key FROM b)")
+def _ends(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first snapshot, and all later ones."""
+    first = rows.agg(F.min("snapshot_no")).scalar()
+    return rows.where(F.col("snapshot_no") == first), rows.where(F.col("snapshot_no") > first)
+
+
+_NODE_VALUES = ("file_path", "start_line", "content_hash", "access")
+_NODES = """one AS (SELECT snapshot_no, unique_key, file_path, start_line, content_hash, access FROM node_snapshot WHERE unique_key IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY snapshot_no, unique_key ORDER BY loaded_at DESC NULLS LAST, file_path DESC NULLS LAST, start_line DESC NULLS LAST, content_hash DESC NULLS LAST, access DESC NULLS LAST) = 1),
+after AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS later FROM (SELECT DISTINCT snapshot_no FROM one) QUALIFY later IS NOT NULL),
+a AS (SELECT later AS snapshot_no, unique_key, content_hash FROM one JOIN after USING (snapshot_no)),
+b AS (SELECT * FROM one WHERE snapshot_no IN (SELECT later FROM after))"""
+_EDGE_KEYS = ["from_key", "to_key", "relation_type", "call_line"]
+_EDGES = """one AS (SELECT DISTINCT snapshot_no, from_key, to_key, relation_type, coalesce(call_line, 0) AS call_line FROM edge_snapshot WHERE from_key IS NOT NULL AND to_key IS NOT NULL AND relation_type IS NOT NULL)"""
+
+
+@query(f"WITH {_NODES} SELECT snapshot_no, unique_key, file_path, start_line, content_hash, access FROM one QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY snapshot_no DESC) = 1")
 def upsert_nodes(spark, d):
-    """The last snapshot written over the first (U-01, U-02)."""
-    a, b = _snapshots(spark, d)
-    return store.upsert(a, b, ["unique_key"])
+    """All later snapshots written over the first, in their order (U-01)."""
+    stored, incoming = _ends(_deliveries(spark, d, "node_snapshot", ["unique_key"], *_NODE_VALUES))
+    return store.upsert(stored, incoming, ["unique_key"], [F.desc("snapshot_no")])
+
+
+@query(f"WITH {_EDGES} SELECT max(snapshot_no) AS snapshot_no, from_key, to_key, relation_type, call_line FROM one GROUP BY ALL")
+def upsert_edges(spark, d):
+    """The same for edges, by both ends, relation and line (U-02)."""
+    stored, incoming = _ends(_deliveries(spark, d, "edge_snapshot", _EDGE_KEYS))
+    return store.upsert(stored, incoming, _EDGE_KEYS, [F.desc("snapshot_no")])
 
 
-@query(f"WITH {_SNAP} SELECT * FROM a UNION ALL SELECT * FROM b WHERE unique_key NOT IN (SELECT unique_key FROM a)")
+@query(f"WITH {_NODES} SELECT snapshot_no, unique_key, file_path, start_line, content_hash, access FROM one QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY snapshot_no) = 1")
 def insert_new(spark, d):
-    """The first snapshot with the keys that only the last has (U-03)."""
-    a, b = _snapshots(spark, d)
-    return store.insert_new(a, b, ["unique_key"])
+    """The first snapshot with the keys that only later ones have, as first delivered (U-03)."""
+    stored, incoming = _ends(_deliveries(spark, d, "node_snapshot", ["unique_key"], *_NODE_VALUES))
+    return store.insert_new(stored, incoming, ["unique_key"], [F.asc("snapshot_no")])
 
 
-@query(f"""WITH {_SNAP} SELECT unique_key, CASE WHEN a.unique_key IS NULL THEN 'created' WHEN b.unique_key IS NULL THEN 'deleted'
-WHEN a.content_hash IS NOT DISTINCT FROM b.content_hash THEN 'unchanged' ELSE 'updated' END AS change FROM a FULL JOIN b USING (unique_key)""")
+@query(f"""WITH {_NODES} SELECT snapshot_no, unique_key, CASE WHEN a.unique_key IS NULL THEN 'created' WHEN b.unique_key IS NULL THEN 'deleted'
+WHEN a.content_hash IS NOT DISTINCT FROM b.content_hash THEN 'unchanged' ELSE 'updated' END AS change FROM a FULL JOIN b USING (snapshot_no, unique_key)""")
 def doc_changes(spark, d):
-    """Records by what a new state does to them (U-13, C-09)."""
-    a, b = _snapshots(spark, d)
-    return store.classify(a, b, "unique_key", "content_hash")
+    """Records by what each snapshot does to those of the one before (U-13, C-09)."""
+    before, now = _pairs(_deliveries(spark, d, "node_snapshot", ["unique_key"], *_NODE_VALUES))
+    return store.classify(before, now, ["snapshot_no", "unique_key"], "content_hash")
 
 
-@query(f"""WITH {_SNAP} SELECT count(*) FILTER (a.unique_key IS NULL) AS n_new, count(*) FILTER (a.unique_key IS NOT NULL AND a.content_hash IS DISTINCT FROM b.content_hash) AS n_updated,
-count(*) FILTER (a.unique_key IS NOT NULL AND a.content_hash IS NOT DISTINCT FROM b.content_hash) AS n_unchanged FROM b LEFT JOIN a USING (unique_key)""")
+@query(f"""WITH {_NODES} SELECT snapshot_no, count(*) FILTER (a.unique_key IS NULL) AS n_new, count(*) FILTER (a.unique_key IS NOT NULL AND a.content_hash IS DISTINCT FROM b.content_hash) AS n_updated,
+count(*) FILTER (a.unique_key IS NOT NULL AND a.content_hash IS NOT DISTINCT FROM b.content_hash) AS n_unchanged FROM b LEFT JOIN a USING (snapshot_no, unique_key) GROUP BY 1""")
 def import_counts(spark, d):
-    """New, updated and unchanged records of an import (A-18)."""
-    a, b = _snapshots(spark, d)
-    return store.import_counts(a, b, ["unique_key"], ["content_hash"])
+    """New, updated and unchanged records of the import of each snapshot (A-18)."""
+    before, now = _pairs(_deliveries(spark, d, "node_snapshot", ["unique_key"], *_NODE_VALUES))
+    return store.import_counts(before, now, ["snapshot_no", "unique_key"], ["content_hash"], ("snapshot_no",))
 
 
 @query(f"WITH {NE} SELECT relation_type, count(*) AS n FROM e WHERE src NOT IN (SELECT id FROM n WHERE starts_with(file_path, 'src/') AND ends_with(file_path, '.cpp')) GROUP BY 1")
