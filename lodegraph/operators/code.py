@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators.graph import all_pairs, closure, first_by, simple_paths
 from lodegraph.operators.hierarchy import clean_path
-from lodegraph.runtime import cut, lookup_join
+from lodegraph.runtime import cut, keyed_join, measured
 
 CALLS = ["calls_direct", "calls_virtual", "calls_callback"]
 
@@ -42,11 +42,11 @@ def owners(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def call_sites(edges: DataFrame, nodes: DataFrame, call_types: list[str] | None = None) -> DataFrame:
     """All calls with both ends: ``(caller_id, callee_id, caller_name, callee_name, caller_file, call_line, call_type)``."""
-    fn = nodes.where("type = 'function'").select("id", "name", "file_path")
+    fn, fits = measured(nodes.where("type = 'function'").select("id", "name", "file_path"))
     calls = of(edges, *(call_types or CALLS))
     src = fn.select(F.col("id").alias("src"), F.col("name").alias("caller_name"), F.col("file_path").alias("caller_file"))
     dst = fn.select(F.col("id").alias("dst"), F.col("name").alias("callee_name"))
-    both = calls.join(src, "src").join(dst, "dst")
+    both = keyed_join(keyed_join(calls, src, "src", fits), dst, "dst", fits)
     return both.select(
         F.col("src").alias("caller_id"), F.col("dst").alias("callee_id"), "caller_name", "callee_name", "caller_file", F.col("line").alias("call_line"), F.col("relation_type").alias("call_type")
     )
@@ -317,7 +317,7 @@ def file_layers(impact: DataFrame) -> DataFrame:
 def _by_signature(refs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """``refs`` with a column ``sig`` for their ``columns``, and the distinct signatures; each is resolved once, however many edges have it."""
     signed = cut(refs.where("name IS NOT NULL").withColumn("sig", F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})))
-    return signed, cut(signed.select("sig", *columns).dropDuplicates(["sig"]))
+    return signed, signed.select("sig", *columns).dropDuplicates(["sig"])
 
 
 def _first(candidates: DataFrame, *keys: str) -> DataFrame:
@@ -335,7 +335,8 @@ def resolve_calls(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     counts. Null parameters are unknown, not none; names without a function give no row.
 
     Functions are reduced to one row per name and what a tier compares, and calls to their signatures,
-    before they meet, so overloads of a common name don't multiply with its calls.
+    before they meet, so overloads of a common name don't multiply with its calls. The last join, of edges
+    to their one signature each, is left to adaptive execution, which splits skewed partitions.
     """
     signed, sigs = _by_signature(refs, ["name", "parent", "params", "namespace"])
     sigs = sigs.withColumn("parent", F.nullif("parent", F.lit(""))).withColumn("namespace", F.nullif("namespace", F.lit("")))
@@ -357,7 +358,7 @@ def resolve_calls(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     three = sigs.join(_first(fn, "name"), "name").select("sig", "best", F.lit(3).alias("tier"))
     best = one.unionByName(two).unionByName(three).groupBy("sig").agg(F.min(F.struct("tier", "best")).alias("m"))
     found = best.select("sig", F.col("m.best.id").alias("target"), "m.tier")
-    return lookup_join(signed.select("edge_id", "sig"), found, "sig", "inner").select("edge_id", "target", "tier")
+    return signed.select("edge_id", "sig").join(found, "sig").select("edge_id", "target", "tier")
 
 
 def resolve_overrides(refs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

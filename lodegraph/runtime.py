@@ -74,6 +74,17 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return cold.unionByName(warm)
 
 
+def measured(df: DataFrame, most: int = 200_000) -> tuple[DataFrame, bool]:
+    """``df``, materialised, and whether it has at most ``most`` rows."""
+    df = cut(df)
+    return df, df.limit(most + 1).count() <= most
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: str, fits: bool, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has one row per ``key``: by a broadcast if it ``fits``, as ``measured``, else by ``lookup_join``."""
+    return left.join(F.broadcast(right), key, how) if fits else lookup_join(left, right, key, how)
+
+
 def strip(c: Column | str) -> Column:
     """``c`` without white space at its ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
