@@ -49,11 +49,22 @@ def select(rows: DataFrame, source_paths: list[str], exclude: list[str] | None =
 
 
 def lookup(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """``(wanted, file, arguments)``: the entry of each of ``files(wanted)``: the same path, else one that ends with it, the first by path (S-07)."""
+    """``(wanted, file, arguments)``: the entry of each of ``files(wanted)`` (S-07).
+
+    That of the same path, else one whose path has it as a part, else one whose path it ends with; of
+    several the first by path. Parts are found by a join on the first letters at every place of a path.
+    """
+    low = files.select("wanted").where("wanted <> ''").distinct()
+    wanted = low.withColumn("gram", F.substring("wanted", 1, 3))
+    size = F.length("file")
+    gram = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda i: F.substring(F.col("file"), i, F.lit(k)))
+    placed = rows.select("file", "arguments", F.explode(F.array_distinct(F.concat(gram(1), gram(2), gram(3)))).alias("gram"))
+    part = wanted.join(placed, "gram").where(F.col("file").contains(F.col("wanted")))
+    part = part.select("wanted", "file", "arguments", F.when(F.col("file") == F.col("wanted"), 0).otherwise(1).alias("rank"))
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    both = files.withColumn("base", base("wanted")).join(rows.withColumn("base", base("file")), "base")
-    rank = F.when(F.col("file") == F.col("wanted"), 0).when(F.col("file").endswith(F.concat(F.lit("/"), "wanted")) | F.col("wanted").endswith(F.concat(F.lit("/"), "file")), 1)
-    best = both.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("wanted").agg(F.min(F.struct("rank", "file", "arguments")).alias("m"))
+    longer = low.withColumn("base", base("wanted")).join(rows.select("file", "arguments", base("file").alias("base")), "base")
+    longer = longer.where(F.col("wanted").endswith(F.concat(F.lit("/"), F.regexp_replace("file", "^/", "")))).select("wanted", "file", "arguments", F.lit(2).alias("rank"))
+    best = part.unionByName(longer).groupBy("wanted").agg(F.min(F.struct("rank", "file", "arguments")).alias("m"))
     return best.select("wanted", "m.file", "m.arguments")
 
 

@@ -222,16 +222,30 @@ def report_lines(df: DataFrame, title: str) -> DataFrame:
     return first.unionByName(df.select(F.monotonically_increasing_id().alias("place"), cells.alias("line")))
 
 
-def with_frontmatter(documents: DataFrame) -> DataFrame:
-    """Documents without a head get one from what their path, text and time tell (S-28, F-36..F-38)."""
+def with_frontmatter(documents: DataFrame, words: dict[str, str] | None = None) -> DataFrame:
+    """Documents without a head get one from what their path, text and time tell (S-28, F-36..F-38).
+
+    Tags are those of the key ``words`` that the title or path has.
+    """
     name = F.regexp_replace(t.basename("path"), r"\.md$", "")
     kind = t.document_type("path", "text", F.lit(None).cast("string"))
+    tags = t.keyword_tags(F.concat_ws(" ", t.document_title("text"), "path"), words or {})
+    listed = F.when(F.size(tags) > 0, F.concat(F.lit("\ntags: ["), F.array_join(tags, ", "), F.lit("]"))).otherwise("")
     head = F.concat(
-        F.lit("---\ndoc_id: "), F.regexp_replace(name, "[^A-Za-z0-9_-]+", "-"), F.lit("\ntype: "), kind, F.lit("\ndate: "), t.document_date("path", "text", F.col("modified")).cast("string"), F.lit("\n---\n\n")
+        F.lit("---\ndoc_id: "), F.regexp_replace(name, "[^A-Za-z0-9_-]+", "-"), F.lit("\ntype: "), kind, F.lit("\ndate: "), t.document_date("path", "text", F.col("modified")).cast("string"), listed, F.lit("\n---\n\n")
     )
     return documents.withColumn("text", F.when(F.col("text").startswith("---\n"), F.col("text")).otherwise(F.concat(head, "text")))
 
 
+def with_marks(documents: DataFrame) -> DataFrame:
+    """Documents in which a diary's related symbols stand in code marks, and plain paths of documents are links (S-28, F-38)."""
+    symbol = r"(?<![`\w:/.~])([A-Z]\w*(?:::~?\w+)*)(?:\(\))?(?![`\w:/.])"
+    path = r"(?<![(\[`\w/.-])((?:[\w.-]+/)*([\w-]+)\.md)(?![)\]`\w])"
+    related = rf"^\s*-\s*\*\*{t.DIARY_FIELDS['symbols']}\*\*"
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.when(x.rlike(related), F.regexp_replace(x, symbol, "`$1`")).otherwise(F.regexp_replace(x, path, "[$2]($1)")))
+    return documents.withColumn("text", F.array_join(lines, "\n"))
+
+
 def site_lines(sites: DataFrame, texts: DataFrame, most: int = 200) -> DataFrame:
     """``(file, line, code)``: the text of lines of files, trimmed (J-29)."""
     numbered = texts.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "code")).withColumn("line", F.col("at") + 1)

@@ -201,8 +201,10 @@ def test_compile_commands(spark, tmp_path):
     assert got == {"/p/src/a.cpp": ["-O2", "-isystem/usr/inc", "-DX=1", "-std=c++17"], "/p/src/b.h": ["-Iinc", "/p/src/b.h"], "/p/third/c.cc": []}
     assert [r.file for r in compile_commands.select(entries, ["/src/", "/third/"], ["third"]).collect()] == ["/p/src/a.cpp"]
     assert compile_commands.select(entries, [], ["third"], keep_headers=True).count() == 2
-    wanted = spark.createDataFrame([("src/a.cpp",), ("/p/third/c.cc",), ("none.cc",)], "wanted string")
-    assert rows(compile_commands.lookup(entries, wanted), "wanted", "file") == [("/p/third/c.cc", "/p/third/c.cc"), ("src/a.cpp", "/p/src/a.cpp")]
+    wanted = spark.createDataFrame([("src/a.cpp",), ("/p/third/c.cc",), ("none.cc",), ("hird/c",), ("/root/p/third/c.cc",), ("c",), ("",)], "wanted string")
+    assert rows(compile_commands.lookup(entries, wanted), "wanted", "file") == [
+        ("/p/third/c.cc", "/p/third/c.cc"), ("/root/p/third/c.cc", "/p/third/c.cc"), ("c", "/p/src/a.cpp"), ("hird/c", "/p/third/c.cc"), ("src/a.cpp", "/p/src/a.cpp"),
+    ]
     assert entries.select(compile_commands.cross_flags("arguments", "arm", ["/x"]).alias("a")).first().a[-2:] == ["--target=arm", "-isystem/x"]
 
 
@@ -216,6 +218,10 @@ def test_markdown_folder_and_frontmatter(spark, tmp_path):
     assert rows(got, "path", "text") == [("a.md", "# Größe\n中文"), ("sub/2024-05-06-b.md", "标题")]
     head = files.with_frontmatter(got).where("path LIKE 'sub%'").first().text
     assert head.startswith("---\ndoc_id: 2024-05-06-b\ntype: doc\ndate: 2024-05-06\n---\n\n标题")
+    tagged = files.with_frontmatter(got, {"标题": "title", "sub/": "folder", "zz": "none"}).where("path LIKE 'sub%'").first().text
+    assert "\ntags: [folder]\n---" in tagged
+    marked = files.with_marks(spark.createDataFrame([("- **关联**: Foo, `Bar`, ns::Baz() and x.cpp\nsee docs/a/b.md and [c](c.md) or `d.md`",)], "text string"))
+    assert marked.first().text == "- **关联**: `Foo`, `Bar`, ns::Baz() and x.cpp\nsee [b](docs/a/b.md) and [c](c.md) or `d.md`"
     sites = spark.createDataFrame([("a.md", 1), ("a.md", 9)], "file string, line int")
     assert rows(files.site_lines(sites, got)) == [("a.md", 1, "# Größe")]
 
