@@ -295,7 +295,7 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: in
     smallest depth of its nodes. The changed nodes themselves are left out.
     """
     depth = min(max(depth, 1), 5)
-    over = override_closure(edges)
+    over = cut(override_closure(edges))
     start = cut(impact_seeds(edges, seeds, over if overrides else None, subclasses))
     chain = call_chain(start.select("seed", "node"), expanded_calls(edges, over), direction, depth).select("seed", "node", "depth")
     found = start.where("depth > 0").unionByName(chain).groupBy("seed", "node").agg(F.min("depth").alias("depth"))

@@ -107,6 +107,31 @@ def title_rule(spark, d):
     return docs.title_mentions(titles, nodes(spark, d, "type", "name").where("type IN ('class', 'struct')"))
 
 
+@query(doc_sql.associations(N))
+def associations(spark, d):
+    """Edges between sections and the classes that their headings or contents name, both ways (U-17)."""
+    code = nodes(spark, d, "type", "name").where("type IN ('class', 'struct')").select(F.col("id").alias("code_id"), "name")
+    found = sections(spark, d, "heading", "content_preview")
+    inside = docs.content_mentions(found.select(F.col("id").alias("part_id"), F.col("content_preview").alias("text")), code).select("part_id", "name", F.lit(0.6).alias("confidence"), F.lit("content").alias("method"))
+    titled = docs.title_mentions(found.select(F.col("id").alias("part_id"), F.col("heading").alias("title")), code).select("part_id", "name", F.lit(0.8).alias("confidence"), F.lit("title").alias("method"))
+    return docs.association_edges(inside.unionByName(titled).join(code, "name").select(F.col("part_id").alias("doc_id"), "code_id", "confidence", "method"))
+
+
+@query(doc_sql.REPAIRED_LINKS)
+def repaired_links(spark, d):
+    """Links between documents, dangling ones led to the only document that fits or dropped (D-10, J-30)."""
+    rows = table(spark, d, "documents")
+    links = docs.document_edges(rows).where("rel = 'relates_to'").select("src", "dst").distinct()
+    return docs.repair_links(links, docs.document_nodes(rows).where("key IS NOT NULL").select("key").distinct())
+
+
+@query(doc_sql.missing_symbols(N))
+def missing_symbols(spark, d):
+    """Symbols that documents mention and no code has (D-11, U-21)."""
+    code = nodes(spark, d, "type", "name").where("type IN ('class', 'struct', 'function')")
+    return docs.missing_symbols(docs.document_edges(table(spark, d, "documents")), code.select(F.concat(F.lit("symbol:"), "name").alias("key")))
+
+
 _DOCS = f"""WITH {NE}, both_ AS (SELECT src AS code_id, dst AS doc_id, confidence FROM e WHERE relation_type = 'code_refers_to_doc'
   UNION ALL SELECT dst, src, confidence FROM e WHERE relation_type = 'doc_describes_code'),
 about AS (SELECT code_id, doc_id, max(coalesce(confidence, 0)) AS confidence FROM both_ WHERE doc_id IN (SELECT id FROM n WHERE type = 'doc_section') GROUP BY ALL)"""

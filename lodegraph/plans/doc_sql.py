@@ -89,6 +89,28 @@ near AS (SELECT start, node, min(hop) AS hop FROM (SELECT start, start AS node,
 leaf AS (SELECT start, dst AS node, min(hop) + 1 AS hop FROM near JOIN found ON src = node WHERE rel = 'mentions_symbol' AND hop < 2 GROUP BY ALL)"""
 DOCUMENT_REACH = f"WITH {_EDGES}, {_ITEM}, {_REACH} SELECT * FROM near UNION ALL SELECT * FROM leaf"
 
+REPAIRED_LINKS = rf"""WITH {_EDGES}, {_ITEM}, known AS (SELECT DISTINCT key FROM item WHERE key IS NOT NULL),
+link AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'relates_to'),
+ends AS (SELECT split_part(regexp_replace(key, '^doc:', ''), '-', -1) AS tail, min(key) AS key FROM known GROUP BY 1 HAVING count(*) = 1)
+SELECT src, dst FROM link WHERE dst IN (FROM known)
+UNION SELECT src, key FROM link JOIN ends ON tail = split_part(regexp_replace(dst, '^doc:', ''), '-', -1) WHERE dst NOT IN (FROM known) AND ends_with(key, regexp_replace(dst, '^doc:', ''))"""
+
+
+def missing_symbols(nodes: str) -> str:
+    return f"""WITH {nodes}, {_EDGES} SELECT DISTINCT dst AS key FROM edges WHERE rel = 'mentions_symbol'
+AND dst NOT IN (SELECT 'symbol:' || name FROM n WHERE type IN ('class', 'struct', 'function') AND name IS NOT NULL)"""
+
+
+def associations(nodes: str) -> str:
+    return rf"""WITH {nodes}, code AS (SELECT id, name FROM n WHERE type IN ('class', 'struct') AND length(name) >= 4),
+words AS (SELECT DISTINCT id, unnest(regexp_extract_all(content_preview, '[\p{{L}}\p{{N}}_]+')) AS name FROM n WHERE type = 'doc_section'),
+pairs AS (SELECT words.id AS doc_id, code.id AS code_id, 0.6 AS confidence, 'content' AS method FROM words JOIN code USING (name) WHERE regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$')
+  UNION ALL SELECT n.id, code.id, 0.8, 'title' FROM n JOIN code ON contains(n.heading, code.name) WHERE n.type = 'doc_section'),
+best AS (SELECT doc_id, code_id, max(confidence)::DOUBLE AS confidence, arg_max(method, confidence) AS match_method FROM pairs GROUP BY ALL)
+SELECT doc_id AS src, code_id AS dst, 'doc_describes_code' AS relation_type, confidence, match_method FROM best
+UNION ALL SELECT code_id, doc_id, 'code_refers_to_doc', confidence, match_method FROM best"""
+
+
 # --- sections
 
 

@@ -173,6 +173,12 @@ FROM (FROM rooted UNION ALL FROM looped) LEFT JOIN path USING (id) LEFT JOIN bel
 P3_DESCENDANTS_ALL = f"""WITH RECURSIVE {_OWNER}
 SELECT top AS node, id AS descendant, min(depth) AS distance FROM up WHERE top <> id GROUP BY ALL"""
 
+P3_INCLUDE_DESCENDANTS = f"""WITH RECURSIVE inc AS (SELECT DISTINCT {_sql_path('source_file')} AS child, {_sql_path('included_file')} AS parent FROM include_dep
+  WHERE is_system = false AND source_file IS NOT NULL AND included_file IS NOT NULL),
+walk(node, descendant, distance) AS (SELECT parent, child, 1::BIGINT FROM inc
+  UNION SELECT node, child, distance + 1 FROM walk JOIN inc ON parent = descendant WHERE distance < 64)
+SELECT node, descendant, min(distance) AS distance FROM walk WHERE node <> descendant GROUP BY ALL"""
+
 _COUNTS = """
 once AS (SELECT DISTINCT from_id, to_id, relation_type, coalesce(call_line, 0) AS line FROM edge WHERE to_id > 0),
 counts AS (SELECT relation_type, to_id, count(*) AS n_edges FROM once GROUP BY ALL)"""
@@ -214,6 +220,7 @@ SQL: dict[str, str] = {
     "p3_descendants": P3_DESCENDANTS,
     "p3_paths_all": P3_PATHS_ALL,
     "p3_descendants_all": P3_DESCENDANTS_ALL,
+    "p3_include_descendants": P3_INCLUDE_DESCENDANTS,
     "p4_found": P4,
     "p4_counts": P4_COUNTS,
     "p6_found": P6,
