@@ -9,8 +9,10 @@ histograms, and so its distance, as they were, while half of its windows become
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.words import blocks, words
+from lodegraph.runtime import cut
 
 WINDOW = 6
 MIN_WORDS = 30
@@ -99,6 +102,8 @@ def repeating_documents(documents: DataFrame) -> DataFrame:
 CLASSES = ("lower", "upper", "digit", "cjk", "space", "mark", "other")
 #: Common words per language in the second histogram; all other words share one cell.
 COMMON_WORDS = 200
+#: Languages whose references a task holds at once.
+LANGUAGES = 1_000
 
 
 def _class_counts(text: str) -> list[int]:
@@ -176,26 +181,34 @@ def language_references(documents: DataFrame, lang: str = "lang", text: str = "t
     )
 
 
-def divergence(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS) -> DataFrame:
+def divergence(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, languages: int = LANGUAGES) -> DataFrame:
     """``(doc_id, lang, class_distance, word_distance)`` of each document with at least ``min_words`` words.
 
     The references are made from all documents; of each language they are ``COMMON_WORDS`` words and
-    seven classes, so what reaches the driver is bounded by the number of languages, which is checked
-    (1,000 at most). Shorter documents give no row: their histograms say nothing.
+    seven classes. They go to the tasks in blocks of about ``LANGUAGES`` languages, each of which measures
+    the documents of its own. Shorter documents give no row: their histograms say nothing.
     """
     classes, common = language_references(documents, lang, text)
-    bound = 1000 * (COMMON_WORDS + len(CLASSES))
-    rows = classes.select("lang", F.lit("class").alias("kind"), F.col("class").alias("item"), "n").unionByName(
+    made = classes.select("lang", F.lit("class").alias("kind"), F.col("class").alias("item"), "n").unionByName(
         common.select("lang", F.lit("word").alias("kind"), F.col("word").alias("item"), "n")
     )
-    held = rows.limit(bound + 1).collect()
-    if len(held) > bound:
-        raise ValueError("more than 1,000 languages")
-    ref: dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]] = {}
-    for name in {r["lang"] for r in held}:
-        own = {r["item"]: r["n"] for r in held if r["lang"] == name and r["kind"] == "word"}
-        shape = {r["item"]: r["n"] for r in held if r["lang"] == name and r["kind"] == "class"}
-        ref[name] = np.array([shape.get(c, 0) for c in CLASSES], float), {w: i for i, w in enumerate(own)}, np.array(list(own.values()), float)
+    made = cut(made)
+    parts = max(1, math.ceil(made.select("lang").distinct().count() / languages))
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(lang, F.lit("")).alias("lang"), F.col(text).alias("text"))
+    block = lambda k: F.pmod(F.xxhash64("lang"), F.lit(parts)) == k
+    out = [rows.where(block(k)).mapInArrow(_measure(made.where(block(k)).collect(), min_words), "doc_id long, lang string, class_distance double, word_distance double") for k in range(parts)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _measure(held: list, min_words: int):
+    """Distances of documents to the references in ``held``."""
+    by_lang: dict[str, dict[str, dict[str, int]]] = {}
+    for r in held:
+        by_lang.setdefault(r["lang"], {"word": {}, "class": {}})[r["kind"]][r["item"]] = r["n"]
+    ref = {
+        name: (np.array([x["class"].get(c, 0) for c in CLASSES], float), {w: i for i, w in enumerate(x["word"])}, np.array(list(x["word"].values()), float))
+        for name, x in by_lang.items()
+    }
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,5 +229,4 @@ def divergence(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 names=["doc_id", "lang", "class_distance", "word_distance"],
             )
 
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(lang, F.lit("")).alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(measure, "doc_id long, lang string, class_distance double, word_distance double")
+    return measure

@@ -156,6 +156,8 @@ def test_divergence(spark):
     assert got[51].word_distance > 0.5 > got[0].word_distance
     assert got[54].lang == "" and got[54].class_distance < 0.01
     assert repetition.divergence(spark.createDataFrame([], DOC)).count() == 0
+    blocks = repetition.divergence(spark.createDataFrame(data, DOC), languages=1)
+    assert sorted(map(tuple, blocks.collect()), key=repr) == sorted(map(tuple, got.values()), key=repr)
 
 
 def test_words_pattern_is_stated_once():
